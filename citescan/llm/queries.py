@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from citescan.llm import exact_dedup
+from citescan.llm import exact_dedup, mixing
 
 UPPER, LOWER = exact_dedup.UPPER, exact_dedup.LOWER
 
@@ -24,8 +25,14 @@ FROM (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS norm
 WINDOW w AS (PARTITION BY norm)
 """
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.mix(table(spark, sf_dir, "documents"), cycle=(1, 2, 3), cap=3.0)
+    return mix.select("doc_id", "size", "source", "source_size", "target", "taken", F.size("pieces").alias("n_pieces"))
+
+
 QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_mixing": op9_mixing,
 }
 
 ORACLE_SQL = {
