@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citescan.llm import exact_dedup, mixing
+from citescan.llm import exact_dedup, mixing, url_filter
 
 UPPER, LOWER = exact_dedup.UPPER, exact_dedup.LOWER
 
@@ -14,6 +14,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+URL_RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+#: the domains that the method blocks where no rule fits
+BLOCKED_NAMES = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+BLOCKED_DOMAINS = [f"{name}.example.{top}" for name in BLOCKED_NAMES for top in ("com", "net", "org")]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_filter(table(spark, sf_dir, "pages"), URL_RULES, BLOCKED_DOMAINS)
+
+
+def _rule_cases(result: str) -> str:
+    longest_first = sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))
+    fits = "(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
+    return " ".join(f"WHEN {fits.format(h=h, p=p)} THEN '{(h + p) if result == 'rule' else say}'" for say, h, p in longest_first)
+
+
+OP1_SQL = f"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+seen AS (
+  SELECT *, {' OR '.join(f"host = '{d}' OR ends_with(host, '.{d}')" for d in BLOCKED_DOMAINS)} AS listed FROM parts)
+SELECT page_id, host, path, CASE {_rule_cases('rule')} END AS rule,
+       CASE {_rule_cases('verdict')} WHEN listed THEN 'block' ELSE 'allow' END AS verdict, listed
+FROM seen
+"""
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.copy_groups(table(spark, sf_dir, "documents"))
 
@@ -31,10 +67,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mixing": op9_mixing,
 }
 
 ORACLE_SQL = {
+    "op1_url_filter": OP1_SQL,
     "op8_exact_dedup": OP8_SQL,
 }
