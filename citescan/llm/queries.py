@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citescan.llm import exact_dedup, mixing, url_filter
+from citescan.llm import bpe, exact_dedup, mixing, url_filter
 
 UPPER, LOWER = exact_dedup.UPPER, exact_dedup.LOWER
 
@@ -50,6 +50,21 @@ FROM seen
 """
 
 
+#: folder of the public tokenizers' files; None: where the installed package says
+TOKENIZERS: str | None = None
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    name = "byte_bpe_50k.tiktoken"
+    ranks = f"{TOKENIZERS}/{name}" if TOKENIZERS else public_tokenizers.path(name)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    tokens = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
+    read = bpe.decode(tokens, ranks, text=None, raw="raw")
+    return read.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("raw", 256).alias("decoded_sha256"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.copy_groups(table(spark, sf_dir, "documents"))
 
@@ -68,6 +83,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op4_byte_bpe": op4_byte_bpe,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mixing": op9_mixing,
 }
