@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citescan.llm import bpe, exact_dedup, mixing, url_filter
+from citescan.llm import bpe, chat, exact_dedup, mixing, url_filter
 
 UPPER, LOWER = exact_dedup.UPPER, exact_dedup.LOWER
 
@@ -50,6 +50,40 @@ FROM seen
 """
 
 
+PLANTED_CHAT = "</s>[INST] ok [/INST]"
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.createDataFrame([(-7, 0, "user", PLANTED_CHAT), (-7, 1, "assistant", PLANTED_CHAT)], "conv_id long, turn long, role string, text string")
+    chats = chat.conversations(chat.threads(rows.unionByName(own)))
+    read = chats.withColumns({"turns": chat.read_back(F.col("formatted")), "learnt": chat.read_loss(F.col("formatted"), F.col("loss"))})
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
+        F.length("learnt").cast("long").alias("loss_chars"),
+        F.sha2("learnt", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def _escapes(column: str) -> str:
+    return " + ".join(f"(length({column}) - length(replace({column}, '{c}', ''))) // {len(c)}" for c in ("\\", *chat.CONTROL))
+
+
+OP3_SQL = f"""
+WITH m AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{PLANTED_CHAT}' UNION ALL SELECT -7, 1, 'assistant', '{PLANTED_CHAT}')
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum({len(chat.START) + 1 + len(chat.END)} + length(role) + length(text) + {_escapes('role')} + {_escapes('text')}) AS BIGINT) AS formatted_chars
+FROM m GROUP BY conv_id
+"""
+
 #: folder of the public tokenizers' files; None: where the installed package says
 TOKENIZERS: str | None = None
 
@@ -83,6 +117,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op3_chat_format": op3_chat_format,
     "op4_byte_bpe": op4_byte_bpe,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mixing": op9_mixing,
@@ -90,5 +125,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_url_filter": OP1_SQL,
+    "op3_chat_format": OP3_SQL,
     "op8_exact_dedup": OP8_SQL,
 }
