@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citescan.llm import bpe, chat, exact_dedup, mixing, url_filter
+from citescan.llm import bpe, chat, exact_dedup, mixing, pii, url_filter
 
 UPPER, LOWER = exact_dedup.UPPER, exact_dedup.LOWER
 
@@ -99,6 +99,22 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("raw", 256).alias("decoded_sha256"))
 
 
+def _joined(kinds: tuple[str, ...]):
+    """kind:start:end by kind, then start, comma-joined."""
+    each = [F.transform(k, lambda s, k=k: F.concat_ws(":", F.lit(k), s["start"], s["end"])) for k in kinds]
+    return F.array_join(F.concat(*each), ",")
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *[F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(_joined(pii.KINDS), 256).alias("base_sha256"),
+        _joined((*pii.KINDS, pii.FOUND)).alias("spans"),
+    )
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.copy_groups(table(spark, sf_dir, "documents"))
 
@@ -119,6 +135,7 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op3_chat_format": op3_chat_format,
     "op4_byte_bpe": op4_byte_bpe,
+    "op7_pii": op7_pii,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mixing": op9_mixing,
 }
