@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citescan.llm import bpe, chat, exact_dedup, mixing, pii, url_filter
+from citescan.llm import bpe, chat, exact_dedup, mixing, ngram_join, pii, url_filter
 
 UPPER, LOWER = exact_dedup.UPPER, exact_dedup.LOWER
 
@@ -50,6 +50,10 @@ FROM seen
 """
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), k=3, similarity=90)
+
+
 PLANTED_CHAT = "</s>[INST] ok [/INST]"
 
 
@@ -133,6 +137,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op2_ngram_join": op2_ngram_join,
     "op3_chat_format": op3_chat_format,
     "op4_byte_bpe": op4_byte_bpe,
     "op7_pii": op7_pii,
