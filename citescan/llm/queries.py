@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citescan.llm import bpe, chat, exact_dedup, mixing, ngram_join, pii, url_filter
+from citescan.llm import bpe, chat, exact_dedup, mixing, ngram_join, pii, quality, url_filter
 
 UPPER, LOWER = exact_dedup.UPPER, exact_dedup.LOWER
 
@@ -135,6 +135,18 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source", "source_size", "target", "taken", F.size("pieces").alias("n_pieces"))
 
 
+#: score from which a document counts as good
+GOOD = 0.3
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.scored(docs, model).select(
+        "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted")
+    )
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_ngram_join": op2_ngram_join,
@@ -143,6 +155,7 @@ QUERIES = {
     "op7_pii": op7_pii,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mixing": op9_mixing,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL = {
