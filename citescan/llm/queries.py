@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citescan.llm import bpe, chat, exact_dedup, mixing, ngram_join, pii, quality, url_filter
+from citescan.llm import bpe, chat, exact_dedup, mixing, ngram_join, nn_graph, pii, quality, url_filter
 
 UPPER, LOWER = exact_dedup.UPPER, exact_dedup.LOWER
 
@@ -103,6 +103,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("raw", 256).alias("decoded_sha256"))
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_graph.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def _joined(kinds: tuple[str, ...]):
     """kind:start:end by kind, then start, comma-joined."""
     each = [F.transform(k, lambda s, k=k: F.concat_ws(":", F.lit(k), s["start"], s["end"])) for k in kinds]
@@ -152,6 +156,7 @@ QUERIES = {
     "op2_ngram_join": op2_ngram_join,
     "op3_chat_format": op3_chat_format,
     "op4_byte_bpe": op4_byte_bpe,
+    "op6_nearest": op6_nearest,
     "op7_pii": op7_pii,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mixing": op9_mixing,
