@@ -41,32 +41,34 @@ def unescaped(text: Column) -> Column:
     return F.regexp_replace(text, r"\\([\s\S])", "$1")
 
 
-def reply_links(messages: DataFrame) -> list[DataFrame]:
-    """tree, node, up, total, steps for distances 1, 2, 4, ...: the ancestor, the score and the number of messages before it."""
+def reply_links(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """The ancestors at distances 1, 2, 4, ... as tables of tree, node, up; and tree, node, total, steps from the root.
+
+    A message leaves the doubling as soon as its root is reached, so a level costs
+    what is left of the chains that are longer than its distance.
+    """
     ids = messages.select("tree", F.col("node").alias("up"))
     link = messages.select("tree", "node", F.col("parent").alias("up"), "score").join(
         ids.withColumn("known", F.lit(True)), ["tree", "up"], "left"
     )
     link = link.select("tree", "node", F.when(F.col("known"), F.col("up")).alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("steps"))
     links = [keep(link, "replies")]
+    ended, live = links[0].filter("up is null"), links[0].filter("up is not null")
     most = links[0].count()
-    while 1 << len(links) <= 2 * most and not (last := links[-1]).filter("up is not null").isEmpty():
-        above = last.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("steps").alias("steps2"))
-        more = last.join(above, ["tree", "up"], "left")
-        zero = F.lit(0)
+    while 1 << len(links) <= 2 * most and not live.isEmpty():
+        above = ended.union(live).select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("steps").alias("steps2"))
+        more = live.join(above, ["tree", "up"])
         more = more.select(
-            "tree", "node", F.col("up2").alias("up"),
-            (F.col("total") + F.coalesce("total2", zero)).alias("total"),
-            (F.col("steps") + F.coalesce("steps2", zero)).alias("steps"),
+            "tree", "node", F.col("up2").alias("up"), (F.col("total") + F.col("total2")).alias("total"), (F.col("steps") + F.col("steps2")).alias("steps")
         )
         links.append(keep(more, "replies"))
-    return links
+        ended, live = ended.union(links[-1].filter("up is null")), links[-1].filter("up is not null")
+    return links, ended
 
 
 def branches(messages: DataFrame, top: int | None = 1) -> DataFrame:
     """tree, branch, pos, node of the ``top`` paths of each tree, by score, ties to the smaller leaf; None: all paths."""
-    links = reply_links(messages)
-    whole = links[-1].filter("up is null")
+    links, whole = reply_links(messages)
     parents = links[0].filter("up is not null").select("tree", F.col("up").alias("node")).distinct()
     leaves = whole.join(parents, ["tree", "node"], "left_anti")
     best = Window.partitionBy("tree").orderBy(F.col("total").desc_nulls_last(), "node")
