@@ -92,13 +92,17 @@ FROM m GROUP BY conv_id
 TOKENIZERS: str | None = None
 
 
-def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+def byte_vocabulary(name: str = "byte_bpe_50k.tiktoken") -> tuple[str, str]:
+    """Path of a file of ranks, and the pattern that goes with it."""
     import public_tokenizers
 
-    name = "byte_bpe_50k.tiktoken"
-    ranks = f"{TOKENIZERS}/{name}" if TOKENIZERS else public_tokenizers.path(name)
+    return f"{TOKENIZERS}/{name}" if TOKENIZERS else public_tokenizers.path(name), public_tokenizers.PATTERN
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks, pattern = byte_vocabulary()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    tokens = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
+    tokens = bpe.encode(docs, ranks, pattern)
     read = bpe.decode(tokens, ranks, text=None, raw="raw")
     return read.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("raw", 256).alias("decoded_sha256"))
 
