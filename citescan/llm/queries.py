@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citescan.llm import bpe, chat, exact_dedup, mixing, ngram_join, nn_graph, pii, quality, url_filter
+from citescan.llm import bpe, chat, exact_dedup, mixing, ngram_join, nn_graph, pii, quality, suffix_dedup, url_filter
 
 UPPER, LOWER = exact_dedup.UPPER, exact_dedup.LOWER
 
@@ -107,6 +107,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("raw", 256).alias("decoded_sha256"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(table(spark, sf_dir, "documents"), length=400, with_text=False)
+
+
 def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nn_graph.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -160,6 +164,7 @@ QUERIES = {
     "op2_ngram_join": op2_ngram_join,
     "op3_chat_format": op3_chat_format,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_nearest": op6_nearest,
     "op7_pii": op7_pii,
     "op8_exact_dedup": op8_exact_dedup,

@@ -30,7 +30,7 @@ def _letters() -> np.ndarray:
 
 
 @functools.lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(n, U(_BASE)), np.full(n, U(pow(_BASE, -1, 1 << 64)))
     up[0] = down[0] = 1
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
@@ -54,7 +54,7 @@ def _segment(data: np.ndarray, starts_doc: np.ndarray) -> tuple[np.ndarray, np.n
     closes[:-1] &= ~inside[1:] | starts_doc[1:]
     first, last = np.flatnonzero(opens), np.flatnonzero(closes) + 1
     size = 1 << max(16, (len(data) - 1).bit_length())
-    up, down = _powers(size)
+    up, down = powers(size)
     total = np.zeros(len(data) + 1, U)
     np.cumsum(_letters()[data] * up[: len(data)], out=total[1:])
     return first, last, mixed((total[last] - total[first]) * down[first] + (last - first).astype(U))
