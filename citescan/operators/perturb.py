@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citescan.functions import lexicon as L
+from citescan.functions.norm import let
 from citescan.operators.evaluate import IOU, iou
 from citescan.operators.extract import detect, native_spans
+from citescan.session import keep
 
 # Other ways to write the same.
 ABBREVIATIONS = [
@@ -46,24 +48,33 @@ def pick(key: Column, salt: str, n: Column | int) -> Column:
 
 def replace_one(text: Column, pattern: str, key: Column, new: Callable[[Column], Column]) -> Column:
     """``text`` with one match of the pattern, chosen by the key, replaced; as it is without a match."""
-    spans = native_spans(text, "(?U)" + pattern)
-    s = F.get(spans, pick(key, pattern, F.size(spans)))
-    old = F.substring(text, s["inicio"] + 1, s["fim"] - s["inicio"])
-    changed = F.concat(F.substring(text, F.lit(1), s["inicio"]), new(old), F.substring(text, s["fim"] + 1, F.length(text)))
-    return F.when(F.size(spans) > 0, changed).otherwise(text)
+
+    def change(s: Column) -> Column:
+        old = F.substring(text, s["inicio"] + 1, s["fim"] - s["inicio"])
+        return F.concat(F.substring(text, F.lit(1), s["inicio"]), let(old, new), F.substring(text, s["fim"] + 1, F.length(text)))
+
+    chosen = let(native_spans(text, "(?U)" + pattern), lambda spans: F.get(spans, pick(key, pattern, F.size(spans))))
+    return F.coalesce(let(chosen, change), text)
 
 
 def _one_of(values: list[str], key: Column, salt: str) -> Column:
     return F.get(F.array(*map(F.lit, values)), pick(key, salt, len(values)))
 
 
+def _any_form(forms: list[str], key: Column) -> Callable[[Column], Column]:
+    return lambda _: _one_of(forms, key, "form")
+
+
 def abbreviation(text: Column, key: Column) -> Column:
     fits = F.array_compact(F.array(*[F.when(text.rlike("(?U)" + p), F.lit(i)) for i, (p, _) in enumerate(ABBREVIATIONS)]))
-    rule = F.get(fits, pick(key, "rule", F.size(fits)))
-    out = text
-    for i, (pattern, forms) in enumerate(ABBREVIATIONS):
-        out = F.when(rule == i, replace_one(text, pattern, key, lambda _, f=forms: _one_of(f, key, "form"))).otherwise(out)
-    return out
+
+    def by(rule: Column) -> Column:
+        out = text
+        for i, (pattern, forms) in enumerate(ABBREVIATIONS):
+            out = F.when(rule == i, replace_one(text, pattern, key, _any_form(forms, key))).otherwise(out)
+        return out
+
+    return let(let(fits, lambda some: F.get(some, pick(key, "rule", F.size(some)))), by)
 
 
 def number_marker(text: Column, key: Column) -> Column:
@@ -126,7 +137,7 @@ def varied(rows: DataFrame, text: str, key: str, name: str, noises: list[str] |
         for i, n in enumerate(names):
             own = F.concat_ws("|", F.col(key).cast("string"), F.lit(step))
             now = F.when((F.col("_many") > step) & (F.get("_order", step) == i), NOISES[n](F.col(name), own)).otherwise(now)
-        out = out.withColumn(name, now)
+        out = keep(out.withColumn(name, now), "noise")  # a plan of its own for each step: the expressions are long
     return out.drop("_order", "_many")
 
 

@@ -47,3 +47,13 @@ def keep(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def keep_by(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Like ``keep``, and bucketed by ``key``: joins on it shuffle only the other side."""
+    spark = df.sparkSession
+    table = f"{name.replace('-', '_')}_{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{table}"
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+    return spark.table(table)
