@@ -117,8 +117,11 @@ def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _joined(kinds: tuple[str, ...]):
     """kind:start:end by kind, then start, comma-joined."""
-    each = [F.transform(k, lambda s, k=k: F.concat_ws(":", F.lit(k), s["start"], s["end"])) for k in kinds]
-    return F.array_join(F.concat(*each), ",")
+
+    def named(kind: str):
+        return lambda s: F.concat_ws(":", F.lit(kind), s["start"], s["end"])
+
+    return F.array_join(F.concat(*[F.transform(k, named(k)) for k in kinds]), ",")
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
