@@ -101,19 +101,12 @@ def without_copies(docs: DataFrame) -> DataFrame:
     Rows with a null doc_id are compared like all others; of rows that repeat both
     doc_id and text, one stays.
     """
-    rows = copy_groups(docs).select("doc_id", "kept")
-    by_id = rows.groupBy("doc_id").agg(F.bool_or("kept").alias("some_kept"), F.bool_and("kept").alias("all_kept"))
-    gone = by_id.filter("not some_kept").select("doc_id")
-    mixed = by_id.filter("some_kept and not all_kept").select("doc_id")
-    id_equal = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"])
-    left = docs.join(gone, id_equal(docs, gone), "left_anti")
-    whole = left.join(mixed, id_equal(left, mixed), "left_anti")
-    # rows of an id of which some are kept and some not: settle them by their text
-    part = left.join(mixed, id_equal(left, mixed), "left_semi")
-    wanted = copy_groups(docs.join(mixed, id_equal(docs, mixed), "left_semi")).filter("kept")
-    return whole.unionByName(
-        part.withColumn("_sha", F.sha2(normalised(F.col("text")).cast("binary"), 256))
-        .join(wanted.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")), "_sha", "left_semi")
-        .dropDuplicates(["doc_id", "_sha"])
-        .drop("_sha")
-    )
+    found = keep(copy_groups(docs).select(F.struct("doc_id").alias("_id"), "kept", F.col("text_sha256").alias("_sha")), "copies")
+    by_id = keep(found.groupBy("_id").agg(F.count("*").alias("c"), F.bool_or("kept").alias("some")).filter("c > 1 or not some"), "gone-or-repeated")
+    rows = docs.withColumn("_id", F.struct("doc_id"))
+    once = rows.join(by_id, "_id", "left_anti")
+    # rows that repeat a doc_id are told apart by their texts
+    repeated = rows.join(by_id.filter("c > 1 and some").select("_id"), "_id", "left_semi")
+    repeated = repeated.withColumn("_sha", F.sha2(normalised(F.col("text")).cast("binary"), 256))
+    stay = repeated.join(found.filter("kept").select("_id", "_sha"), ["_id", "_sha"], "left_semi").dropDuplicates(["_id", "_sha"])
+    return once.unionByName(stay.drop("_sha")).drop("_id")
