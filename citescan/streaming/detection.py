@@ -10,7 +10,7 @@ from citescan.operators.extract import detect
 
 def read_stream(spark: SparkSession, folder: str) -> DataFrame:
     """documento_id, texto of the text files that arrive in a folder."""
-    rows = spark.readStream.option("wholetext", "true").option("pathGlobFilter", "*.txt").text(folder)
+    rows = spark.readStream.option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
     return rows.select(F.regexp_replace("_metadata.file_name", r"\.txt$", "").alias("documento_id"), F.col("value").alias("texto"))
 
 
