@@ -9,9 +9,8 @@ a join of lists with vectors and a shuffle by the middle node. Rounds end when
 fewer than ``SETTLED`` of all list entries change.
 
 A query starts at its own node and walks greedily: in each round the nearest nodes
-of its beam that were not opened yet show their neighbours, which are scored in
-double precision on the original vectors. It ends when a round brings nothing new
-among the best.
+of its beam that were not opened yet show their neighbours, until all are. The best
+are then scored in double precision on the original vectors.
 
 The trees' upper levels are fitted on a sample of at most ``SAMPLE`` nodes; below
 them tasks split their own cell further. Every node is in the graph.
@@ -41,7 +40,7 @@ DESCENTS, SETTLED = 6, 0.02
 #: links of a node in the graph that queries walk, either way
 LINKS = 48
 #: nodes that a query keeps and opens in a round
-BEAM, OPEN, STEPS = 96, 16, 10
+BEAM, OPEN, STEPS = 256, 32, 12
 
 NEAR = "array<struct<sim:double,w:long>>"
 
@@ -237,15 +236,19 @@ def walkable(graph: DataFrame) -> DataFrame:
 def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """node, w, x, y → node, w, score."""
     for batch in batches:
-        score = (_vectors(batch.column(2)) * _vectors(batch.column(3))).sum(-1) if batch.num_rows else np.zeros(0)
+        score = np.zeros(0)
+        if batch.num_rows:
+            score = np.einsum("ij,ij->i", _vectors(batch.column(2), np.float32), _vectors(batch.column(3), np.float32)).astype(np.float64)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], names=["node", "w", "score"])
 
 
 def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, beam (array of score, w, opened) of queries (node, x), which are nodes of the graph."""
+    """node, beam (array of score, w, opened) of queries (node, x), which are nodes of the graph; scores in single precision."""
     near = keep(walkable(graph), "walk").select(F.col("node").alias("at"), "next")
-    vectors = nodes.select(F.col("node").alias("w"), F.col("x").alias("y"))
-    entry = F.struct(dot(F.col("x"), F.col("x")).alias("score"), F.col("node").alias("w"), F.lit(False).alias("opened"))
+    single = F.transform("x", lambda v: v.cast("float"))
+    vectors = keep(nodes.select(F.col("node").alias("w"), single.alias("y")), "single")
+    queries = queries.select("node", single.alias("x"))
+    entry = F.struct(dot(F.col("x"), F.col("x")).cast("double").alias("score"), F.col("node").alias("w"), F.lit(False).alias("opened"))
     beam = keep(queries.select("node", "x", F.array(entry).alias("beam"), F.array("node").alias("seen")), "beam")
     none = F.expr("cast(array() as array<struct<score:double,w:long,opened:boolean>>)")
     for _ in range(STEPS):
@@ -286,7 +289,10 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, seed: int = 5) -> Da
     asked = members.filter(is_query).select("vec_id", "node")
     asked = keep(asked, "queries")
     beam = search(kinds.join(asked.select("node").distinct(), "node").select("node", "x"), graph, kinds)
-    found = beam.select("node", F.explode(F.slice("beam", 1, k + 1)).alias("e")).select(F.col("node").alias("q"), F.col("e.w").alias("node"), "e.score")
+    # the best of each beam, and some more against the rounding, scored again
+    found = beam.select(F.col("node").alias("q"), F.explode(F.slice("beam", 1, 2 * k + 8)).alias("e")).select("q", F.col("e.w").alias("node"))
+    one, two = kinds.select(F.col("node").alias("q"), "x"), kinds.select("node", F.col("x").alias("y"))
+    found = found.join(one, "q").join(two, "node").select("q", "node", dot(F.col("x"), F.col("y")).alias("score"))
     each = found.join(copies, "node").groupBy("q").agg(F.collect_list(F.struct(F.col("score"), F.col("ids"))).alias("kinds"))
     flat = F.flatten(F.transform("kinds", lambda c: F.transform(c["ids"], lambda i: F.struct((-c["score"]).alias("s"), i.alias("vec_id")))))
     lists = each.select(F.col("q").alias("node"), F.slice(F.sort_array(flat), 1, k + 1).alias("all"))
