@@ -22,7 +22,7 @@ URL_RULES = [
     ("block", "com", "/de/"),
 ]
 #: the domains that the method blocks where no rule fits
-BLOCKED_NAMES = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+BLOCKED_NAMES = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm", "therin", "ththre", "ththth", "thther")
 BLOCKED_DOMAINS = [f"{name}.example.{top}" for name in BLOCKED_NAMES for top in ("com", "net", "org")]
 
 
