@@ -9,8 +9,8 @@ preceding suffix into the queue of its own first byte; the common prefix of two
 tuples that meet there is one more than the least value passed since.
 
 The queue holds blocks of tuples and moves them to a file beyond a limit of
-memory; the shard and all arrays of its length are files too, mapped into memory,
-so a shard can be far larger than the memory of a task.
+memory. Arrays of the shard's length are files as well where they are long, mapped
+into memory, so a shard can be far larger than the memory of a task.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ import numpy as np
 BLOCK = 1 << 16
 #: tuples of a queue that stay in memory
 QUEUED = 1 << 21
+#: bytes of an array that stays in memory; a longer one is a file
+IN_MEMORY = 24 << 20
 #: byte that ends each piece of a shard's text; the bytes of UTF-8 move up by one
 END = 0
 
@@ -37,7 +39,7 @@ class Disk:
 
     def empty(self, n: int, kind: type | str) -> np.ndarray:
         self.count += 1
-        if n * np.dtype(kind).itemsize < 1 << 20:
+        if n * np.dtype(kind).itemsize <= IN_MEMORY:
             return np.zeros(n, kind)
         return np.memmap(f"{self.folder.name}/{self.count}", dtype=kind, mode="w+", shape=(n,))
 

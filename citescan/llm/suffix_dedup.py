@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from citescan.llm import words as W
 from citescan.llm.induced_sort import END, repeated
+from citescan.llm.sieve import sieved
 from citescan.session import keep
 
 #: bytes of an anchor
@@ -34,7 +35,7 @@ PIECE = 32
 #: starts of a document that are worked on at once
 PART = 1 << 20
 #: bytes of a shard; a larger one happens where a single anchor needs it, and is on disk
-SHARD = 4 << 20
+SHARD = 3 << 20
 
 
 @functools.cache
@@ -221,7 +222,8 @@ def without_repeats(docs: DataFrame, length: int = 400, with_text: bool = True)
     wanted = classes.join(unsettled, "anchor").select("rid", piece.alias("p"))
     wanted = keep(wanted.groupBy("rid").agg(F.collect_list("p").alias("pieces")), "wanted")
     size = wanted.select(F.aggregate("pieces", F.lit(0).cast("long"), lambda a, p: a + p["stop"] - p["s"]).alias("b")).agg(F.sum("b")).first()[0] or 0
-    cut = texts.join(wanted, "rid").select("text", "pieces").mapInArrow(_cut, "anchor long, ka long, kb long, starts long, piece binary")
+    some = sieved(texts.select("rid", "text"), F.col("rid"), wanted.select("rid"))
+    cut = some.join(wanted, "rid").select("text", "pieces").mapInArrow(_cut, "anchor long, ka long, kb long, starts long, piece binary")
     shards = cut.repartition(max(1, math.ceil(size / SHARD)), "anchor")
     runs = "array<struct<first:long,last:long>>"
     sorted_ = shards.mapInArrow(_sort_shard(length), f"ka long, kb long, runs {runs}")
