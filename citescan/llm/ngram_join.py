@@ -29,14 +29,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from citescan.llm import words as W
-from citescan.session import keep
+from citescan.llm.sieve import sieved
+from citescan.session import keep, keep_by
 
 #: whole ranges that linked sets share at least: one, and one for each refinement
 SPARE = 2
 #: nodes from which on a signature is combined with others
-COMMON = 24
+COMMON = 256
 #: members of a group of the matrix
 GROUP = 48
 #: ratio of the largest to the smallest set of a class
@@ -132,22 +134,25 @@ def _sketched(rows: DataFrame, k: int, similarity: int) -> DataFrame:
 
 
 def _tokens_of(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """node, tokens of nodes (node, doc_id, ka, kb): sets made again from the texts, held to their keys."""
+    """node, tokens of nodes (node, doc_id, ka, kb): sets made again from the texts, held to their keys.
+
+    A filter of fixed size over the wanted doc_ids spares most other texts the work;
+    the keys decide.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                found = [(*set_key(t), t.astype(np.int64)) for t in _sets(batch.column(1), k) if len(t)]
+                found = [(*set_key(t), t.astype(np.int64)) for t in _sets(whole.column(0).slice(at, 512), k) if len(t)]
                 ka, kb, tokens = ([x[i] for x in found] for i in range(3))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ka, pa.int64()), pa.array(kb, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], names=["ka", "kb", "tokens"]
                 )
 
-    ids = nodes.select(F.struct("doc_id").alias("id")).distinct()
-    rows = docs.select(F.struct("doc_id").alias("id"), "text").join(ids, "id", "left_semi").select("id", "text")
-    made = rows.mapInArrow(run, "ka long, kb long, tokens array<long>")
-    return made.join(nodes.select("node", "ka", "kb"), ["ka", "kb"]).groupBy("node").agg(F.first("tokens").alias("tokens"))
+    texts = sieved(docs.select("doc_id", "text"), F.col("doc_id"), nodes.select("doc_id")).select("text")
+    made = texts.mapInArrow(run, "ka long, kb long, tokens array<long>")
+    found = made.join(nodes.select("node", "ka", "kb"), ["ka", "kb"]).groupBy("ka", "kb").agg(F.first("node").alias("node"), F.first("tokens").alias("tokens"))
+    return found.select("node", "tokens")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -171,6 +176,23 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of sorted (sig, node) whose sig is that of the row before or after."""
+    held: tuple[int, int, bool] | None = None  # the last row, and whether its sig was there before
+    for batch in batches:
+        sig, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if not len(sig):
+            continue
+        if held:
+            sig, node = np.append(held[0], sig), np.append(held[1], node)
+        same = sig[1:] == sig[:-1]
+        fits = np.append(same, False) | np.append(bool(held and held[2]), same)
+        held = (sig[-1], node[-1], bool(fits[-1]))
+        yield pa.RecordBatch.from_arrays([pa.array(sig[:-1][fits[:-1]]), pa.array(node[:-1][fits[:-1]])], names=["sig", "node"])
+    if held and held[2]:
+        yield pa.RecordBatch.from_arrays([pa.array([held[0]], pa.int64()), pa.array([held[1]], pa.int64())], names=["sig", "node"])
+
+
 class Join:
     """The parts of one run: nodes with their tokens, tried pairs, links and components."""
 
@@ -180,24 +202,26 @@ class Join:
         self.rows = keep(_sketched(rows, k, similarity), "sets")
         classes = self.rows.filter("n > 0").groupBy("ka", "kb").agg(F.min("rid").alias("node"), F.min("doc_id").alias("first_id"))
         self.classes = keep(classes, "set-classes")
-        nodes = self.rows.join(self.classes.select("node"), F.col("rid") == F.col("node"), "left_semi")
-        self.nodes = keep(nodes.withColumnRenamed("rid", "node"), "nodes")
+        nodes = self.rows.select(F.col("rid").alias("node"), "doc_id", "n", "ka", "kb", "sketch").join(self.classes.select("node"), "node", "left_semi")
+        self.nodes = keep(nodes, "nodes")
         self.links: list[DataFrame] = []
         self.comp: DataFrame | None = None
 
-        each = self.nodes.select("node", F.explode(F.flatten("sigs")).alias("sig"))
-        shared = each.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1").select("sig")
-        self.places = keep(each.join(shared, "sig"), "signatures")
+        each = self.rows.select(F.explode(F.flatten("sigs")).alias("sig"), F.col("rid").alias("node"))
+        shared = each.repartition("sig").sortWithinPartitions("sig").mapInArrow(_shared, "sig long, node long")
+        self.places = keep(shared.join(self.classes.select("node"), "node", "left_semi"), "signatures")
         by_sketch = self.nodes.groupBy("sketch").agg(F.min("node").alias("a"), F.count("*").alias("c")).filter("c > 1")
         by_sketch = keep(by_sketch.select("sketch", "a"), "leaders")
         stars = keep(self.nodes.select("node", "sketch").join(by_sketch, "sketch").select("a", F.col("node").alias("b")), "stars")
         active = self.places.select("node").union(stars.select("b")).distinct()
         active = self.nodes.select("node", "doc_id", "ka", "kb").join(active, "node", "left_semi")
-        self.tokens = keep(_tokens_of(docs, keep(active, "active"), k), "tokens")
+        self.tokens = keep_by(_tokens_of(docs, keep(active, "active"), k), "tokens", "node")
         self.verify(stars.filter("a != b"))
 
     def verify(self, pairs: DataFrame) -> int:
         """Take in those of pairs (a, b) that link; how many do."""
+        nx, ny = (self.nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}")) for c in "ab")
+        pairs = pairs.join(nx, "a").join(ny, "b").filter(100 * F.least("na", "nb") >= self.similarity * F.greatest("na", "nb")).select("a", "b")
         one = self.tokens.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
         two = self.tokens.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
         met = pairs.join(one, "a").join(two, "b").select("a", "b", F.size("x").cast("long").alias("nx"), F.size("y").cast("long").alias("ny"), F.size(F.array_intersect("x", "y")).cast("long").alias("both"))
@@ -236,40 +260,62 @@ class Join:
             if self.verify(pairs) == 0:
                 break
 
-    def refined(self) -> DataFrame:
+    def supported(self, places: DataFrame) -> DataFrame:
+        """Places of nodes whose set is, but for what a link may miss, within the union of the other components' sets."""
+        nodes = keep(places.select("node", "comp").distinct(), "asking")
+        each = nodes.join(self.tokens, "node").select("node", "comp", F.explode("tokens").alias("t"))
+        shared = each.groupBy("t").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least < most").select("t")
+        met = each.join(shared, "t").groupBy("node").agg(F.count("*").alias("met"))
+        size = self.nodes.select("node", "n")
+        fine = met.join(size, "node").filter(100 * F.col("met") >= self.similarity * F.col("n")).select("node")
+        return places.join(keep(fine, "supported"), "node", "left_semi").select("sig", "node")
+
+    def refined(self, places: DataFrame) -> DataFrame:
         """Open places; common signatures are replaced by their combinations with the others of the node's class."""
-        places = self.open_places(self.places)
         common = keep(places.groupBy("sig").agg(F.count("*").alias("n")).filter(F.col("n") > COMMON).select("sig"), "common")
         rare = places.join(common, "sig", "left_anti").select("sig", "node")
         often = places.join(common, "sig").select("sig", "node")
-        per_class = self.nodes.select("node", F.explode("sigs").alias("own"))
+        per_class = self.rows.select(F.col("rid").alias("node"), F.explode("sigs").alias("own"))
         both = often.join(per_class, "node").filter(F.array_contains("own", F.col("sig")))
         both = both.select("node", "sig", F.explode("own").alias("other")).filter("sig != other")
         both = both.select(F.xxhash64(F.least("sig", "other"), F.greatest("sig", "other")).alias("sig"), "node").distinct()
         return self.open_places(rare.union(both))
 
     def matrix(self) -> None:
-        """Settle what is left: each node of a signature's smaller components queries the groups of the larger ones."""
-        places = self.refined()
+        """Settle what is left: nodes query the groups that share a signature with them.
+
+        A component of several nodes is a group of its own, other nodes are grouped
+        by their signature with the most nodes; large groups are cut by hash.
+        """
+        places = self.open_places(self.places)
+        for _ in range(2):
+            if places.isEmpty():
+                return
+            places = self.open_places(self.supported(places))
         if places.isEmpty():
             return
-        size = places.groupBy("comp").agg(F.count_distinct("node").alias("size"))
-        members = places.select("node", "comp").distinct().join(size, "comp")
-        slot = F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.ceil(F.col("size") / GROUP)).cast("long"))
-        members = keep(members.select("node", "comp", slot.alias("slot")), "groups")
-        union = members.join(self.tokens, "node").select("comp", "slot", F.explode("tokens").alias("t")).distinct()
-        union = keep(union.groupBy("comp", "slot").agg(F.collect_list("t").alias("union")), "matrix")
-        seen = places.join(members.select("node", "slot"), "node")
-        weight = keep(places.groupBy("sig", "comp").agg(F.count("*").alias("w")), "weights")
-        query = seen.join(weight, ["sig", "comp"]).select("sig", F.col("node").alias("q"), F.struct("w", "comp").alias("qc"))
-        there = seen.join(weight, ["sig", "comp"]).select("sig", F.struct("w", "comp").alias("gc"), F.col("comp"), "slot").distinct()
-        asked = query.join(there, "sig").filter("qc < gc").select("q", "comp", "slot").distinct()
+        places = self.refined(places)
+        alone = places.groupBy("comp").agg(F.count_distinct("node").alias("c"))
+        often = places.groupBy("sig").agg(F.count("*").alias("n"))
+        often = places.join(often, "sig").groupBy("node", "comp").agg(F.max(F.struct("n", "sig"))["sig"].alias("sig"))
+        named = often.join(alone, "comp").select("node", "comp", F.when(F.col("c") > 1, F.struct(F.lit(0).alias("of"), F.col("comp").alias("id"))).otherwise(F.struct(F.lit(1).alias("of"), F.col("sig").alias("id"))).alias("g"))
+        named = keep(named, "grouped")
+        size = named.groupBy("g").agg(F.count("*").alias("size"))
+        slot = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / GROUP).cast("long"))
+        members = keep(named.join(size, "g").select("node", "comp", "g", slot.alias("slot")), "groups")
+        union = members.join(self.tokens, "node").groupBy("g", "slot").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"))
+        union = keep(union, "matrix")
+        seen = places.select("sig", "node").join(members, "node")
+        there = seen.groupBy("sig", "g", "slot").agg(F.min("comp").alias("least"), F.max("comp").alias("most"))
+        asked = seen.select("sig", F.col("node").alias("q"), "comp").join(there, "sig").filter("least <> comp or most <> comp").select("q", "g", "slot").distinct()
         mine = self.tokens.select(F.col("node").alias("q"), F.col("tokens").alias("x"))
-        bound = keep(asked, "asked").join(mine, "q").join(union, ["comp", "slot"])
+        bound = keep(asked, "asked").join(mine, "q").join(union, ["g", "slot"])
         opened = bound.filter(100 * F.size(F.array_intersect("x", "union")).cast("long") >= self.similarity * F.size("x").cast("long"))
-        opened = keep(opened.select("q", "comp", "slot"), "opened")
-        pairs = opened.join(members, ["comp", "slot"]).select(F.col("q").alias("a"), F.col("node").alias("b"))
-        self.verify(keep(pairs, "pairs"))
+        opened = keep(opened.select("q", "g", "slot"), "opened")
+        # both nodes of a link open the other's group, so one of the two meetings is enough
+        own = members.select(F.col("node").alias("q"), F.col("comp").alias("qc"))
+        pairs = opened.join(members, ["g", "slot"]).join(own, "q").filter("qc <> comp and q < node")
+        self.verify(keep(pairs.select(F.col("q").alias("a"), F.col("node").alias("b")).distinct(), "pairs"))
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFrame:
@@ -283,34 +329,54 @@ def jaccard_components(docs: DataFrame, k: int = 5, similarity: int = 80) -> Dat
     larger than none (a component of only null ids has a null id). Other columns are
     ignored; an empty table gives an empty result.
     """
+    out = _classed(docs, k, similarity)
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def _classed(docs: DataFrame, k: int, similarity: int) -> DataFrame:
+    """doc_id, n_shingles, ka, kb, component_id, chosen: ``chosen`` marks the rows of one set of each component, with its component_id."""
     if not 50 < similarity <= 100:
         raise ValueError("similarity: 51 to 100 hundredths")
     join = Join(docs, k, similarity)
     join.stars()
     join.matrix()
     named = keep(join.with_comp(join.classes), "named")
-    least = keep(named.groupBy("comp").agg(F.min("first_id").alias("component_id")), "component-ids")
-    named = keep(named.join(least, "comp").select("ka", "kb", "component_id"), "class-ids")
-    out = join.rows.select("doc_id", F.col("n").alias("n_shingles"), "ka", "kb").join(named, ["ka", "kb"], "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    # nulls are larger than all ids
+    first = F.struct(F.col("first_id").isNull().alias("none"), "first_id", "node")
+    least = keep(named.groupBy("comp").agg(F.min(first).alias("first")), "component-ids")
+    named = named.join(least, "comp").select("ka", "kb", F.col("first.first_id").alias("component_id"), (F.col("node") == F.col("first.node")).alias("chosen"))
+    rows = join.rows.select("doc_id", F.col("n").alias("n_shingles"), "ka", "kb").join(keep(named, "class-ids"), ["ka", "kb"], "left")
+    return rows.withColumn("chosen", F.col("chosen") & F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the row with its component_id, of rows that repeat it one.
+    """The rows of ``docs`` that stay: one of each component, with the smallest doc_id, and all rows without words.
 
-    Rows without words all stay. So does one row of a component whose ids are all null.
+    Where a doc_id is repeated, its rows are told apart by their sets; of rows that
+    repeat both, one stays.
     """
-    found = jaccard_components(docs, k, similarity)
-    gone = found.filter("n_shingles > 0").filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.struct("doc_id").alias("_id")).distinct()
-    again = found.groupBy(F.struct("doc_id").alias("_id")).agg(F.count("*").alias("c")).filter("c > 1").select("_id")
+    found = keep(_classed(docs, k, similarity), "classed")
+    stays = F.coalesce("chosen", F.lit(False)) | (F.col("n_shingles") == 0)
+    by_id = found.groupBy(F.struct("doc_id").alias("_id")).agg(F.count("*").alias("c"), F.bool_or(stays).alias("some"))
+    by_id = keep(by_id.filter("c > 1 or not some"), "gone-or-repeated")
     rows = docs.withColumn("_id", F.struct("doc_id"))
-    again = keep(again, "repeated-ids")
-    once = rows.join(again, "_id", "left_anti").join(gone, "_id", "left_anti")
-    return once.unionByName(_repeated(rows.join(again, "_id", "left_semi"), gone)).drop("_id")
+    once = rows.join(by_id, "_id", "left_anti")
+    repeated = rows.join(by_id.filter("c > 1 and some").select("_id"), "_id", "left_semi")
+    keys = found.filter("chosen").select(F.struct("doc_id").alias("_id"), "ka", "kb").distinct()
+    keyed = _with_key(repeated, k)
+    kept = keyed.filter("ka is not null").join(keys, ["_id", "ka", "kb"], "left_semi").dropDuplicates(["_id", "ka", "kb"])
+    return once.unionByName(kept.unionByName(keyed.filter("ka is null")).drop("ka", "kb")).drop("_id")
 
 
-def _repeated(rows: DataFrame, gone: DataFrame) -> DataFrame:
-    """Rows that share a doc_id: those without words, and one other unless its component has a smaller id."""
-    bare = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", "")) == ""
-    kept = rows.filter(~bare).join(gone, "_id", "left_anti").dropDuplicates(["_id"])
-    return rows.filter(bare).unionByName(kept)
+def _with_key(rows: DataFrame, k: int) -> DataFrame:
+    """``rows`` with ka, kb of their sets, null without words."""
+    at = rows.columns.index("text")
+    out = T.StructType([*rows.schema.fields, T.StructField("ka", T.LongType()), T.StructField("kb", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [set_key(t) if len(t) else (None, None) for t in _sets(batch.column(at), k)]
+            new = [pa.array([x[i] for x in keys], pa.int64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "ka", "kb"])
+
+    return rows.mapInArrow(run, out)

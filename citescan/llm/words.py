@@ -15,7 +15,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: bytes that are worked on at once; a segment ends at white space or at a document's end
-SEGMENT = 1 << 21
+SEGMENT = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
