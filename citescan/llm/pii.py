@@ -1,8 +1,8 @@
 """Personal data: fixed kinds by pattern, further identifiers by bootstrapped contexts.
 
 Emails, addresses of machines, card numbers and phone numbers are found by their
-form. They are the seeds: the two words before a mention are a lexical pattern,
-and every mention that looks like an identifier links its pattern with its value.
+form. They are the seeds: the two words before the word that holds a mention are
+a lexical pattern (a token's prefix ``key:`` or ``key=`` is a word of its own), and every mention that looks like an identifier links its pattern with its value.
 Spark scores this graph in rounds: a pattern is worth the share of known values
 among all places where its words occur, a value is worth what its patterns leave
 no doubt of. Mentions of unknown values after patterns that end up certain are
@@ -35,6 +35,8 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+")
+#: a prefix of a token that is a word of its own
+_KEY = re.compile(r"(?<!\S)[\"'`(\[{<*#]*+[A-Za-z_-]++[:=](?=\S)")
 _WRAP = ".,;:!?()[]{}<>\"'`*#$%&|"
 _FOLD = str.maketrans(UPPER, LOWER)
 
@@ -85,31 +87,54 @@ def base_spans(text: str) -> list[list[Span]]:
     return [emails(text), ips, cards, phones]
 
 
+def _words(text: str) -> list[str]:
+    """White-space tokens, prefixes cut off, A-Z lower-cased."""
+    return _KEY.sub(r"\g<0> ", text).translate(_FOLD).split()
+
+
+def _word_start(text: str, token: int, start: int) -> int:
+    """Where the word that holds ``start`` begins, in the token that begins at ``token``."""
+    m = _KEY.match(text, token)
+    return m.end() if m and m.end() <= start else token
+
+
 def _context(text: str, start: int) -> str | None:
-    """The two words before ``start``, A-Z lower-cased; None with fewer, or if they are longer than 80 characters."""
-    words = text[max(0, start - 81) : start].split()
-    if len(words) < 2 or (len(words) == 2 and start > 81 and not text[start - 81].isspace()):
-        return None
-    return f"{words[-2]} {words[-1]}".translate(_FOLD)
+    """The two words before the word at ``start``; None with fewer, or if they are longer than 80 characters."""
+    before = text[max(0, start - 81) : start]
+    if start > 81 and not before[0].isspace():  # what begins before is no whole token
+        before = re.sub(r"^\S+", "", before)
+    words = _words(before)
+    return f"{words[-2]} {words[-1]}" if len(words) > 1 else None
 
 
 def mentions(text: str, base: list[list[Span]]) -> list[dict]:
-    """Base spans and other tokens with a digit or @, each with the context before it."""
+    """Base spans and other words with a digit or @, each with the context before the word that holds it."""
     taken = sorted((a, b, kind) for kind, spans in zip(KINDS, base, strict=True) for a, b in spans)
-    found = [{"context": _context(text, a), "value": text[a:b], "kind": kind, "start": a, "end": b} for a, b, kind in taken]
+    found = []
+    token = done = 0
+    for a, b, kind in taken:
+        at = a
+        while at > done and not text[at - 1].isspace():
+            at -= 1
+        if at > done or (at and text[at - 1].isspace()):
+            token = at
+        done = a
+        found.append({"context": _context(text, _word_start(text, token, a)), "value": text[a:b], "kind": kind, "start": a, "end": b})
     i = 0
     reach = 0
     for m in _TOKEN.finditer(text):
-        word = m[0].strip(_WRAP)
+        first = _word_start(text, m.start(), m.end())
+        whole = text[first : m.end()]
+        word = whole.strip(_WRAP)
         if len(word) < 4:
             continue
-        a = m.start() + m[0].index(word)
+        a = first + whole.index(word)
         b = a + len(word)
         while i < len(taken) and taken[i][0] < b:
             reach = max(reach, taken[i][1])
             i += 1
         if reach <= a:
-            found.append({"context": _context(text, a), "value": word, "kind": None, "start": a, "end": b})
+            found.append({"context": _context(text, first), "value": word, "kind": None, "start": a, "end": b})
     return [x for x in found if x["context"]]
 
 
@@ -131,30 +156,35 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _counts(seen: dict[str, int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["context", "n"])
+
+
 def _occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """context, places: how often the two words of each pattern stand anywhere in the corpus."""
+    """context, places: how often the two words of each pattern stand anywhere in the corpus, cut as contexts are."""
     n = patterns.count()
     if n == 0:
         return patterns.select("context", F.lit(0).cast("long").alias("places"))
-    if n <= BROADCAST_PATTERNS:
-        wanted = docs.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in patterns.collect()))
-
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known, seen = wanted.value, {}
-            for batch in batches:
-                for text in batch.column(0).to_pylist():
-                    words = (text or "").translate(_FOLD).split()
-                    for pair in zip(words, words[1:], strict=False):
-                        if (c := f"{pair[0]} {pair[1]}") in known:
-                            seen[c] = seen.get(c, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["context", "n"])
-
-        counted = docs.select("text").mapInArrow(count, "context string, n long")
-    else:
-        words = F.filter(F.split(F.translate("text", UPPER, LOWER), r"(?U)\s+"), lambda w: w != "")
-        pairs = docs.select(words.alias("w")).filter("size(w) > 1")
-        pairs = pairs.select(F.explode(F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b))).alias("context"))
-        counted = pairs.groupBy("context").agg(F.count("*").alias("n")).join(patterns, "context", "left_semi")
+    few = n <= BROADCAST_PATTERNS
+    wanted = docs.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in patterns.collect()) if few else None)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, seen = wanted.value, {}
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                words = _words(text or "")
+                for pair in zip(words, words[1:], strict=False):
+                    c = f"{pair[0]} {pair[1]}"
+                    if known is None or c in known:
+                        seen[c] = seen.get(c, 0) + 1
+                if len(seen) > BROADCAST_PATTERNS:
+                    yield _counts(seen)
+                    seen = {}
+        yield _counts(seen)
+
+    counted = docs.select("text").mapInArrow(count, "context string, n long")
+    if not few:
+        counted = counted.join(patterns, "context", "left_semi")
     return counted.groupBy("context").agg(F.sum("n").alias("places"))
 
 

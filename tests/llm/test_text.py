@@ -4,6 +4,7 @@ import re
 import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
+import pytest
 import tiktoken
 
 from citescan.llm import bpe, chat, pii, quality, queries
@@ -150,6 +151,26 @@ def test_personal_data_finds_unknown_values_by_their_contexts(spark):
     assert not any(got[9][k] for k in (*pii.KINDS, "id"))
 
 
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_personal_data_finds_quoted_bracketed_and_prefixed_values(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(pii, "BROADCAST_PATTERNS", broadcast)
+    cases = [('please contact via mail "', '"'), ("this is the code (", ")"), ("write to mail:", " now"), ('the field user="', '"')]
+    docs = [(100 * c + i, f"w{i} {a}user{i}@host{i}.org{b} end", "en", "s", 1) for c, (a, b) in enumerate(cases) for i in range(8)]
+    docs += [(100 * c + 50, f"well {a}user_at_home_99{b} end", "en", "s", 1) for c, (a, b) in enumerate(cases)]
+    got = {r["doc_id"]: r for r in pii.personal_data(documents(spark, docs)).collect()}
+    for c, (a, b) in enumerate(cases):
+        (span,) = got[100 * c + 50]["id"]
+        assert f"well {a}user_at_home_99{b} end"[span["start"] : span["end"]] == "user_at_home_99"
+
+
+def test_every_context_has_a_place():
+    texts = [*PII_TEXTS, *(r[1] for r in rows()), 'a mail:x@y.org,z@y.org "k9-77" (see id=AB-123) ' * 9, "q" * 90 + ":a1234 b:c:d@e.f " * 3]
+    for text in filter(None, texts):
+        words = pii._words(text)
+        places = {f"{a} {b}" for a, b in zip(words, words[1:], strict=False)}
+        assert {m["context"] for m in pii.mentions(text, pii.base_spans(text))} <= places
+
+
 def test_personal_data_of_nothing(spark):
     assert pii.personal_data(documents(spark, [])).count() == 0
 
