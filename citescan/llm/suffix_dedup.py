@@ -9,6 +9,12 @@ have too, or which have it twice. Those classes go to shards by anchor, one copy
 suffixes are sorted by external induction, with common prefixes: a start is
 repeated where its suffix shares ``length`` bytes with a neighbour.
 
+An anchor with more text than a part of a shard is not sorted but cut further on
+Spark. Equal strings have their first anchor at one distance from their start;
+starts of like distance (``NEAR``) form a block, whose strings share a core, all but
+a few bytes of them. Blocks whose core nothing else has are settled; the strings of
+the others are counted one by one, by 128 bits. So no shard grows with an anchor.
+
 So passages that thousands of documents hold cost one class each, and the sorted
 text is that of the places where copies begin to differ.
 """
@@ -22,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +41,10 @@ from citescan.session import keep
 PIECE = 32
 #: starts of a document that are worked on at once
 PART = 1 << 20
-#: bytes of a shard; a larger one happens where a single anchor needs it, and is on disk
+#: bytes of a shard, in the mean; an anchor with more than a quarter of them is cut further
 SHARD = 3 << 20
+#: distances from the anchor that make one block
+NEAR = 16
 
 
 @functools.cache
@@ -167,6 +176,100 @@ def _sort_shard(length: int):
     return run
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of batches whose last column, the pieces' bytes, is about PART long, or one piece."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(batch.num_columns - 1)).to_numpy())
+        lo = 0
+        while lo < batch.num_rows:
+            before = ends[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, before + PART, side="right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
+def _joined(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the pieces of a part, one after the other, and where each begins, with the end."""
+    pieces = [_bytes(x) for x in part.column(part.num_columns - 1)]
+    return np.frombuffer(b"".join(pieces), np.uint8), np.append(0, np.cumsum([len(x) for x in pieces])).astype(np.int64)
+
+
+def _ranges(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each range."""
+    return np.repeat(first - np.append(0, np.cumsum(counts)[:-1]), counts) + np.arange(counts.sum())
+
+
+def _cores(length: int):
+    """anchor, ka, kb, starts, piece → ka, kb, first and last start of each block, and two hashes of its core."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches):
+            anchor = part.column(0).to_numpy().astype(np.uint64)
+            ka, kb, starts = (part.column(i).to_numpy() for i in (1, 2, 3))
+            data, edge = _joined(part)
+            one, two = _Prefix(data, 1), _Prefix(data, 2)
+            at = np.arange(len(data) - PIECE + 1)
+            of = np.searchsorted(edge, at, side="right") - 1
+            places = at[(one.of(at, at + PIECE) == anchor[of]) & (at + PIECE <= edge[of + 1])]
+            s, row = _ranges(edge[:-1], starts), np.repeat(np.arange(len(starts)), starts)
+            place = places[np.searchsorted(places, s)]
+            block = (place - s) // NEAR
+            new = np.append(True, (row[1:] != row[:-1]) | (place[1:] != place[:-1]) | (block[1:] != block[:-1]))
+            i = np.flatnonzero(new)
+            last = s[np.append(i[1:], len(s)) - 1]
+            row, block = row[i], block[i]
+            lo = place[i] - block * NEAR
+            hi = lo - NEAR + 1 + length
+            ca, cb = (W.mixed(x.of(lo, hi) + block.astype(np.uint64)).astype(np.int64) for x in (one, two))
+            columns = (ka[row], kb[row], s[i] - edge[row], last - edge[row], ca, cb)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["ka", "kb", "first", "last", "ca", "cb"])
+
+    return run
+
+
+def _strings(length: int):
+    """ka, kb, blocks, piece → ka, kb, start and two hashes of each string of the blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches):
+            ka, kb = (part.column(i).to_numpy() for i in (0, 1))
+            blocks = part.column(2)
+            row = pc.list_parent_indices(blocks).to_numpy()
+            each = blocks.flatten()
+            first, last = (each.field(i).to_numpy() for i in (0, 1))
+            data, edge = _joined(part)
+            one, two = _Prefix(data, 1), _Prefix(data, 2)
+            s, row = _ranges(first, last - first + 1), np.repeat(row, last - first + 1)
+            a = s + edge[row]
+            wa, wb = (x.of(a, a + length).astype(np.int64) for x in (one, two))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (ka[row], kb[row], s, wa, wb)], names=["ka", "kb", "s", "wa", "wb"])
+
+    return run
+
+
+def _as_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        runs = []
+        for starts in batch.column(2).to_pylist():
+            flags = np.zeros(max(starts) + 1, bool)
+            flags[starts] = True
+            runs.append(_runs(flags))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(runs, _RUNS)], names=["ka", "kb", "runs"])
+
+
+def _counted(cut: DataFrame, length: int) -> DataFrame:
+    """ka, kb, runs of the repeated starts of pieces (anchor, ka, kb, starts, piece) that have all pieces of their anchors."""
+    pieces = keep(cut, "large-anchors", compression="zstd")
+    cores = pieces.mapInArrow(_cores(length), "ka long, kb long, first long, last long, ca long, cb long")
+    shared = keep(cores.groupBy("ca", "cb").agg(F.count("*").alias("n")).filter("n > 1").select("ca", "cb"), "cores")
+    blocks = cores.join(shared, ["ca", "cb"], "left_semi").groupBy("ka", "kb").agg(F.collect_list(F.struct("first", "last")).alias("blocks"))
+    live = keep(pieces.join(blocks, ["ka", "kb"]).select("ka", "kb", "blocks", "piece"), "blocks", compression="zstd")
+    strings = live.mapInArrow(_strings(length), "ka long, kb long, s long, wa long, wb long")
+    again = keep(strings.groupBy("wa", "wb").agg(F.count("*").alias("n")).filter("n > 1").select("wa", "wb"), "strings")
+    starts = strings.join(again, ["wa", "wb"], "left_semi").groupBy("ka", "kb").agg(F.collect_list("s").alias("starts"))
+    return starts.mapInArrow(_as_runs, "ka long, kb long, runs array<struct<first:long,last:long>>")
+
+
 def _cleaned(length: int, with_text: bool):
     """doc_id, text, runs of repeated starts → what is left."""
 
@@ -216,17 +319,23 @@ def without_repeats(docs: DataFrame, length: int = 400, with_text: bool = True)
     each = keep(_segments_of(texts, length), "segments")
     classes = each.groupBy("anchor", "ka", "kb").agg(F.count("*").alias("n"), F.min(F.struct("rid", "s", "e", "twice")).alias("one"))
     classes = keep(classes.select("anchor", "ka", "kb", "n", "one.*"), "classes")
-    unsettled = classes.groupBy("anchor").agg(F.count("*").alias("m"), F.sum((F.col("n") == 1).cast("long")).alias("single"), F.max("twice").alias("twice"))
-    unsettled = unsettled.filter("(m > 1 or twice > 0) and single > 0").select("anchor")
+    unsettled = classes.groupBy("anchor").agg(F.count("*").alias("m"), F.sum((F.col("n") == 1).cast("long")).alias("single"), F.max("twice").alias("twice"), F.sum(F.col("e") - F.col("s") + length - 1).alias("b"))
+    unsettled = unsettled.filter("(m > 1 or twice > 0) and single > 0").select("anchor", (F.col("b") > SHARD // 4).alias("large"))
     piece = F.struct("anchor", "ka", "kb", "s", "e", (F.col("e") + length - 1).alias("stop"))
-    wanted = classes.join(unsettled, "anchor").select("rid", piece.alias("p"))
-    wanted = keep(wanted.groupBy("rid").agg(F.collect_list("p").alias("pieces")), "wanted")
-    size = wanted.select(F.aggregate("pieces", F.lit(0).cast("long"), lambda a, p: a + p["stop"] - p["s"]).alias("b")).agg(F.sum("b")).first()[0] or 0
-    some = sieved(texts.select("rid", "text"), F.col("rid"), wanted.select("rid"))
-    cut = some.join(wanted, "rid").select("text", "pieces").mapInArrow(_cut, "anchor long, ka long, kb long, starts long, piece binary")
-    shards = cut.repartition(max(1, math.ceil(size / SHARD)), "anchor")
+    wanted = classes.join(unsettled, "anchor").select("rid", "large", piece.alias("p"))
+    wanted = keep(wanted.groupBy("large", "rid").agg(F.collect_list("p").alias("pieces")), "wanted")
+
+    def cut(some: DataFrame) -> DataFrame:
+        held = sieved(texts.select("rid", "text"), F.col("rid"), some.select("rid"))
+        return held.join(some.select("rid", "pieces"), "rid").select("text", "pieces").mapInArrow(_cut, "anchor long, ka long, kb long, starts long, piece binary")
+
+    size = wanted.select("large", F.aggregate("pieces", F.lit(0).cast("long"), lambda a, p: a + p["stop"] - p["s"]).alias("b")).groupBy("large").agg(F.sum("b"))
+    sizes = {r[0]: r[1] for r in size.collect()}
+    shards = cut(wanted.filter("not large")).repartition(max(1, math.ceil(sizes.get(False, 0) / SHARD)), "anchor")
     runs = "array<struct<first:long,last:long>>"
     sorted_ = shards.mapInArrow(_sort_shard(length), f"ka long, kb long, runs {runs}")
+    if sizes.get(True):
+        sorted_ = sorted_.union(_counted(cut(wanted.filter("large")), length))
     all_of = F.array(F.struct(F.lit(0).cast("long").alias("first"), (F.col("e") - F.col("s") - 1).alias("last")))
     copied = classes.filter("n > 1").select("ka", "kb", all_of.alias("runs"))
     single = classes.filter("n = 1").select("ka", "kb")

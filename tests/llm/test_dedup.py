@@ -102,6 +102,28 @@ def test_repeats_in_small_parts(spark, monkeypatch):
     assert order(got) == order(brute_repeats([(r[0], r[1]) for r in rows()], 100))
 
 
+def test_repeats_of_one_passage_in_many_contexts(spark, monkeypatch):
+    """Segments at a common passage's edges share its anchors: none of them is sorted in one shard."""
+    shard, seen = 20_000, spark.sparkContext.accumulator(0)
+    sort = suffix_dedup.repeated
+
+    def sort_small(text, length):
+        seen.add(int(len(text) > 4 * shard))
+        return sort(text, length)
+
+    monkeypatch.setattr(suffix_dedup, "SHARD", shard)
+    monkeypatch.setattr(suffix_dedup, "repeated", sort_small)
+    rng = np.random.default_rng(5)
+    passage = "".join(map(chr, rng.integers(97, 123, 700)))
+    text = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    items = [(i, f"{text(300)}{'xy'[i % 2]}{passage}{'z' * (i % 5)}{text(300)}") for i in range(300)]
+    items += [(300, passage + text(5) + passage), (301, passage[:380] * 4), (302, "ab" * 900), (303, text(9) + passage[100:480] + text(9))]
+    docs = documents(spark, [(d, x, "en", "s", len(x)) for d, x in items]).repartition(3)
+    got = [tuple(r) for r in suffix_dedup.without_repeats(docs, 400, with_text=False).collect()]
+    assert seen.value == 0
+    assert order(got) == order(brute_repeats(items, 400))
+
+
 def test_repeats_of_nothing(spark):
     assert suffix_dedup.without_repeats(documents(spark, [])).count() == 0
 
