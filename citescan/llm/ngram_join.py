@@ -68,13 +68,13 @@ def _edges(ranges: int) -> np.ndarray:
 
 
 def signatures(tokens: np.ndarray, similarity: int) -> list[np.ndarray]:
-    """A signature of each range, for the set's own class and for the next one if a linked set can be there."""
+    """A signature of each range, for the set's own class and for each larger one in which a linked set can be."""
     n, out = len(tokens), []
     starts = size_classes(1 << max(10, (2 * n).bit_length()))
     own = int(np.searchsorted(starts, n, side="right")) - 1
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(W.mixed(tokens ^ np.uint64(0x5851F42D4C957F2D)), out=total[1:])
-    for c in (own, own + 1):
+    for c in range(own, len(starts) - 1):
         if c > own and 100 * n < similarity * starts[c]:
             break
         ranges = apart(similarity, starts[c + 1] - 1) + SPARE

@@ -30,6 +30,16 @@ def test_jaccard_components_of_nothing(spark):
     assert ngram_join.jaccard_components(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("similarity", [51, 60, 70, 80, 90])
+def test_linked_sets_of_unlike_sizes_share_a_signature(similarity):
+    rng = np.random.default_rng(similarity)
+    for small in (1, 2, 3, 10, 100, 1000):
+        large = np.unique(rng.integers(0, 1 << 63, 100 * small // similarity, dtype=np.uint64) * np.uint64(2))
+        part = np.sort(rng.permutation(large)[:small])
+        one, two = (np.concatenate(ngram_join.signatures(x, similarity)) for x in (part, large))
+        assert len(np.intersect1d(one, two))
+
+
 def test_one_of_each_keeps_a_row_of_every_component(spark):
     kept = [(r["doc_id"], r["text"]) for r in ngram_join.one_of_each(documents(spark), 5, 80).collect()]
     found = brute_components([(i, r[1]) for i, r in enumerate(rows())], 5, 80)
