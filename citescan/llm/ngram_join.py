@@ -13,10 +13,14 @@ components are kept as groups of bounded size, each with the union of its member
 tokens. A query opens a group only if its overlap with the union reaches what a
 link needs, and then meets the members one by one.
 
-No step pairs the rows of a group with each other: equal sets are one node, a
-signature shared within one component is dropped, and a signature that many nodes
-share is replaced by its combinations with the nodes' other signatures, of which
-linked sets must share one as well.
+On the way to components no step pairs the rows of a group with each other: equal
+sets are one node, a signature shared within one component is dropped, and a
+signature that many nodes share is replaced by its combinations with the nodes'
+other signatures, of which linked sets must share one as well.
+
+The links of each row are counted on demand. All are within components, which are
+cut into blocks of bounded size; each pair of blocks of a component is one group of
+rows, in which those within reach of the other block's union are all compared.
 """
 
 from __future__ import annotations
@@ -43,6 +47,10 @@ COMMON = 256
 GROUP = 48
 #: ratio of the largest to the smallest set of a class
 STEP = 1.25
+#: tokens of a block in which links are counted
+BLOCK = 1 << 18
+#: tokens that are compared at once
+COLUMNS = 2048
 #: rounds in which a signature's components meet only its first one
 STAR_ROUNDS = 3
 
@@ -193,6 +201,79 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([held[0]], pa.int64()), pa.array([held[1]], pa.int64())], names=["sig", "node"])
 
 
+def _overlaps(tokens: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many tokens each of the sets ``left`` shares with each of ``right``; set i is tokens[at[i]:at[i + 1]]."""
+    both = np.zeros((len(left), len(right)), np.int64)
+    names, ids, counts = np.unique(tokens, return_inverse=True, return_counts=True)
+    ids = np.where(counts > 1, np.cumsum(counts > 1) - 1, -1)[ids]
+    order = np.argsort(ids, kind="stable")
+    ids, row = ids[order], np.repeat(np.arange(len(at) - 1), np.diff(at))[order]
+    lo = int(np.searchsorted(ids, 0))
+    ids, row = ids[lo:], row[lo:]
+    for c in range(0, int(ids[-1]) + 1 if len(ids) else 0, COLUMNS):
+        a, b = np.searchsorted(ids, (c, c + COLUMNS))
+        there = np.zeros((len(at) - 1, min(COLUMNS, int(ids[-1]) + 1 - c)), np.float32)
+        there[row[a:b], ids[a:b] - c] = 1
+        both += (there[left] @ there[right].T).astype(np.int64)
+    return both
+
+
+def _block_links(similarity: int, pair: tuple[int, int], node: np.ndarray, slot: np.ndarray, rows: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """node, and rows that it links with, of a pair of blocks, which may be one block with itself."""
+    size = np.array([len(x) for x in sets])
+    left, right = (np.flatnonzero(slot == x) for x in pair)
+    if pair[0] == pair[1]:
+        right = left
+    elif len(left) and len(right):  # the union of a block bounds what a set shares with its members
+        unions = [np.unique(np.concatenate([sets[i] for i in side])) for side in (right, left)]
+        left, right = (
+            np.array([i for i in side if 100 * np.isin(sets[i], u, assume_unique=True).sum() >= similarity * size[i]], np.int64)
+            for side, u in zip((left, right), unions, strict=True)
+        )
+    if not len(left) or not len(right):
+        return node[:0], rows[:0]
+    both = _overlaps(np.concatenate(sets), np.append(0, np.cumsum(size)), left, right)
+    link = 100 * both >= similarity * (size[left][:, None] + size[right][None, :] - both)
+    link &= left[:, None] != right[None, :]
+    if right is left:
+        return node[left], link @ rows[right]
+    return np.append(node[left], node[right]), np.append(link @ rows[right], rows[left] @ link)
+
+
+def _counted(similarity: int):
+    """comp, i, j, node, slot, rows, tokens, sorted by the first three → node, links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key: tuple | None = None
+        held: list[tuple] = []
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def settle() -> None:
+            if len(held) > 1:
+                node, slot, rows, sets = zip(*held, strict=True)
+                done.append(_block_links(similarity, key[1:], np.array(node), np.array(slot), np.array(rows), list(sets)))
+            held.clear()
+
+        def out() -> pa.RecordBatch:
+            columns = [np.concatenate([np.zeros(0, np.int64), *(d[i] for d in done)]) for i in (0, 1)]
+            done.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["node", "links"])
+
+        for batch in batches:
+            plain = [batch.column(i).to_pylist() for i in range(6)]
+            for i, (comp, a, b, node, slot, rows) in enumerate(zip(*plain, strict=True)):
+                if key != (comp, a, b):
+                    settle()
+                    key = (comp, a, b)
+                held.append((node, slot, rows, batch.column(6)[i].values.to_numpy().copy()))
+            if len(done) > 1000:
+                yield out()
+        settle()
+        yield out()
+
+    return run
+
+
 class Join:
     """The parts of one run: nodes with their tokens, tried pairs, links and components."""
 
@@ -200,7 +281,7 @@ class Join:
         self.similarity = similarity
         rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
         self.rows = keep(_sketched(rows, k, similarity), "sets")
-        classes = self.rows.filter("n > 0").groupBy("ka", "kb").agg(F.min("rid").alias("node"), F.min("doc_id").alias("first_id"))
+        classes = self.rows.filter("n > 0").groupBy("ka", "kb").agg(F.min("rid").alias("node"), F.min("doc_id").alias("first_id"), F.count("*").alias("rows"))
         self.classes = keep(classes, "set-classes")
         nodes = self.rows.select(F.col("rid").alias("node"), "doc_id", "n", "ka", "kb", "sketch").join(self.classes.select("node"), "node", "left_semi")
         self.nodes = keep(nodes, "nodes")
@@ -318,23 +399,44 @@ class Join:
         self.verify(keep(pairs.select(F.col("q").alias("a"), F.col("node").alias("b")).distinct(), "pairs"))
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id: one row per row of ``docs``.
+    def counted(self) -> DataFrame:
+        """node, links of all nodes: the other rows of ``docs`` that each of the node's rows links with."""
+        nodes = self.with_comp(self.classes.select("node", "rows")).join(self.nodes.select("node", "n"), "node")
+        nodes = keep(nodes, "linked-nodes")
+        size = nodes.groupBy("comp").agg(F.count("*").alias("c"), F.sum("rows").alias("all"), F.ceil(F.sum("n") / BLOCK).cast("long").alias("blocks"))
+        nodes = keep(nodes.join(size, "comp"), "component-sizes")
+        slot = F.pmod(F.xxhash64("node"), F.col("blocks"))
+        each = nodes.filter("c > 2").select("comp", "node", "rows", slot.alias("slot"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("t"))
+        each = each.select("comp", F.least("slot", "t").alias("i"), F.greatest("slot", "t").alias("j"), "node", "slot", "rows")
+        each = each.join(self.tokens, "node").select("comp", "i", "j", "node", "slot", "rows", "tokens")
+        each = each.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")
+        found = each.mapInArrow(_counted(self.similarity), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+        # the two nodes of a component of two are linked
+        links = F.when(F.col("c") > 2, F.coalesce("links", F.lit(0)) + F.col("rows") - 1).otherwise(F.col("all") - 1)
+        return nodes.join(found, "node", "left").select("node", links.alias("links"))
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, similarity: int = 80, links: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id and, if wanted, n_links: one row per row of ``docs``.
 
     ``similarity`` is in hundredths: two rows link when 100 * intersection >=
     similarity * union of their shingle sets. ``component_id`` is the smallest doc_id
-    that links reach. A text of fewer than ``k`` words is one shingle; a null text, an
+    that links reach, ``n_links`` the number of other rows that the row links with. A text of fewer than ``k`` words is one shingle; a null text, an
     empty one or one of white space has none and links with nothing. Repeated rows and
     repeated doc_ids are rows of their own, compared like all others; null doc_ids are
     larger than none (a component of only null ids has a null id). Other columns are
     ignored; an empty table gives an empty result.
     """
-    out = _classed(docs, k, similarity)
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = _classed(docs, k, similarity, links)
+    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+    return out.select("doc_id", "n_shingles", component, *[F.coalesce("links", F.lit(0).cast("long")).alias("n_links")] * links)
+
 
+def _classed(docs: DataFrame, k: int, similarity: int, links: bool = False) -> DataFrame:
+    """doc_id, n_shingles, ka, kb, component_id, chosen: ``chosen`` marks the rows of one set of each component, with its component_id.
 
-def _classed(docs: DataFrame, k: int, similarity: int) -> DataFrame:
-    """doc_id, n_shingles, ka, kb, component_id, chosen: ``chosen`` marks the rows of one set of each component, with its component_id."""
+    With ``links`` their number as well, null without words.
+    """
     if not 50 < similarity <= 100:
         raise ValueError("similarity: 51 to 100 hundredths")
     join = Join(docs, k, similarity)
@@ -344,7 +446,8 @@ def _classed(docs: DataFrame, k: int, similarity: int) -> DataFrame:
     # nulls are larger than all ids
     first = F.struct(F.col("first_id").isNull().alias("none"), "first_id", "node")
     least = keep(named.groupBy("comp").agg(F.min(first).alias("first")), "component-ids")
-    named = named.join(least, "comp").select("ka", "kb", F.col("first.first_id").alias("component_id"), (F.col("node") == F.col("first.node")).alias("chosen"))
+    named = named.join(least, "comp").select("ka", "kb", F.col("first.first_id").alias("component_id"), (F.col("node") == F.col("first.node")).alias("chosen"), "node")
+    named = (named.join(join.counted(), "node") if links else named).drop("node")
     rows = join.rows.select("doc_id", F.col("n").alias("n_shingles"), "ka", "kb").join(keep(named, "class-ids"), ["ka", "kb"], "left")
     return rows.withColumn("chosen", F.col("chosen") & F.col("doc_id").eqNullSafe(F.col("component_id")))
 

@@ -7,7 +7,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from citescan.llm import exact_dedup, induced_sort, ngram_join, suffix_dedup, words
-from tests.llm.helpers import brute_components, clashing, documents, order, rows
+from tests.llm.helpers import brute_components, brute_shingles, clashing, documents, edited, order, rows
+from tests.llm.helpers import words as words_of
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -26,6 +27,29 @@ def test_jaccard_components_of_common_signatures(spark, monkeypatch):
     assert order(got) == order(brute_components([(r[0], r[1]) for r in rows()], 3, 90))
 
 
+def brute_links(items, k, similarity):
+    sets = [brute_shingles(t, k) for _, t in items]
+    linked = lambda a, b: a and b and 100 * len(a & b) >= similarity * len(a | b)
+    return [(d, sum(bool(linked(a, b)) for j, b in enumerate(sets) if j != i)) for i, ((d, _), a) in enumerate(zip(items, sets, strict=True))]
+
+
+@pytest.mark.parametrize("block,columns", [(1 << 18, 2048), (400, 7)])
+def test_links_within_components_as_brute_force(spark, monkeypatch, block, columns):
+    """Near copies of near copies: components in which some link and others do not, in one block and in several."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "COLUMNS", columns)
+    chain, items = words_of(150, 31), []
+    for i in range(12):
+        chain = edited(chain, 75, i)
+        items.append((1000 + i, chain))
+    items += [(2000 + i, edited(items[0][1], 50, 50 + i)) for i in range(8)] + [(3000, items[3][1]), (3001, items[3][1]), (4000, words_of(90, 8)), (4001, words_of(90, 8) + " z")]
+    items += [(r[0], r[1]) for r in rows()]
+    docs = documents(spark, [(d, t, "en", "s", 1) for d, t in items])
+    got = [tuple(r) for r in ngram_join.jaccard_components(docs, 3, 90, links=True).select("doc_id", "n_links").collect()]
+    want = brute_links(items, 3, 90)
+    assert order(got) == order(want) and len({n for _, n in want}) > 3
+
+
 def test_jaccard_components_of_nothing(spark):
     assert ngram_join.jaccard_components(documents(spark, [])).count() == 0
 
