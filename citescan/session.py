@@ -35,25 +35,34 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: whether the shuffle files of a statement go when it ends
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def keep(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The written table cuts the lineage and survives the loss of any executor,
-    and later reads of it prune columns. Tables of one application sit under one
-    folder named by its id, which whoever owns the shared folder may drop when
-    the application has ended.
+    and later reads of it prune columns. Its shuffle files go once it is written.
+    Tables of one application sit under one folder named by its id, which whoever
+    owns the shared folder may drop when the application has ended.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path, compression=compression)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path, compression=compression)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
 
 
-def keep_by(df: DataFrame, name: str, key: str) -> DataFrame:
-    """Like ``keep``, and bucketed by ``key``: joins on it shuffle only the other side."""
-    spark = df.sparkSession
-    table = f"{name.replace('-', '_')}_{uuid.uuid4().hex[:12]}"
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{table}"
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
-    return spark.table(table)
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``keep`` has written and that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.kept_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
