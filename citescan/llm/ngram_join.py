@@ -1,26 +1,21 @@
-"""N-gram Jaccard self-join of documents with a token-group matrix, down to components.
+"""N-gram Jaccard self-join of documents with a token-group matrix.
 
 A document is the set of its word shingles, as 64-bit tokens; equal sets become one
-node. Candidates come from signatures, exactly: documents are classed by set size,
-and the token space is cut into more ranges than two linked sets of a class can
-have tokens apart, so linked sets agree in at least ``SPARE`` whole ranges. A
-signature is the content of one range.
-
-Similar nodes are first put into groups around a leader by a sketch of three
-minima, and those that link with their leader are connected there. What the
-signatures still suggest between different components is settled by the matrix:
-components are kept as groups of bounded size, each with the union of its members'
-tokens. A query opens a group only if its overlap with the union reaches what a
-link needs, and then meets the members one by one.
-
-On the way to components no step pairs the rows of a group with each other: equal
-sets are one node, a signature shared within one component is dropped, and a
-signature that many nodes share is replaced by its combinations with the nodes'
-other signatures, of which linked sets must share one as well.
-
-The links of each row are counted on demand. All are within components, which are
-cut into blocks of bounded size; each pair of blocks of a component is one group of
-rows, in which those within reach of the other block's union are all compared.
+node. Signatures say which sets can link, exactly: sets are classed by size, and the
+token space is cut into more ranges than two linked sets of a class can have tokens
+apart, so linked sets agree in at least ``SPARE`` whole ranges. A signature is the
+content of one range, or of two where ranges hold next to nothing.
+
+The matrix: nodes are partitioned into groups of similar ones, by the signature of
+theirs that most nodes share, and large groups are cut by hash to ``BLOCK`` tokens.
+A group meets the groups with which it has a signature in common. One task holds a
+group's members and the union of their tokens; the members of the other groups come
+past as queries. A query whose overlap with the union does not reach what a link
+needs is done with; for the others the group is opened and all members are compared.
+Every pair of linked nodes is found in this way, within a group or by both queries.
+
+No pair of nodes leaves a task: each node has the number of its links and one edge
+to the least node that it is connected with there. Components come from the edges.
 """
 
 from __future__ import annotations
@@ -37,22 +32,24 @@ from pyspark.sql import types as T
 
 from citescan.llm import words as W
 from citescan.llm.sieve import sieved
-from citescan.session import keep, keep_by
+from citescan.session import drop, keep
 
-#: whole ranges that linked sets share at least: one, and one for each refinement
+#: whole ranges that linked sets share at least: one, and one for each that is put together with it
 SPARE = 2
-#: nodes from which on a signature is combined with others
+#: poor ranges of a set, about, up to which they make signatures in pairs
+POOR = 8
+#: groups from which on a signature counts only together with another one
 COMMON = 256
-#: members of a group of the matrix
-GROUP = 48
 #: ratio of the largest to the smallest set of a class
 STEP = 1.25
-#: tokens of a block in which links are counted
+#: tokens of a group, in the mean
 BLOCK = 1 << 18
+#: tokens that a smaller set counts as
+LIGHT = 512
+#: blocks of queries that one task puts to a group
+QUERIES = 8
 #: tokens that are compared at once
 COLUMNS = 2048
-#: rounds in which a signature's components meet only its first one
-STAR_ROUNDS = 3
 
 
 @functools.cache
@@ -75,8 +72,21 @@ def _edges(ranges: int) -> np.ndarray:
     return np.array([-(-(j << 64) // ranges) for j in range(ranges)], dtype=np.uint64)
 
 
+@functools.lru_cache(maxsize=4096)
+def _poor(ranges: int, size: int) -> int:
+    """Tokens below which a range is poor: 2, 1 or 0, so that a set of ``size`` tokens has few poor ranges."""
+    mean = size / ranges
+    if ranges * math.exp(-mean) * (1 + mean) <= POOR:
+        return 2
+    return int(ranges * math.exp(-mean) <= POOR)
+
+
 def signatures(tokens: np.ndarray, similarity: int) -> list[np.ndarray]:
-    """A signature of each range, for the set's own class and for each larger one in which a linked set can be."""
+    """Signatures for the set's own class and for each larger one in which a linked set can be.
+
+    Of the ranges that two linked sets share, one is not poor and has a signature of
+    its own, or two are poor and have one together.
+    """
     n, out = len(tokens), []
     starts = size_classes(1 << max(10, (2 * n).bit_length()))
     own = int(np.searchsorted(starts, n, side="right")) - 1
@@ -85,21 +95,18 @@ def signatures(tokens: np.ndarray, similarity: int) -> list[np.ndarray]:
     for c in range(own, len(starts) - 1):
         if c > own and 100 * n < similarity * starts[c]:
             break
-        ranges = apart(similarity, starts[c + 1] - 1) + SPARE
+        differ = apart(similarity, starts[c + 1] - 1)
+        ranges = differ + SPARE if differ else 1
         cut = np.append(np.searchsorted(tokens, _edges(ranges)), n)
         salt = np.uint64(c << 40) + np.arange(ranges, dtype=np.uint64)
-        out.append(W.mixed(W.mixed(salt) + (total[cut[1:]] - total[cut[:-1]]) * np.uint64(0x2545F4914F6CDD1D)))
+        each = W.mixed(W.mixed(salt) + (total[cut[1:]] - total[cut[:-1]]) * np.uint64(0x2545F4914F6CDD1D))
+        poor = np.diff(cut) < (_poor(ranges, starts[c]) if differ else 0)
+        i, j = np.triu_indices(int(poor.sum()), 1)
+        both = each[poor][i] * np.uint64(0xDA942042E4DD58B5) + W.mixed(each[poor][j])
+        out.append(np.append(each[~poor], W.mixed(both)))
     return out
 
 
-def sketch(tokens: np.ndarray) -> int:
-    """Three minima of the set in one number."""
-    third = np.array([0, (1 << 64) // 3, (2 << 64) // 3], dtype=np.uint64)
-    at = np.searchsorted(tokens, third) % len(tokens)
-    least = tokens[at] * np.array([3, 5, 7], np.uint64)
-    return int(W.mixed(least.sum(dtype=np.uint64, keepdims=True)).astype(np.int64)[0])
-
-
 def set_key(tokens: np.ndarray) -> tuple[int, int]:
     """128 bits of the set."""
     sums = [W.mixed(tokens ^ np.uint64(x)).sum(dtype=np.uint64) for x in (0x1D8E4E27C47D124F, 0xEB44ACCAB455D165)]
@@ -112,41 +119,32 @@ def _sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
         yield W.shingles(hashes[a:b], k)
 
 
-def _sketched(rows: DataFrame, k: int, similarity: int) -> DataFrame:
-    """rid, doc_id, n, ka, kb, sketch, sigs of rid, doc_id, text."""
+def _signed(rows: DataFrame, k: int, similarity: int) -> DataFrame:
+    """rid, doc_id, n, ka, kb, sigs of rid, doc_id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                n, ka, kb, sk, sigs = [], [], [], [], []
+                n, ka, kb, sigs = [], [], [], []
                 for tokens in _sets(batch.column(2), k):
                     n.append(len(tokens))
-                    if len(tokens) == 0:
-                        for x in (ka, kb, sk, sigs):
-                            x.append(None)
-                        continue
-                    a, b = set_key(tokens)
+                    a, b = set_key(tokens) if len(tokens) else (None, None)
                     ka.append(a)
                     kb.append(b)
-                    sk.append(sketch(tokens))
-                    sigs.append([s.astype(np.int64) for s in signatures(tokens, similarity)])
+                    sigs.append([s.astype(np.int64) for s in signatures(tokens, similarity)] if len(tokens) else None)
                 long = pa.int64()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(n, long), pa.array(ka, long), pa.array(kb, long), pa.array(sk, long), pa.array(sigs, pa.list_(pa.list_(long)))],
-                    names=["rid", "doc_id", "n", "ka", "kb", "sketch", "sigs"],
+                    [batch.column(0), batch.column(1), pa.array(n, long), pa.array(ka, long), pa.array(kb, long), pa.array(sigs, pa.list_(pa.list_(long)))],
+                    names=["rid", "doc_id", "n", "ka", "kb", "sigs"],
                 )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"rid long, doc_id {kind}, n long, ka long, kb long, sketch long, sigs array<array<long>>")
+    return rows.mapInArrow(run, f"rid long, doc_id {kind}, n long, ka long, kb long, sigs array<array<long>>")
 
 
 def _tokens_of(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """node, tokens of nodes (node, doc_id, ka, kb): sets made again from the texts, held to their keys.
-
-    A filter of fixed size over the wanted doc_ids spares most other texts the work;
-    the keys decide.
-    """
+    """ka, kb, tokens of the texts whose doc_id one of ``nodes`` has, and perhaps of some others: sets made again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -158,9 +156,7 @@ def _tokens_of(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
                 )
 
     texts = sieved(docs.select("doc_id", "text"), F.col("doc_id"), nodes.select("doc_id")).select("text")
-    made = texts.mapInArrow(run, "ka long, kb long, tokens array<long>")
-    found = made.join(nodes.select("node", "ka", "kb"), ["ka", "kb"]).groupBy("ka", "kb").agg(F.first("node").alias("node"), F.first("tokens").alias("tokens"))
-    return found.select("node", "tokens")
+    return texts.mapInArrow(run, "ka long, kb long, tokens array<long>")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -169,7 +165,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = keep(links.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     state = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     before = state(edges)
-    while True:
+    while before[0]:
         around = both(edges)
         least = around.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = around.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -177,6 +173,7 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), "m"), F.struct("a", "m"))).alias("x"))
         small = keep(small.select("x.a", F.col("x.m").alias("b")).filter("a != b").distinct(), "links")
+        drop(edges, large)
         edges, now = small, state(small)
         if now == before:
             break
@@ -218,202 +215,198 @@ def _overlaps(tokens: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.nd
     return both
 
 
-def _block_links(similarity: int, pair: tuple[int, int], node: np.ndarray, slot: np.ndarray, rows: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """node, and rows that it links with, of a pair of blocks, which may be one block with itself."""
-    size = np.array([len(x) for x in sets])
-    left, right = (np.flatnonzero(slot == x) for x in pair)
-    if pair[0] == pair[1]:
-        right = left
-    elif len(left) and len(right):  # the union of a block bounds what a set shares with its members
-        unions = [np.unique(np.concatenate([sets[i] for i in side])) for side in (right, left)]
-        left, right = (
-            np.array([i for i in side if 100 * np.isin(sets[i], u, assume_unique=True).sum() >= similarity * size[i]], np.int64)
-            for side, u in zip((left, right), unions, strict=True)
-        )
-    if not len(left) or not len(right):
-        return node[:0], rows[:0]
-    both = _overlaps(np.concatenate(sets), np.append(0, np.cumsum(size)), left, right)
-    link = 100 * both >= similarity * (size[left][:, None] + size[right][None, :] - both)
-    link &= left[:, None] != right[None, :]
-    if right is left:
-        return node[left], link @ rows[right]
-    return np.append(node[left], node[right]), np.append(link @ rows[right], rows[left] @ link)
+def _least_linked(link: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least column that each row and each column of a matrix of links is connected with; columns without links: themselves."""
+    none = link.shape[1]
+    column = np.arange(none)
+    while True:
+        row = np.where(link, column, none).min(axis=1, initial=none)
+        new = np.minimum(column, np.where(link, row[:, None], none).min(axis=0, initial=none))
+        new = new[new]
+        if np.array_equal(new, column):
+            return row, column
+        column = new
 
 
-def _counted(similarity: int):
-    """comp, i, j, node, slot, rows, tokens, sorted by the first three → node, links."""
+class _Group:
+    """The members of a group, or a part of its queries with them."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key: tuple | None = None
-        held: list[tuple] = []
-        done: list[tuple[np.ndarray, np.ndarray]] = []
+    def __init__(self, similarity: int):
+        self.similarity = similarity
+        self.node: list[int] = []
+        self.rows: list[int] = []
+        self.sets: list[np.ndarray] = []
+        self.union: np.ndarray | None = None
+        self.asked: list[tuple[int, np.ndarray]] = []
+        self.weight = 0
+
+    def linked(self, left: list[np.ndarray]) -> np.ndarray:
+        """Which of the sets ``left`` link with which members."""
+        sets = [*left, *self.sets]
+        size = np.array([len(x) for x in sets])
+        ours = np.arange(len(left), len(sets))
+        both = _overlaps(np.concatenate(sets), np.append(0, np.cumsum(size)), np.arange(len(left)), ours)
+        return 100 * both >= self.similarity * (size[: len(left), None] + size[None, ours] - both)
+
+    def within(self) -> Iterator[tuple[np.ndarray, ...]]:
+        """a, b and a's links of members that link with others: b is the least one that a is connected with."""
+        if len(self.node) < 2:
+            return
+        link = self.linked(self.sets)
+        node, rows, (least, _) = np.array(self.node), np.array(self.rows), _least_linked(link)
+        at = np.flatnonzero(link.sum(axis=1) > 1)  # all link with themselves
+        yield node[at], node[least[at]], (link @ rows - rows)[at]
+
+    def put(self, node: int, tokens: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        self.asked.append((node, tokens))
+        self.weight += max(len(tokens), LIGHT)
+        if self.weight > BLOCK:
+            yield from self.answers()
+
+    def answers(self) -> Iterator[tuple[np.ndarray, ...]]:
+        """a, b and a's links of the queries that link with members, and edges between members that one query connects."""
+        asked, self.asked, self.weight = self.asked, [], 0
+        if not asked or not self.sets:
+            return
+        if self.union is None:
+            self.union = np.unique(np.concatenate(self.sets))
+        tokens, size = np.concatenate([t for _, t in asked]), np.array([len(t) for _, t in asked])
+        there = self.union[np.minimum(np.searchsorted(self.union, tokens), len(self.union) - 1)] == tokens
+        bound = np.add.reduceat(there, np.append(0, np.cumsum(size)[:-1]))
+        opened = [asked[i] for i in np.flatnonzero(100 * bound >= self.similarity * size)]
+        if not opened:
+            return
+        link = self.linked([t for _, t in opened])
+        at = np.flatnonzero(link.any(axis=1))
+        node, (row, column) = np.array(self.node), _least_linked(link)
+        yield np.array([q for q, _ in opened])[at], node[row[at]], (link @ np.array(self.rows))[at]
+        at = np.flatnonzero(column != np.arange(len(column)))
+        yield node[at], node[column[at]], np.zeros(len(at), np.int64)
 
-        def settle() -> None:
-            if len(held) > 1:
-                node, slot, rows, sets = zip(*held, strict=True)
-                done.append(_block_links(similarity, key[1:], np.array(node), np.array(slot), np.array(rows), list(sets)))
-            held.clear()
 
-        def out() -> pa.RecordBatch:
-            columns = [np.concatenate([np.zeros(0, np.int64), *(d[i] for d in done)]) for i in (0, 1)]
-            done.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["node", "links"])
+def _opened(similarity: int):
+    """g, part, query, node, rows, tokens, sorted by the first four → a, b, links."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key: tuple | None = None
+        last: tuple | None = None
+        group = _Group(similarity)
         for batch in batches:
-            plain = [batch.column(i).to_pylist() for i in range(6)]
-            for i, (comp, a, b, node, slot, rows) in enumerate(zip(*plain, strict=True)):
-                if key != (comp, a, b):
-                    settle()
-                    key = (comp, a, b)
-                held.append((node, slot, rows, batch.column(6)[i].values.to_numpy().copy()))
-            if len(done) > 1000:
-                yield out()
-        settle()
-        yield out()
+            found: list[tuple[np.ndarray, ...]] = []
+            plain = [batch.column(i).to_pylist() for i in range(5)]
+            for i, (g, part, query, node, rows) in enumerate(zip(*plain, strict=True)):
+                if (g, part, query, node) == last:  # rows of one text
+                    continue
+                if key != (g, part, query):
+                    if key and not key[2] and key[1] == 0:
+                        found += group.within()
+                    if key and key[:2] != (g, part):
+                        found += group.answers()
+                        group = _Group(similarity)
+                key, last = (g, part, query), (g, part, query, node)
+                tokens = batch.column(5)[i].values.to_numpy().copy()
+                if query:
+                    found += group.put(node, tokens)
+                else:
+                    group.node.append(node)
+                    group.rows.append(rows)
+                    group.sets.append(tokens)
+            yield _linked_rows(found)
+        if key:
+            yield _linked_rows([*(group.within() if not key[2] and key[1] == 0 else ()), *group.answers()])
 
     return run
 
 
+def _linked_rows(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    columns = [np.concatenate([np.zeros(0, np.int64), *(f[i] for f in found)]) for i in range(3)]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "links"])
+
+
 class Join:
-    """The parts of one run: nodes with their tokens, tried pairs, links and components."""
+    """The tables of one run: rows, classes of equal sets, links and components."""
 
     def __init__(self, docs: DataFrame, k: int, similarity: int):
         self.similarity = similarity
         rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
-        self.rows = keep(_sketched(rows, k, similarity), "sets")
-        classes = self.rows.filter("n > 0").groupBy("ka", "kb").agg(F.min("rid").alias("node"), F.min("doc_id").alias("first_id"), F.count("*").alias("rows"))
-        self.classes = keep(classes, "set-classes")
-        nodes = self.rows.select(F.col("rid").alias("node"), "doc_id", "n", "ka", "kb", "sketch").join(self.classes.select("node"), "node", "left_semi")
-        self.nodes = keep(nodes, "nodes")
-        self.links: list[DataFrame] = []
-        self.comp: DataFrame | None = None
-
-        each = self.rows.select(F.explode(F.flatten("sigs")).alias("sig"), F.col("rid").alias("node"))
+        self.rows = keep(_signed(rows, k, similarity), "sets")
+        classes = self.rows.filter("n > 0").groupBy("ka", "kb").agg(
+            F.min(F.struct("rid", "doc_id")).alias("one"), F.min("doc_id").alias("first_id"), F.count("*").alias("rows"), F.min("n").alias("n")
+        )
+        self.classes = keep(classes.select("ka", "kb", F.col("one.rid").alias("node"), F.col("one.doc_id").alias("doc_id"), "first_id", "rows", "n"), "set-classes")
+        # copies of one set send their signatures once
+        each = sieved(self.rows.filter("n > 0").select("rid", "sigs"), F.col("rid"), self.classes.select("node"))
+        each = each.select(F.explode(F.flatten("sigs")).alias("sig"), F.col("rid").alias("node"))
         shared = each.repartition("sig").sortWithinPartitions("sig").mapInArrow(_shared, "sig long, node long")
         self.places = keep(shared.join(self.classes.select("node"), "node", "left_semi"), "signatures")
-        by_sketch = self.nodes.groupBy("sketch").agg(F.min("node").alias("a"), F.count("*").alias("c")).filter("c > 1")
-        by_sketch = keep(by_sketch.select("sketch", "a"), "leaders")
-        stars = keep(self.nodes.select("node", "sketch").join(by_sketch, "sketch").select("a", F.col("node").alias("b")), "stars")
-        active = self.places.select("node").union(stars.select("b")).distinct()
-        active = self.nodes.select("node", "doc_id", "ka", "kb").join(active, "node", "left_semi")
-        self.tokens = keep_by(_tokens_of(docs, keep(active, "active"), k), "tokens", "node")
-        self.verify(stars.filter("a != b"))
-
-    def verify(self, pairs: DataFrame) -> int:
-        """Take in those of pairs (a, b) that link; how many do."""
-        nx, ny = (self.nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}")) for c in "ab")
-        pairs = pairs.join(nx, "a").join(ny, "b").filter(100 * F.least("na", "nb") >= self.similarity * F.greatest("na", "nb")).select("a", "b")
-        one = self.tokens.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
-        two = self.tokens.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-        met = pairs.join(one, "a").join(two, "b").select("a", "b", F.size("x").cast("long").alias("nx"), F.size("y").cast("long").alias("ny"), F.size(F.array_intersect("x", "y")).cast("long").alias("both"))
-        found = keep(met.filter(100 * F.col("both") >= self.similarity * (F.col("nx") + F.col("ny") - F.col("both"))).select("a", "b"), "found")
-        n = found.count()
-        if n:
-            self.links.append(found)
-            links = functools.reduce(DataFrame.union, self.links)
-            self.comp = keep(components(links), "components")
-        return n
-
-    def with_comp(self, rows: DataFrame) -> DataFrame:
-        if self.comp is None:
-            return rows.withColumn("comp", F.col("node"))
-        return rows.join(self.comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-
-    def open_places(self, places: DataFrame) -> DataFrame:
-        """sig, node, comp of signatures that more than one component shares."""
-        now = keep(self.with_comp(places.select("sig", "node")), "places")
-        mixed = now.groupBy("sig").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least < most").select("sig")
-        return keep(now.join(mixed, "sig"), "open")
-
-    def stars(self) -> None:
-        """Connect the components of each signature through its first one, while that finds links."""
-        tried: DataFrame | None = None
-        for _ in range(STAR_ROUNDS):
-            self.places = self.open_places(self.places)
-            each = keep(self.places.groupBy("sig", "comp").agg(F.min("node").alias("node")), "heads")
-            first = keep(each.groupBy("sig").agg(F.min(F.struct("comp", "node")).alias("first")), "first")
-            pairs = each.join(first, "sig").filter(F.col("comp") != F.col("first.comp"))
-            pairs = pairs.select(F.least("node", "first.node").alias("a"), F.greatest("node", "first.node").alias("b")).distinct()
-            if tried is not None:
-                pairs = pairs.join(tried, ["a", "b"], "left_anti")
-            pairs = keep(pairs, "pairs")
-            tried = pairs if tried is None else tried.union(pairs)
-            if self.verify(pairs) == 0:
-                break
-
-    def supported(self, places: DataFrame) -> DataFrame:
-        """Places of nodes whose set is, but for what a link may miss, within the union of the other components' sets."""
-        nodes = keep(places.select("node", "comp").distinct(), "asking")
-        each = nodes.join(self.tokens, "node").select("node", "comp", F.explode("tokens").alias("t"))
-        shared = each.groupBy("t").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least < most").select("t")
-        met = each.join(shared, "t").groupBy("node").agg(F.count("*").alias("met"))
-        size = self.nodes.select("node", "n")
-        fine = met.join(size, "node").filter(100 * F.col("met") >= self.similarity * F.col("n")).select("node")
-        return places.join(keep(fine, "supported"), "node", "left_semi").select("sig", "node")
-
-    def refined(self, places: DataFrame) -> DataFrame:
-        """Open places; common signatures are replaced by their combinations with the others of the node's class."""
-        common = keep(places.groupBy("sig").agg(F.count("*").alias("n")).filter(F.col("n") > COMMON).select("sig"), "common")
-        rare = places.join(common, "sig", "left_anti").select("sig", "node")
-        often = places.join(common, "sig").select("sig", "node")
+        self.groups = self.grouped()
+        self.met = self.meet(docs, k)
+        self.comp = keep(components(self.met.select("a", "b")), "components")
+        drop(self.places, self.groups)
+
+    def grouped(self) -> DataFrame:
+        """node, ka, kb, doc_id, rows, n, weight, g of the nodes that share a signature with another."""
+        often = self.places.groupBy("sig").agg(F.count("*").alias("c"))
+        home = self.places.join(often, "sig").groupBy("node").agg(F.max(F.struct("c", "sig"))["sig"].alias("home"))
+        home = keep(home.join(self.classes.drop("first_id"), "node").withColumn("weight", F.greatest("n", F.lit(LIGHT))), "homes")
+        size = home.groupBy("home").agg(F.sum("weight").alias("all"))
+        slot = F.pmod(F.xxhash64("node"), F.ceil(F.col("all") / BLOCK).cast("long"))
+        out = keep(home.join(size, "home").withColumn("g", F.xxhash64("home", slot)).drop("home", "all"), "groups")
+        drop(home)
+        return out
+
+    def meeting(self) -> DataFrame:
+        """g, other: groups that share a signature, both ways."""
+        of = self.groups.select("node", "g")
+        there = keep(self.places.join(of, "node").select("sig", "g").distinct(), "group-signatures")
+        often = there.groupBy("sig").agg(F.count("*").alias("c")).filter("c > 1")
+        often = keep(often, "shared-signatures")
+        found = there.join(often.filter(F.col("c") <= COMMON).select("sig"), "sig", "left_semi")
+        common = often.filter(F.col("c") > COMMON).select("sig")
+        if not common.isEmpty():
+            found = found.union(self.refined(common).join(of, "node").select("sig", "g").distinct())
+        one, two = found, found.withColumnRenamed("g", "other")
+        out = keep(one.join(two, "sig").filter("g != other").select("g", "other").distinct(), "meeting")
+        drop(there, often)
+        return out
+
+    def refined(self, common: DataFrame) -> DataFrame:
+        """sig, node: common signatures in combination with each other signature of the node's class."""
+        often = self.places.join(common, "sig", "left_semi")
         per_class = self.rows.select(F.col("rid").alias("node"), F.explode("sigs").alias("own"))
         both = often.join(per_class, "node").filter(F.array_contains("own", F.col("sig")))
         both = both.select("node", "sig", F.explode("own").alias("other")).filter("sig != other")
-        both = both.select(F.xxhash64(F.least("sig", "other"), F.greatest("sig", "other")).alias("sig"), "node").distinct()
-        return self.open_places(rare.union(both))
-
-    def matrix(self) -> None:
-        """Settle what is left: nodes query the groups that share a signature with them.
-
-        A component of several nodes is a group of its own, other nodes are grouped
-        by their signature with the most nodes; large groups are cut by hash.
-        """
-        places = self.open_places(self.places)
-        for _ in range(2):
-            if places.isEmpty():
-                return
-            places = self.open_places(self.supported(places))
-        if places.isEmpty():
-            return
-        places = self.refined(places)
-        alone = places.groupBy("comp").agg(F.count_distinct("node").alias("c"))
-        often = places.groupBy("sig").agg(F.count("*").alias("n"))
-        often = places.join(often, "sig").groupBy("node", "comp").agg(F.max(F.struct("n", "sig"))["sig"].alias("sig"))
-        named = often.join(alone, "comp").select("node", "comp", F.when(F.col("c") > 1, F.struct(F.lit(0).alias("of"), F.col("comp").alias("id"))).otherwise(F.struct(F.lit(1).alias("of"), F.col("sig").alias("id"))).alias("g"))
-        named = keep(named, "grouped")
-        size = named.groupBy("g").agg(F.count("*").alias("size"))
-        slot = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / GROUP).cast("long"))
-        members = keep(named.join(size, "g").select("node", "comp", "g", slot.alias("slot")), "groups")
-        union = members.join(self.tokens, "node").groupBy("g", "slot").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"))
-        union = keep(union, "matrix")
-        seen = places.select("sig", "node").join(members, "node")
-        there = seen.groupBy("sig", "g", "slot").agg(F.min("comp").alias("least"), F.max("comp").alias("most"))
-        asked = seen.select("sig", F.col("node").alias("q"), "comp").join(there, "sig").filter("least <> comp or most <> comp").select("q", "g", "slot").distinct()
-        mine = self.tokens.select(F.col("node").alias("q"), F.col("tokens").alias("x"))
-        bound = keep(asked, "asked").join(mine, "q").join(union, ["g", "slot"])
-        opened = bound.filter(100 * F.size(F.array_intersect("x", "union")).cast("long") >= self.similarity * F.size("x").cast("long"))
-        opened = keep(opened.select("q", "g", "slot"), "opened")
-        # both nodes of a link open the other's group, so one of the two meetings is enough
-        own = members.select(F.col("node").alias("q"), F.col("comp").alias("qc"))
-        pairs = opened.join(members, ["g", "slot"]).join(own, "q").filter("qc <> comp and q < node")
-        self.verify(keep(pairs.select(F.col("q").alias("a"), F.col("node").alias("b")).distinct(), "pairs"))
+        return both.select(F.xxhash64(F.least("sig", "other"), F.greatest("sig", "other")).alias("sig"), "node").distinct()
+
+    def meet(self, docs: DataFrame, k: int) -> DataFrame:
+        """a, b, links: what the tasks of the matrix find. a's links are the sum over its rows, b is a node that a is connected with."""
+        met = self.meeting()
+        stats = self.groups.groupBy("g").agg(F.count("*").alias("members"), F.sum("weight").alias("all"), F.min("n").alias("least"), F.max("n").alias("most"))
+        stats = keep(stats, "group-sizes")
+        load = met.join(stats.select("g", F.col("all").alias("asked")), "g").groupBy(F.col("other").alias("g")).agg(F.sum("asked").alias("asked"))
+        parts = F.ceil(F.coalesce("asked", F.lit(1)) / (QUERIES * BLOCK)).cast("long").alias("parts")
+        plan = stats.join(load, "g", "left").filter("members > 1 or asked is not null").select("g", "least", "most", parts)
+        plan = keep(plan, "group-parts")
+        node = self.groups.select("node", "ka", "kb", "rows", "n", "g")
+        members = node.join(plan, "g").select("ka", "kb", "g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(False).alias("query"), "node", "rows")
+        asks = node.join(met, "g").drop("g").join(plan.withColumnRenamed("g", "other"), "other")
+        asks = asks.filter((100 * F.col("n") >= self.similarity * F.col("least")) & (100 * F.col("most") >= self.similarity * F.col("n")))
+        asks = asks.select("ka", "kb", F.col("other").alias("g"), F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), F.lit(True).alias("query"), "node", "rows")
+        rows = keep(members.union(asks), "matrix")
+        active = self.groups.join(plan.select("g"), "g", "left_semi").select("doc_id")
+        found = _tokens_of(docs, keep(active, "active"), k).join(rows, ["ka", "kb"]).select("g", "part", "query", "node", "rows", "tokens")
+        found = found.repartition("g", "part").sortWithinPartitions("g", "part", "query", "node")
+        out = keep(found.mapInArrow(_opened(self.similarity), "a long, b long, links long"), "met")
+        drop(met, stats, plan, rows)
+        return out
 
+    def with_comp(self, rows: DataFrame) -> DataFrame:
+        return rows.join(self.comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
     def counted(self) -> DataFrame:
         """node, links of all nodes: the other rows of ``docs`` that each of the node's rows links with."""
-        nodes = self.with_comp(self.classes.select("node", "rows")).join(self.nodes.select("node", "n"), "node")
-        nodes = keep(nodes, "linked-nodes")
-        size = nodes.groupBy("comp").agg(F.count("*").alias("c"), F.sum("rows").alias("all"), F.ceil(F.sum("n") / BLOCK).cast("long").alias("blocks"))
-        nodes = keep(nodes.join(size, "comp"), "component-sizes")
-        slot = F.pmod(F.xxhash64("node"), F.col("blocks"))
-        each = nodes.filter("c > 2").select("comp", "node", "rows", slot.alias("slot"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("t"))
-        each = each.select("comp", F.least("slot", "t").alias("i"), F.greatest("slot", "t").alias("j"), "node", "slot", "rows")
-        each = each.join(self.tokens, "node").select("comp", "i", "j", "node", "slot", "rows", "tokens")
-        each = each.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")
-        found = each.mapInArrow(_counted(self.similarity), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
-        # the two nodes of a component of two are linked
-        links = F.when(F.col("c") > 2, F.coalesce("links", F.lit(0)) + F.col("rows") - 1).otherwise(F.col("all") - 1)
-        return nodes.join(found, "node", "left").select("node", links.alias("links"))
+        found = self.met.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("others"))
+        return self.classes.join(found, "node", "left").select("node", (F.coalesce("others", F.lit(0)) + F.col("rows") - 1).alias("links"))
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, similarity: int = 80, links: bool = False) -> DataFrame:
@@ -440,8 +433,6 @@ def _classed(docs: DataFrame, k: int, similarity: int, links: bool = False) -> D
     if not 50 < similarity <= 100:
         raise ValueError("similarity: 51 to 100 hundredths")
     join = Join(docs, k, similarity)
-    join.stars()
-    join.matrix()
     named = keep(join.with_comp(join.classes), "named")
     # nulls are larger than all ids
     first = F.struct(F.col("first_id").isNull().alias("none"), "first_id", "node")

@@ -20,8 +20,8 @@ def test_jaccard_components_as_brute_force(spark, k, similarity):
 
 
 def test_jaccard_components_of_common_signatures(spark, monkeypatch):
-    """Small limits send everything through refinement, groups and the matrix."""
-    for name, value in (("COMMON", 1), ("GROUP", 2), ("STAR_ROUNDS", 0)):
+    """Small limits combine all signatures and cut the groups to a few nodes, which meet in several parts."""
+    for name, value in (("COMMON", 1), ("BLOCK", 1024), ("QUERIES", 1)):
         monkeypatch.setattr(ngram_join, name, value)
     got = [tuple(r) for r in ngram_join.jaccard_components(documents(spark), 3, 90).collect()]
     assert order(got) == order(brute_components([(r[0], r[1]) for r in rows()], 3, 90))
@@ -50,6 +50,18 @@ def test_links_within_components_as_brute_force(spark, monkeypatch, block, colum
     assert order(got) == order(want) and len({n for _, n in want}) > 3
 
 
+def test_links_between_groups_come_from_the_matrix(spark, monkeypatch):
+    """With groups of about two nodes most links of twenty near copies are found by queries that open other groups."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 1024)
+    base = words_of(200, 77)
+    items = [(i, edited(base, 150, i)) for i in range(20)] + [(100 + i, words_of(200, 500 + i)) for i in range(20)]
+    join = ngram_join.Join(documents(spark, [(d, t, "en", "s", 1) for d, t in items]), 3, 90)
+    links = {r[0]: r[1] for r in join.met.groupBy("a").sum("links").collect()}
+    want = [n for _, n in brute_links(items, 3, 90)]
+    assert sum(links.values()) == sum(want) > 100
+    assert join.met.count() > len(links)  # a node's links come from several groups
+
+
 def test_jaccard_components_of_nothing(spark):
     assert ngram_join.jaccard_components(documents(spark, [])).count() == 0
 
