@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citescan.llm.names import free
 from citescan.session import keep
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -99,14 +100,15 @@ def without_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: of equal texts the row with the largest doc_id.
 
     Rows with a null doc_id are compared like all others; of rows that repeat both
-    doc_id and text, one stays.
+    doc_id and text, one stays. Columns of any name pass.
     """
-    found = keep(copy_groups(docs).select(F.struct("doc_id").alias("_id"), "kept", F.col("text_sha256").alias("_sha")), "copies")
-    by_id = keep(found.groupBy("_id").agg(F.count("*").alias("c"), F.bool_or("kept").alias("some")).filter("c > 1 or not some"), "gone-or-repeated")
-    rows = docs.withColumn("_id", F.struct("doc_id"))
-    once = rows.join(by_id, "_id", "left_anti")
+    doc, sha = free(docs, "doc", "sha")
+    found = keep(copy_groups(docs).select(F.struct("doc_id").alias(doc), "kept", F.col("text_sha256").alias(sha)), "copies")
+    by_id = keep(found.groupBy(doc).agg(F.count("*").alias("c"), F.bool_or("kept").alias("some")).filter("c > 1 or not some"), "gone-or-repeated")
+    rows = docs.withColumn(doc, F.struct("doc_id"))
+    once = rows.join(by_id, doc, "left_anti")
     # rows that repeat a doc_id are told apart by their texts
-    repeated = rows.join(by_id.filter("c > 1 and some").select("_id"), "_id", "left_semi")
-    repeated = repeated.withColumn("_sha", F.sha2(normalised(F.col("text")).cast("binary"), 256))
-    stay = repeated.join(found.filter("kept").select("_id", "_sha"), ["_id", "_sha"], "left_semi").dropDuplicates(["_id", "_sha"])
-    return once.unionByName(stay.drop("_sha")).drop("_id")
+    repeated = rows.join(by_id.filter("c > 1 and some").select(doc), doc, "left_semi")
+    repeated = repeated.withColumn(sha, F.sha2(normalised(F.col("text")).cast("binary"), 256))
+    stay = repeated.join(found.filter("kept").select(doc, sha), [doc, sha], "left_semi").dropDuplicates([doc, sha])
+    return once.unionByName(stay.drop(sha)).drop(doc)

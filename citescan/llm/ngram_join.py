@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from citescan.llm import words as W
+from citescan.llm.names import free
 from citescan.llm.sieve import sieved
 from citescan.session import drop, keep
 
@@ -323,6 +324,11 @@ def _linked_rows(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "links"])
 
 
+def _both_ways(there: DataFrame) -> DataFrame:
+    """g, other of rows (sig, g) with one sig."""
+    return there.join(there.withColumnRenamed("g", "other"), "sig").filter("g != other").select("g", "other").distinct()
+
+
 class Join:
     """The tables of one run: rows, classes of equal sets, links and components."""
 
@@ -345,30 +351,40 @@ class Join:
         drop(self.places, self.groups)
 
     def grouped(self) -> DataFrame:
-        """node, ka, kb, doc_id, rows, n, weight, g of the nodes that share a signature with another."""
+        """node, ka, kb, doc_id, rows, n, weight, g of the nodes that share a signature with another.
+
+        A node's home is its signature that most nodes have. A home joins the largest
+        one that shares a signature with it, and where that one goes; then it is cut.
+        """
         often = self.places.groupBy("sig").agg(F.count("*").alias("c"))
-        home = self.places.join(often, "sig").groupBy("node").agg(F.max(F.struct("c", "sig"))["sig"].alias("home"))
+        home = self.places.join(often, "sig").groupBy("node").agg(F.max(F.struct("c", "sig"))["sig"].alias("g"))
         home = keep(home.join(self.classes.drop("first_id"), "node").withColumn("weight", F.greatest("n", F.lit(LIGHT))), "homes")
-        size = home.groupBy("home").agg(F.sum("weight").alias("all"))
+        size = home.groupBy("g").agg(F.struct(F.count("*").alias("size"), "g").alias("own"))
+        near, _ = self.neighbours(home)
+        beside = near.join(size.select(F.col("g").alias("other"), F.col("own").alias("theirs")), "other").groupBy("g").agg(F.max("theirs").alias("theirs"))
+        up = keep(size.join(beside, "g", "left").select("g", F.greatest("own", "theirs")["g"].alias("up")), "larger-homes")
+        top = up.join(up.select(F.col("g").alias("up"), F.col("up").alias("top")), "up").select("g", "top")
+        home = home.join(top, "g").drop("g")
+        size = home.groupBy("top").agg(F.sum("weight").alias("all"))
         slot = F.pmod(F.xxhash64("node"), F.ceil(F.col("all") / BLOCK).cast("long"))
-        out = keep(home.join(size, "home").withColumn("g", F.xxhash64("home", slot)).drop("home", "all"), "groups")
-        drop(home)
-        return out
+        return keep(home.join(size, "top").withColumn("g", F.xxhash64("top", slot)).drop("top", "all"), "groups")
 
-    def meeting(self) -> DataFrame:
-        """g, other: groups that share a signature, both ways."""
-        of = self.groups.select("node", "g")
-        there = keep(self.places.join(of, "node").select("sig", "g").distinct(), "group-signatures")
-        often = there.groupBy("sig").agg(F.count("*").alias("c")).filter("c > 1")
-        often = keep(often, "shared-signatures")
+    def neighbours(self, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """g, other: groups (node, g) that share a signature, both ways, but for signatures of more than ``COMMON`` groups; those signatures."""
+        there = keep(self.places.join(groups.select("node", "g"), "node").select("sig", "g").distinct(), "group-signatures")
+        often = keep(there.groupBy("sig").agg(F.count("*").alias("c")).filter("c > 1"), "shared-signatures")
         found = there.join(often.filter(F.col("c") <= COMMON).select("sig"), "sig", "left_semi")
-        common = often.filter(F.col("c") > COMMON).select("sig")
+        near = keep(_both_ways(found), "neighbours")
+        drop(there)
+        return near, often.filter(F.col("c") > COMMON).select("sig")
+
+    def meeting(self) -> DataFrame:
+        """g, other: groups that share a signature, or two where one alone is too common, both ways."""
+        near, common = self.neighbours(self.groups)
         if not common.isEmpty():
-            found = found.union(self.refined(common).join(of, "node").select("sig", "g").distinct())
-        one, two = found, found.withColumnRenamed("g", "other")
-        out = keep(one.join(two, "sig").filter("g != other").select("g", "other").distinct(), "meeting")
-        drop(there, often)
-        return out
+            more = self.refined(common).join(self.groups.select("node", "g"), "node").select("sig", "g").distinct()
+            near = keep(near.union(_both_ways(more)).distinct(), "neighbours")
+        return near
 
     def refined(self, common: DataFrame) -> DataFrame:
         """sig, node: common signatures in combination with each other signature of the node's class."""
@@ -397,7 +413,7 @@ class Join:
         found = _tokens_of(docs, keep(active, "active"), k).join(rows, ["ka", "kb"]).select("g", "part", "query", "node", "rows", "tokens")
         found = found.repartition("g", "part").sortWithinPartitions("g", "part", "query", "node")
         out = keep(found.mapInArrow(_opened(self.similarity), "a long, b long, links long"), "met")
-        drop(met, stats, plan, rows)
+        drop(stats, plan, rows)
         return out
 
     def with_comp(self, rows: DataFrame) -> DataFrame:
@@ -447,30 +463,31 @@ def one_of_each(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFrame:
     """The rows of ``docs`` that stay: one of each component, with the smallest doc_id, and all rows without words.
 
     Where a doc_id is repeated, its rows are told apart by their sets; of rows that
-    repeat both, one stays.
+    repeat both, one stays. Columns of any name pass.
     """
+    doc, ka, kb = free(docs, "doc", "ka", "kb")
     found = keep(_classed(docs, k, similarity), "classed")
     stays = F.coalesce("chosen", F.lit(False)) | (F.col("n_shingles") == 0)
-    by_id = found.groupBy(F.struct("doc_id").alias("_id")).agg(F.count("*").alias("c"), F.bool_or(stays).alias("some"))
+    by_id = found.groupBy(F.struct("doc_id").alias(doc)).agg(F.count("*").alias("c"), F.bool_or(stays).alias("some"))
     by_id = keep(by_id.filter("c > 1 or not some"), "gone-or-repeated")
-    rows = docs.withColumn("_id", F.struct("doc_id"))
-    once = rows.join(by_id, "_id", "left_anti")
-    repeated = rows.join(by_id.filter("c > 1 and some").select("_id"), "_id", "left_semi")
-    keys = found.filter("chosen").select(F.struct("doc_id").alias("_id"), "ka", "kb").distinct()
-    keyed = _with_key(repeated, k)
-    kept = keyed.filter("ka is not null").join(keys, ["_id", "ka", "kb"], "left_semi").dropDuplicates(["_id", "ka", "kb"])
-    return once.unionByName(kept.unionByName(keyed.filter("ka is null")).drop("ka", "kb")).drop("_id")
+    rows = docs.withColumn(doc, F.struct("doc_id"))
+    once = rows.join(by_id, doc, "left_anti")
+    repeated = rows.join(by_id.filter("c > 1 and some").select(doc), doc, "left_semi")
+    keys = found.filter("chosen").select(F.struct("doc_id").alias(doc), F.col("ka").alias(ka), F.col("kb").alias(kb)).distinct()
+    keyed = _with_key(repeated, k, ka, kb)
+    kept = keyed.filter(F.col(ka).isNotNull()).join(keys, [doc, ka, kb], "left_semi").dropDuplicates([doc, ka, kb])
+    return once.unionByName(kept.unionByName(keyed.filter(F.col(ka).isNull())).drop(ka, kb)).drop(doc)
 
 
-def _with_key(rows: DataFrame, k: int) -> DataFrame:
-    """``rows`` with ka, kb of their sets, null without words."""
+def _with_key(rows: DataFrame, k: int, ka: str, kb: str) -> DataFrame:
+    """``rows`` with the keys of their sets, null without words."""
     at = rows.columns.index("text")
-    out = T.StructType([*rows.schema.fields, T.StructField("ka", T.LongType()), T.StructField("kb", T.LongType())])
+    out = T.StructType([*rows.schema.fields, T.StructField(ka, T.LongType()), T.StructField(kb, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = [set_key(t) if len(t) else (None, None) for t in _sets(batch.column(at), k)]
             new = [pa.array([x[i] for x in keys], pa.int64()) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "ka", "kb"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, ka, kb])
 
     return rows.mapInArrow(run, out)

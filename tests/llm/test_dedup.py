@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from citescan.llm import exact_dedup, induced_sort, ngram_join, suffix_dedup, words
 from tests.llm.helpers import brute_components, brute_shingles, clashing, documents, edited, order, rows
@@ -62,6 +63,15 @@ def test_links_between_groups_come_from_the_matrix(spark, monkeypatch):
     assert join.met.count() > len(links)  # a node's links come from several groups
 
 
+@pytest.mark.parametrize("stage", [ngram_join.one_of_each, exact_dedup.without_copies])
+def test_stages_pass_columns_of_any_name(spark, stage):
+    docs = documents(spark)
+    names = ["_doc", "_ka", "_kb", "_sha", "ka", "kb", "__doc"]
+    got = stage(docs.withColumns({c: F.lit(c) for c in names}))
+    assert got.columns == [*docs.columns, *names] and order(r["doc_id"] for r in got.collect()) == order(r["doc_id"] for r in stage(docs).collect())
+    assert all(r[c] == c for r in got.select(*names).collect() for c in names)
+
+
 def test_jaccard_components_of_nothing(spark):
     assert ngram_join.jaccard_components(documents(spark, [])).count() == 0
 
