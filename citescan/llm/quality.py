@@ -193,13 +193,14 @@ def _featured(rows: DataFrame) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_ROWS) -> Model:
     """A model of labels outside the held-out fold; at most ``max_rows`` of them.
 
-    A doc_id with several labels counts with the smallest; rows without label or text
-    row are left out.
+    A doc_id with several labels counts with the smallest, one with several texts with
+    the text of the least hash; rows without label or text row are left out.
     """
     known = labels.filter(F.col(label).isin(0, 1)).filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min(label).alias("y"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    got = _featured(rows).select("doc_id", "y", "x").limit(2 * max_rows).toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+    rows = rows.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"))
+    got = _featured(rows).select("doc_id", "y", "x").toPandas().sort_values("doc_id")
     x = np.array(got["x"].tolist(), dtype=float).reshape(len(got), len(FEATURES))
     return fit(x, got["y"].to_numpy(dtype=float))
 
