@@ -12,6 +12,7 @@ reported as kind ``id``.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,12 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citescan.llm.exact_dedup import LOWER, UPPER
+from citescan.llm.sieve import BITS, bits_of
 from citescan.session import keep
 
 KINDS = ("email", "ip", "card", "phone")
 FOUND = "id"
-#: patterns up to which their set goes to every task; above it they are joined
-BROADCAST_PATTERNS = 200_000
+#: pairs of words whose counts a task holds at once
+HELD = 200_000
 
 # Each run is taken whole (possessive), and a start inside a run that failed is
 # not tried again, where that cannot change what matches; so all are linear.
@@ -37,6 +39,7 @@ _DIGIT = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+")
 #: a prefix of a token that is a word of its own
 _KEY = re.compile(r"(?<!\S)[\"'`(\[{<*#]*+[A-Za-z_-]++[:=](?=\S)")
+_PART = re.compile(r"^\S+")
 _WRAP = ".,;:!?()[]{}<>\"'`*#$%&|"
 _FOLD = str.maketrans(UPPER, LOWER)
 
@@ -99,16 +102,26 @@ def _word_start(text: str, token: int, start: int) -> int:
 
 
 def _context(text: str, start: int) -> str | None:
-    """The two words before the word at ``start``; None with fewer, or if they are longer than 80 characters."""
-    before = text[max(0, start - 81) : start]
-    if start > 81 and not before[0].isspace():  # what begins before is no whole token
-        before = re.sub(r"^\S+", "", before)
-    words = _words(before)
-    return f"{words[-2]} {words[-1]}" if len(words) > 1 else None
-
-
-def mentions(text: str, base: list[list[Span]]) -> list[dict]:
-    """Base spans and other words with a digit or @, each with the context before the word that holds it."""
+    """The two words before the word at ``start``; None with fewer."""
+    reach = 80
+    while True:
+        before = text[max(0, start - reach) : start]
+        if start > reach:  # what begins before is no whole token
+            before = _PART.sub("", before)
+        words = _words(before)
+        if len(words) > 1:
+            return f"{words[-2]} {words[-1]}"
+        if start <= reach:
+            return None
+        reach *= 8
+
+
+#: characters of the shortest word that can be an identifier outside the base patterns
+SHORTEST = 4
+
+
+def mentions(text: str, base: list[list[Span]], shortest: int = SHORTEST) -> list[dict]:
+    """Base spans and other words of ``shortest`` characters with a digit or @, each with the context before the word that holds it."""
     taken = sorted((a, b, kind) for kind, spans in zip(KINDS, base, strict=True) for a, b in spans)
     found = []
     token = done = 0
@@ -126,7 +139,7 @@ def mentions(text: str, base: list[list[Span]]) -> list[dict]:
         first = _word_start(text, m.start(), m.end())
         whole = text[first : m.end()]
         word = whole.strip(_WRAP)
-        if len(word) < 4:
+        if len(word) < shortest:
             continue
         a = first + whole.index(word)
         b = a + len(word)
@@ -161,31 +174,30 @@ def _counts(seen: dict[str, int]) -> pa.RecordBatch:
 
 
 def _occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """context, places: how often the two words of each pattern stand anywhere in the corpus, cut as contexts are."""
-    n = patterns.count()
-    if n == 0:
-        return patterns.select("context", F.lit(0).cast("long").alias("places"))
-    few = n <= BROADCAST_PATTERNS
-    wanted = docs.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in patterns.collect()) if few else None)
+    """context, places: how often the two words of each pattern stand anywhere in the corpus, cut as contexts are.
+
+    A filter of fixed size over the patterns drops most other pairs of words where
+    they stand; the join decides.
+    """
+    wanted = docs.sparkSession.sparkContext.broadcast(bits_of(patterns.select(F.crc32(F.col("context").cast("binary")).alias("h"))).tobytes())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = wanted.value, {}
+        bits, seen = wanted.value, {}
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 words = _words(text or "")
                 for pair in zip(words, words[1:], strict=False):
                     c = f"{pair[0]} {pair[1]}"
-                    if known is None or c in known:
+                    h = zlib.crc32(c.encode()) % BITS
+                    if bits[h >> 3] >> (h & 7) & 1:
                         seen[c] = seen.get(c, 0) + 1
-                if len(seen) > BROADCAST_PATTERNS:
+                if len(seen) > HELD:
                     yield _counts(seen)
                     seen = {}
         yield _counts(seen)
 
     counted = docs.select("text").mapInArrow(count, "context string, n long")
-    if not few:
-        counted = counted.join(patterns, "context", "left_semi")
-    return counted.groupBy("context").agg(F.sum("n").alias("places"))
+    return counted.join(patterns, "context", "left_semi").groupBy("context").agg(F.sum("n").alias("places"))
 
 
 def score_patterns(edges: DataFrame, places: DataFrame, rounds: int, support: float) -> DataFrame:
@@ -216,7 +228,9 @@ def personal_data(docs: DataFrame, rounds: int = 3, support: int = 5, certain: f
 
     A pattern needs ``support`` distinct known values, and ``certain`` of all places
     of its two words must be mentions of known values, for it to discover others. A
-    null text is empty. Repeated rows, also of one doc_id or of a null one, are read
+    null text is empty. Contexts are two words of any length; a mention with fewer
+    words before it has none and is neither evidence nor discovered, as are words
+    of fewer than ``SHORTEST`` characters. Repeated rows, also of one doc_id or of a null one, are read
     each for itself, though copies of a value count once for a pattern's support. An
     empty table gives an empty result; other columns are ignored.
     """

@@ -151,9 +151,9 @@ def test_personal_data_finds_unknown_values_by_their_contexts(spark):
     assert not any(got[9][k] for k in (*pii.KINDS, "id"))
 
 
-@pytest.mark.parametrize("broadcast", [200_000, 0])
-def test_personal_data_finds_quoted_bracketed_and_prefixed_values(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(pii, "BROADCAST_PATTERNS", broadcast)
+@pytest.mark.parametrize("held", [200_000, 0])
+def test_personal_data_finds_quoted_bracketed_and_prefixed_values(spark, monkeypatch, held):
+    monkeypatch.setattr(pii, "HELD", held)
     cases = [('please contact via mail "', '"'), ("this is the code (", ")"), ("write to mail:", " now"), ('the field user="', '"')]
     docs = [(100 * c + i, f"w{i} {a}user{i}@host{i}.org{b} end", "en", "s", 1) for c, (a, b) in enumerate(cases) for i in range(8)]
     docs += [(100 * c + 50, f"well {a}user_at_home_99{b} end", "en", "s", 1) for c, (a, b) in enumerate(cases)]
@@ -171,6 +171,13 @@ def test_every_context_has_a_place():
         assert {m["context"] for m in pii.mentions(text, pii.base_spans(text))} <= places
 
 
+@pytest.mark.parametrize("text", ["contact\x1cvia a@b.org", "contact\u2003via \x85a@b.org", "é contact via\xa0a@b.org", "q" * 900 + " via a@b.org"])
+def test_words_of_contexts_are_words_of_places(spark, text):
+    (context,) = {m["context"] for m in pii.mentions(text, pii.base_spans(text))}
+    found = pii._occurrences(spark.createDataFrame([(text,)], "text string"), spark.createDataFrame([(context,)], "context string")).collect()
+    assert [tuple(r) for r in found] == [(context, 1)]
+
+
 def test_personal_data_of_nothing(spark):
     assert pii.personal_data(documents(spark, [])).count() == 0
 
@@ -203,6 +210,19 @@ def test_quality_held_out(spark):
     assert len(held) > 50 and all((r["score"] >= queries.GOOD) == (r["doc_id"] < 1000) for r in held if r["doc_id"] not in (1, 4, 7))
 
 
+def test_train_takes_one_text_of_each_id(spark, monkeypatch):
+    """An id with 500 rows takes the place of no other, and which text it counts with does not depend on the order."""
+    learnt = []
+    monkeypatch.setattr(quality, "fit", lambda x, y: learnt.append((x, y)))
+    docs = [(i, f"text number {i} of some", "en", "s", 1) for i in range(200)] + [(3, f"another text {i}", "en", "s", 1) for i in range(500)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    usable = sum(quality.fold_of(i) != 0 for i in range(200))
+    for rows_ in (docs, docs[::-1]):
+        quality.train(documents(spark, rows_), labels, max_rows=200)
+    (x, y), (again, _) = learnt
+    assert len(x) == len(y) == usable and np.array_equal(x, again)
+
+
 def test_query_digests_of_small_tables(spark):
     got = {r["doc_id"]: r for r in queries.op7_pii(spark, "/root/testdata/sf0.001").collect()}
     for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect():
