@@ -20,15 +20,16 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from citescan.llm.names import free
 from citescan.session import keep
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: rows of a hash bucket, on average
 BUCKET_ROWS = 2048
-#: sources up to which the table of quotas is broadcast; above it is joined by shuffle
-BROADCAST_SOURCES = 20_000
-#: standard deviation above which a draw uses the normal limit of its distribution
-EXACT_SD = 20
+#: standard deviation above which a draw is made by rejection, not by inversion; both are of the same distribution
+INVERTED_SD = 20
+#: tries of a rejection; each fails with a chance below 0.45
+TRIES = 64
 
 
 def uniform(*keys: Column) -> Column:
@@ -60,19 +61,34 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def hypergeometric(u: Column, z: Column, total: Column, marked: Column, drawn: Column) -> Column:
-    """How many of ``marked`` among ``total`` are in a draw of ``drawn``: by inversion, or by the normal limit for large draws."""
+def log_factorial(n: Column) -> Column:
+    """ln n! of a whole number: Stirling's series, from 10 up by the recurrence."""
+    x = n.cast("double") + 10.0
+    series = (x + 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
+    product = F.lit(1.0)
+    for i in range(1, 11):
+        product = product * (n.cast("double") + float(i))
+    return series - F.log(product)
+
+
+def hypergeometric(uniform_of, total: Column, marked: Column, drawn: Column) -> Column:
+    """How many of ``marked`` among ``total`` are in a draw of ``drawn``.
+
+    ``uniform_of(name, i)`` is a number in (0, 1) for each name and whole number.
+    Narrow distributions are inverted from their first value on; wide ones are drawn
+    by the ratio of uniforms, in whose rectangle a point under the curve is sought.
+    """
     low = F.greatest(F.lit(0).cast("long"), drawn - (total - marked))
     high = F.least(marked, drawn)
-    mean = drawn * marked / F.greatest(total, F.lit(1))
+    mean = drawn.cast("double") * marked / F.greatest(total, F.lit(1))
     var = mean * (1 - marked / F.greatest(total, F.lit(1))) * (total - drawn) / F.greatest(total - 1, F.lit(1))
 
     def inverted(c: Column) -> Column:
         def step(a: Column, x: Column) -> Column:
             """The weight of x from that of x - 1."""
-            up = (c["marked"] - x + 1) * (c["drawn"] - x + 1)
-            down = x * (c["total"] - c["marked"] - c["drawn"] + x)
-            return F.when(x == c["first"], F.lit(1.0)).otherwise(a["p"] * up / down.cast("double"))
+            up = (c["marked"] - x + 1).cast("double") * (c["drawn"] - x + 1)
+            down = x.cast("double") * (c["total"] - c["marked"] - c["drawn"] + x)
+            return F.when(x == c["first"], F.lit(1.0)).otherwise(a["p"] * up / down)
 
         def add(a: Column, x: Column) -> Column:
             return let(step(a, x), lambda p: F.struct(p.alias("p"), (a["sum"] + p).alias("sum")))
@@ -91,15 +107,36 @@ def hypergeometric(u: Column, z: Column, total: Column, marked: Column, drawn: C
         xs = F.sequence(c["first"], c["last"])
         zero, one = F.lit(0.0), F.lit(1.0)
         whole = F.aggregate(xs, F.struct(one.alias("p"), zero.alias("sum")), add)["sum"]
-        state = F.struct(one.alias("p"), zero.alias("sum"), (u * whole).alias("goal"), F.lit(None).cast("long").alias("x"))
-        near = F.least(c["high"], F.greatest(c["low"], F.round(c["mean"] + c["sd"] * z).cast("long")))
-        return F.when(c["sd"] > EXACT_SD, near).otherwise(F.coalesce(F.aggregate(xs, state, find)["x"], c["last"]))
+        state = F.struct(one.alias("p"), zero.alias("sum"), (uniform_of("u", F.lit(0)) * whole).alias("goal"), F.lit(None).cast("long").alias("x"))
+        return F.coalesce(F.aggregate(xs, state, find)["x"], c["last"])
+
+    def weight(c: Column, x: Column) -> Column:
+        """ln of what the chance of x is in proportion to."""
+        parts = (x, c["marked"] - x, c["drawn"] - x, c["total"] - c["marked"] - c["drawn"] + x)
+        return -sum((log_factorial(p) for p in parts[1:]), log_factorial(parts[0]))
+
+    def rejected(c: Column) -> Column:
+        mode = F.floor((c["drawn"] + 1).cast("double") * (c["marked"] + 1) / (c["total"] + 2)).cast("long")
+        wide = math.sqrt(8 / math.e) * F.sqrt(c["sd"] * c["sd"] + 0.5) + (3 - 2 * math.sqrt(3 / math.e))
+
+        def tried(m: Column) -> Column:
+            def one(i: Column) -> Column:
+                u = uniform_of("x", i)
+                x = F.floor(c["mean"] + 0.5 + wide * (uniform_of("y", i) - 0.5) / u).cast("long")
+                inside = (x >= c["low"]) & (x <= c["high"])
+                return let(x, lambda v: F.when(inside, F.when(2 * F.log(u) <= weight(c, v) - m["w"], v)))
+
+            got = F.aggregate(F.sequence(F.lit(1), F.lit(TRIES)), F.lit(None).cast("long"), lambda a, i: F.coalesce(a, one(i)))
+            return F.coalesce(got, m["x"])
+
+        return let(mode, lambda x: let(F.struct(x.alias("x"), weight(c, x).alias("w")), tried))
 
     def bounded(c: Column) -> Column:
         first = F.greatest(c["low"], F.floor(c["mean"] - 8 * c["sd"] - 2).cast("long"))
         last = F.least(c["high"], F.ceil(c["mean"] + 8 * c["sd"] + 2).cast("long"))
         names = ("low", "high", "mean", "sd", "total", "marked", "drawn")
-        return let(F.struct(*[c[n].alias(n) for n in names], first.alias("first"), F.greatest(first, last).alias("last")), inverted)
+        some = F.struct(*[c[n].alias(n) for n in names], first.alias("first"), F.greatest(first, last).alias("last"))
+        return F.when(c["sd"] > INVERTED_SD, rejected(c)).otherwise(let(some, inverted))
 
     known = F.struct(
         low.alias("low"), high.alias("high"), mean.alias("mean"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("sd"),
@@ -118,11 +155,11 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     to_left = F.floor(F.col("total") * F.col("half") / F.col("n")).cast("long")
 
     def deal(acc: Column, x: Column) -> Column:
-        keys = (F.lit(seed), F.col("lo"), F.col("n"), x["sid"])
-        u = uniform(*keys)
-        z = F.sqrt(-2 * F.log(uniform(F.lit("r"), *keys))) * F.cos(2 * math.pi * uniform(F.lit("a"), *keys))
+        def uniform_of(name: str, i: Column) -> Column:
+            return uniform(F.lit(name), i, F.lit(seed), F.col("lo"), F.col("n"), x["sid"])
+
         return let(
-            hypergeometric(u, z, acc["rest"], x["blocks"], acc["want"]),
+            hypergeometric(uniform_of, acc["rest"], x["blocks"], acc["want"]),
             lambda got: F.struct(
                 (acc["rest"] - x["blocks"]).alias("rest"),
                 (acc["want"] - got).alias("want"),
@@ -206,8 +243,7 @@ def mix(
         .agg(F.sort_array(F.collect_list(F.struct((F.col("upto") - F.col("blocks")).alias("lo"), F.col("upto").alias("hi"), "shard"))).alias("bounds"))
     )
     plan = keep(plan.join(bounds, "sid", "left"), "mix-plan")
-    known = F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan
-    known = known.withColumnRenamed("source", "_source")
+    known = plan.withColumnRenamed("source", "_source")
     bits = max(1, math.ceil(math.log2(max(2, rows.count() / BUCKET_ROWS))))
     # _plan's own name for the source, so that null matches null
     rows = rows.join(known, rows["source"].eqNullSafe(known["_source"])).drop("_source").withColumn("bucket", F.shiftrightunsigned("h", 64 - bits))
@@ -231,18 +267,21 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 
     A piece that is a whole document keeps its text as it is; another piece is the
     text from its first to its last word with the white space between. Of rows that
-    share doc_id and source, each takes its own pieces.
+    share doc_id and source, each takes its own pieces. Columns of any name pass.
     """
+    doc, source, copy, size, pieces, place, piece = free(docs, "doc", "source", "copy", "size", "pieces", "place", "piece")
     plan = mix(docs, **options).filter("size(pieces) > 0").select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("copy").alias("_copy"), F.col("size").alias("_size"), F.col("pieces").alias("_pieces")
+        F.col("doc_id").alias(doc), F.col("source").alias(source), F.col("copy").alias(copy), F.col("size").alias(size), F.col("pieces").alias(pieces)
     )
     words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
     same = Window.partitionBy("doc_id", "source").orderBy(words)
-    rows = docs.withColumn("_n", F.row_number().over(same))
-    on = rows["doc_id"].eqNullSafe(plan["_id"]) & rows["source"].eqNullSafe(plan["_source"]) & (rows["_n"] == plan["_copy"])
-    rows = rows.join(plan, on).withColumn("_p", F.explode("_pieces"))
+    rows = docs.withColumn(place, F.row_number().over(same))
+    on = rows["doc_id"].eqNullSafe(plan[doc]) & rows["source"].eqNullSafe(plan[source]) & (rows[place] == plan[copy])
+    rows = rows.join(plan, on).withColumn(piece, F.explode(pieces))
     words = F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
-    part = F.concat_ws("", F.slice(words, F.col("_p.first_word").cast("int") + 1, F.col("_p.n_words").cast("int")))
-    text = F.when(F.col("_p.n_words") == F.col("_size"), F.col("text")).otherwise(part)
-    named = {"text": text} | ({"n_chars": F.length("text")} if "n_chars" in docs.columns else {})
-    return rows.withColumn("text", named.pop("text")).withColumns(named).select(*docs.columns)
+    part = F.concat_ws("", F.slice(words, F.col(f"{piece}.first_word").cast("int") + 1, F.col(f"{piece}.n_words").cast("int")))
+    text = F.when(F.col(f"{piece}.n_words") == F.col(size), F.col("text")).otherwise(part)
+    out = rows.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text"))
+    return out.select(*docs.columns)
