@@ -8,8 +8,10 @@ and judging a page needs no join: each filter is one row of 64-bit words that a
 scalar subquery hands to every task.
 
 Only distinct hosts take part in building, so a host with a third of all pages
-costs no more than any other. The filters' size is known before they are built;
-above ``max_bits`` a left join on the listed hosts takes their place.
+costs no more than any other. A level of more than ``PART_BITS`` bits is made of
+several filters, and a hash of the host says which one holds it, so no row and no
+task that builds one grows with the list. Together the levels take about twice
+``bits_per_key`` bits for each listed host of the corpus in every executor.
 """
 
 from __future__ import annotations
@@ -22,6 +24,9 @@ from pyspark.sql import functions as F
 from citescan.llm.exact_dedup import LOWER, UPPER
 from citescan.session import keep
 
+#: bits of one filter: two million bytes
+PART_BITS = 1 << 24
+
 #: verdict, host, path
 Rule = tuple[str, str, str]
 
@@ -75,41 +80,48 @@ def _passes(words: Column, key: Column, level: int, hashes: int, bits: int) -> C
     return out
 
 
+class Level:
+    """One level of a cascade: filters of at most ``part_bits`` bits over a hash of the key."""
+
+    def __init__(self, keys: DataFrame, n: int, number: int, hashes: int, bits_per_key: int, part_bits: int):
+        self.number, self.hashes = number, hashes
+        bits = 64 << max(0, math.ceil(math.log2(max(1.0, n * bits_per_key / 64))))
+        self.bits = min(bits, part_bits)
+        self.parts = bits // self.bits
+        of = self._part(F.col("key"))
+        self.words = [keep(_filter_row(keys.filter(of == p), number, hashes, self.bits), f"bloom-{number}-{p}") for p in range(self.parts)]
+
+    def _part(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(F.lit("part"), F.lit(self.number), key), F.lit(self.parts))
+
+    def passes(self, key: Column) -> Column:
+        one = [_passes(w.scalar(), key, self.number, self.hashes, self.bits) for w in self.words]
+        out = one[0]
+        for p in range(1, self.parts):
+            out = F.when(self._part(key) == p, one[p]).otherwise(out)
+        return out
+
+
 class Cascade:
     """Exact membership of the corpus's keys in a list."""
 
-    def __init__(self, universe: DataFrame, listed: DataFrame, bits_per_key: int = 10, hashes: int = 5, max_bits: int = 1 << 27):
-        """``universe`` and ``listed``: a column ``key`` each, distinct; ``listed`` is part of ``universe``."""
-        self.levels: list[tuple[DataFrame, int]] = []
-        self.hashes, self.listed = hashes, listed
-        self.exact_join = False
+    def __init__(self, universe: DataFrame, listed: DataFrame, bits_per_key: int = 10, hashes: int = 5, part_bits: int = PART_BITS):
+        """``universe`` and ``listed``: a column ``key`` each, distinct; ``listed`` is part of ``universe``. ``part_bits``: a power of 2 from 64 on."""
+        self.levels: list[Level] = []
         inside, outside = listed, universe.join(listed, "key", "left_anti")
         while (n := inside.count()) > 0:
-            bits = 64 << max(0, math.ceil(math.log2(max(1.0, n * bits_per_key / 64))))
-            if bits > max_bits:
-                self.exact_join = True
-                return
-            level = len(self.levels)
-            words = keep(_filter_row(inside, level, hashes, bits), f"bloom-{level}")
-            self.levels.append((words, bits))
-            wrong = keep(outside.filter(_passes(words.scalar(), F.col("key"), level, hashes, bits)), f"wrong-{level}")
+            level = Level(inside, n, len(self.levels), hashes, bits_per_key, part_bits)
+            self.levels.append(level)
+            wrong = keep(outside.filter(level.passes(F.col("key"))), f"wrong-{level.number}")
             inside, outside = wrong, inside
 
     def contains(self, key: Column) -> Column:
         """Whether a key of the universe is listed: the first level that does not pass it decides."""
         out = F.lit(len(self.levels) % 2 == 1)
-        for level in reversed(range(len(self.levels))):
-            words, bits = self.levels[level]
-            out = F.when(~_passes(words.scalar(), key, level, self.hashes, bits), F.lit(level % 2 == 1)).otherwise(out)
+        for level in reversed(self.levels):
+            out = F.when(~level.passes(key), F.lit(level.number % 2 == 1)).otherwise(out)
         return out
 
-    def mark(self, rows: DataFrame, key: str, name: str) -> DataFrame:
-        """``rows`` with a boolean column ``name``."""
-        if not self.exact_join:
-            return rows.withColumn(name, self.contains(F.col(key)))
-        known = self.listed.select(F.col("key").alias(key), F.lit(True).alias(name))
-        return rows.join(known, key, "left").withColumn(name, F.coalesce(name, F.lit(False)))
-
 
 def url_filter(pages: DataFrame, rules: list[Rule], blocked_domains: list[str] | DataFrame) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict (allow or block), listed.
@@ -122,7 +134,7 @@ def url_filter(pages: DataFrame, rules: list[Rule], blocked_domains: list[str] |
     spark = pages.sparkSession
     hosts = keep(pages.select(host_of(F.col("url")).alias("key")).distinct(), "hosts")
     if isinstance(blocked_domains, list):
-        blocked_domains = spark.createDataFrame([(d,) for d in blocked_domains], "domain string")
+        blocked_domains = spark.range(1).select(F.explode(F.lit(blocked_domains).cast("array<string>")).alias("domain"))
     labels = F.split("key", "\\.")
     tails = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(F.split("key", "\\."), -i, i), "."))
     tails = hosts.select("key", F.explode(tails).alias("domain"))
@@ -130,6 +142,6 @@ def url_filter(pages: DataFrame, rules: list[Rule], blocked_domains: list[str] |
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     text, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("rule", text).withColumn("by_rule", verdict)
-    rows = Cascade(hosts, listed).mark(rows, "host", "listed")
+    rows = rows.withColumn("listed", Cascade(hosts, listed).contains(F.col("host")))
     verdict = F.coalesce("by_rule", F.when(F.col("listed"), "block").otherwise("allow"))
     return rows.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "listed")

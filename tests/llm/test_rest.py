@@ -1,4 +1,5 @@
 import importlib
+import math
 from collections import defaultdict
 
 import numpy as np
@@ -30,17 +31,26 @@ def judged(url, blocked):
     return host, path, text, say, listed
 
 
-@pytest.mark.parametrize("max_bits,bits", [(1 << 27, 10), (1 << 27, 1), (64, 10)])
-def test_url_filter_as_the_rules(spark, monkeypatch, max_bits, bits):
+@pytest.mark.parametrize("part_bits,bits", [(1 << 24, 10), (1 << 24, 1), (64, 10)])
+def test_url_filter_as_the_rules(spark, monkeypatch, part_bits, bits):
     blocked = queries.BLOCKED_DOMAINS
     urls = URLS + [f"http://h{i}.{d}/" for i, d in enumerate(blocked)] + [f"http://free{i}.example.io/" for i in range(300)]
     cascade = url_filter.Cascade
-    monkeypatch.setattr(url_filter, "Cascade", lambda a, b: cascade(a, b, bits_per_key=bits, hashes=2, max_bits=max_bits))
+    monkeypatch.setattr(url_filter, "Cascade", lambda a, b: cascade(a, b, bits_per_key=bits, hashes=2, part_bits=part_bits))
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     got = url_filter.url_filter(clashing(pages), queries.URL_RULES, blocked).select("page_id", "host", "path", "rule", "verdict", "listed").collect()
     assert sorted(tuple(r) for r in got) == sorted((i, *judged(u, blocked)) for i, u in enumerate(urls))
 
 
+def test_cascade_of_a_long_list(spark):
+    """100,000 listed keys among 400,000: several filters a level, three levels or more, and no key judged wrongly."""
+    key = F.concat(F.lit("host"), "id", F.lit(".example.org")).alias("key")
+    universe = spark.range(400_000).select(key, (F.col("id") % 4 == 0).alias("listed"))
+    cascade = url_filter.Cascade(universe.select("key"), universe.filter("listed").select("key"), part_bits=1 << 18)
+    assert len(cascade.levels) >= 3 and cascade.levels[0].parts == 4
+    assert universe.filter(cascade.contains(F.col("key")) != F.col("listed")).isEmpty()
+
+
 def test_url_filter_of_nothing(spark):
     assert url_filter.url_filter(spark.createDataFrame([], "page_id long, url string"), queries.URL_RULES, ["x.org"]).count() == 0
 
@@ -127,6 +137,38 @@ def test_mixed_rows_are_pieces_of_documents(spark):
     assert all(any(r["text"].strip() in t for t in texts[r["doc_id"]]) for r in got)
 
 
+@pytest.mark.parametrize("total,marked,drawn", [(50, 20, 10), (400, 390, 200), (20_000, 8_000, 6_000), (20_000, 300, 19_000), (10**12, 4 * 10**11, 10**6)])
+def test_draws_have_their_distribution(spark, total, marked, drawn):
+    """Inverted and rejected draws against the exact distribution function; the last against its binomial limit."""
+    n = 6000
+    u = lambda name, i: mixing.uniform(F.lit(name), i, F.col("id"))
+    long = lambda x: F.lit(x).cast("long")
+    x = np.sort([r[0] for r in spark.range(n).select(mixing.hypergeometric(u, long(total), long(marked), long(drawn))).collect()])
+    log = lambda a, b: math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1)
+    low, high = max(0, drawn - (total - marked)), min(marked, drawn)
+    assert low <= x[0] and x[-1] <= high
+    if total > 10**9:
+        share = marked / total
+        weights = lambda k: log(drawn, k) + k * math.log(share) + (drawn - k) * math.log1p(-share)
+        mean, sd = drawn * share, (drawn * share * (1 - share)) ** 0.5
+        ks = np.arange(int(mean - 12 * sd), int(mean + 12 * sd))
+    else:
+        weights = lambda k: log(marked, k) + log(total - marked, drawn - k) - log(total, drawn)
+        ks = np.arange(low, high + 1)
+    exact = np.cumsum(np.exp([weights(int(k)) for k in ks]))
+    assert abs(exact[-1] - 1) < 1e-3
+    seen = np.searchsorted(x, ks, side="right") / n
+    assert np.abs(seen - exact).max() < 1.95 / n**0.5  # beyond the bound with a chance below 0.001
+
+
+def test_mixed_passes_columns_of_any_name(spark):
+    docs = documents(spark)
+    names = ["_doc", "_source", "_copy", "_size", "_pieces", "_place", "_piece", "__doc"]
+    got = mixing.mixed(docs.withColumns({c: F.lit(c) for c in names}), shards=4, block_words=8)
+    assert got.columns == [*docs.columns, *names] and order(got.select(*docs.columns).collect()) == order(mixing.mixed(docs, shards=4, block_words=8).collect())
+    assert all(r[c] == c for r in got.select(*names).collect() for c in names)
+
+
 def test_mix_of_nothing(spark):
     assert mixing.mix(documents(spark, [])).count() == 0
 
