@@ -159,3 +159,12 @@ def robustness(docs: DataFrame, gold: DataFrame, variants: int = 5, seed: int =
     hit = F.exists("citacoes", lambda c: iou(c, F.col("documento_id")) >= IOU)
     sums = found.agg(F.count("*").alias("variants"), F.count_if(hit).alias("detected"))
     return sums.withColumn("recall", F.coalesce(F.try_divide("detected", "variants"), F.lit(0.0)))
+
+
+def recall_by(rows: DataFrame, group: str, key: str, snippet: str, before: str, after: str) -> DataFrame:
+    """group, variants, found: whether at least 99 of 100 snippets, each put between two texts, are found where they are."""
+    texts = rows.select(F.struct(F.col(group).alias("group"), F.col(key).alias("key"), F.length(snippet).alias("size")).alias("documento_id"), F.concat(F.lit(before), snippet, F.lit(after)).alias("texto"))
+    there = F.struct(F.lit(len(before)).alias("inicio"), (F.lit(len(before)) + F.col("documento_id.size")).alias("fim"))
+    hit = F.exists("citacoes", lambda c: iou(c, there) >= IOU)
+    sums = detect(texts).groupBy(F.col("documento_id.group").alias(group)).agg(F.count("*").alias("variants"), F.count_if(hit).alias("hits"))
+    return sums.select(group, "variants", (F.col("hits") >= 0.99 * F.col("variants")).alias("found"))

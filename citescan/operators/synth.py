@@ -113,10 +113,12 @@ def catalogue(spark) -> DataFrame:
     return _catalogue(spark, rows)
 
 
-def descriptions(records: DataFrame, size: int = 60, seed: int = 42) -> DataFrame:
-    """documento_id, texto, tribunal, ano, relator: decisions told by court, year and rapporteur."""
+def descriptions(records: DataFrame, size: int | None = 60, seed: int = 42) -> DataFrame:
+    """documento_id, texto, tribunal, ano, nome: decisions, a sample of ``size`` or all, told by court, year and rapporteur."""
     rows = records.filter("natureza = 'acordao' and coalesce(relator, '') <> '' and ano is not null")
-    rows = rows.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(size).withColumn("nome", F.replace("relator", F.lit("Min. "), F.lit("")))
+    if size is not None:
+        rows = rows.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(size)
+    rows = rows.withColumn("nome", F.replace("relator", F.lit("Min. "), F.lit("")))
     form = F.get(F.array(*map(F.lit, DESCRIPTIONS)), P.pick(F.col("id"), "tell", len(DESCRIPTIONS)))
     for mark, value in (("{t}", F.col("tribunal")), ("{a}", F.col("ano").cast("string")), ("{n}", F.col("nome"))):
         form = F.replace(form, F.lit(mark), value)
