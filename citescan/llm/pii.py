@@ -1,18 +1,20 @@
 """Personal data: fixed kinds by pattern, further identifiers by bootstrapped contexts.
 
 Emails, addresses of machines, card numbers and phone numbers are found by their
-form. They are the seeds: the two words before the word that holds a mention are
-a lexical pattern (a token's prefix ``key:`` or ``key=`` is a word of its own), and every mention that looks like an identifier links its pattern with its value.
-Spark scores this graph in rounds: a pattern is worth the share of known values
-among all places where its words occur, a value is worth what its patterns leave
-no doubt of. Mentions of unknown values after patterns that end up certain are
-reported as kind ``id``.
+form. They are the seeds: the two words before a mention, the two after it, and, if
+it is one word, the one before with the one after are lexical patterns (a token's
+prefix ``key:`` or ``key=`` is a word of its own), and every mention that looks like
+an identifier links its patterns with its value. Spark scores this graph in rounds: a
+pattern is worth the share of known values among all places where its words occur, a
+value is worth what its patterns leave no doubt of. Mentions of unknown values in
+patterns that end up certain are reported as kind ``id``.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,7 +41,7 @@ _DIGIT = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+")
 #: a prefix of a token that is a word of its own
 _KEY = re.compile(r"(?<!\S)[\"'`(\[{<*#]*+[A-Za-z_-]++[:=](?=\S)")
-_PART = re.compile(r"^\S+")
+_WHOLE = re.compile(r"\S+")
 _WRAP = ".,;:!?()[]{}<>\"'`*#$%&|"
 _FOLD = str.maketrans(UPPER, LOWER)
 
@@ -95,25 +97,27 @@ def _words(text: str) -> list[str]:
     return _KEY.sub(r"\g<0> ", text).translate(_FOLD).split()
 
 
-def _word_start(text: str, token: int, start: int) -> int:
-    """Where the word that holds ``start`` begins, in the token that begins at ``token``."""
-    m = _KEY.match(text, token)
-    return m.end() if m and m.end() <= start else token
+def _placed(text: str) -> tuple[list[int], list[str]]:
+    """Where each of the words begins, and the words."""
+    starts: list[int] = []
+    for m in _WHOLE.finditer(text):
+        starts.append(m.start())
+        key = _KEY.match(text, m.start())
+        if key:
+            starts.append(key.end())
+    return starts, _words(text)
 
 
-def _context(text: str, start: int) -> str | None:
-    """The two words before the word at ``start``; None with fewer."""
-    reach = 80
-    while True:
-        before = text[max(0, start - reach) : start]
-        if start > reach:  # what begins before is no whole token
-            before = _PART.sub("", before)
-        words = _words(before)
-        if len(words) > 1:
-            return f"{words[-2]} {words[-1]}"
-        if start <= reach:
-            return None
-        reach *= 8
+def _contexts(words: list[str], i: int, j: int) -> list[str]:
+    """The patterns around words i to j: a tab stands where the mention is."""
+    out = []
+    if i > 1:
+        out.append(f"{words[i - 2]} {words[i - 1]}\t")
+    if i == j and 0 < i < len(words) - 1:
+        out.append(f"{words[i - 1]}\t{words[i + 1]}")
+    if j + 2 < len(words):
+        out.append(f"\t{words[j + 1]} {words[j + 2]}")
+    return out
 
 
 #: characters of the shortest word that can be an identifier outside the base patterns
@@ -121,22 +125,21 @@ SHORTEST = 4
 
 
 def mentions(text: str, base: list[list[Span]], shortest: int = SHORTEST) -> list[dict]:
-    """Base spans and other words of ``shortest`` characters with a digit or @, each with the context before the word that holds it."""
+    """Base spans and other words of ``shortest`` characters with a digit or @, each with its contexts."""
     taken = sorted((a, b, kind) for kind, spans in zip(KINDS, base, strict=True) for a, b in spans)
-    found = []
-    token = done = 0
-    for a, b, kind in taken:
-        at = a
-        while at > done and not text[at - 1].isspace():
-            at -= 1
-        if at > done or (at and text[at - 1].isspace()):
-            token = at
-        done = a
-        found.append({"context": _context(text, _word_start(text, token, a)), "value": text[a:b], "kind": kind, "start": a, "end": b})
-    i = 0
-    reach = 0
-    for m in _TOKEN.finditer(text):
-        first = _word_start(text, m.start(), m.end())
+    tokens = list(_TOKEN.finditer(text))
+    if not taken and not tokens:
+        return []
+    starts, words = _placed(text)
+
+    def mention(a: int, b: int, kind: str | None) -> dict:
+        i, j = bisect_right(starts, a) - 1, bisect_right(starts, b - 1) - 1
+        return {"contexts": _contexts(words, i, j), "value": text[a:b], "kind": kind, "start": a, "end": b}
+
+    found = [mention(*t) for t in taken]
+    i = reach = 0
+    for m in tokens:
+        first = starts[bisect_right(starts, m.end() - 1) - 1]
         whole = text[first : m.end()]
         word = whole.strip(_WRAP)
         if len(word) < shortest:
@@ -147,14 +150,14 @@ def mentions(text: str, base: list[list[Span]], shortest: int = SHORTEST) -> lis
             reach = max(reach, taken[i][1])
             i += 1
         if reach <= a:
-            found.append({"context": _context(text, first), "value": word, "kind": None, "start": a, "end": b})
-    return [x for x in found if x["context"]]
+            found.append(mention(a, b, None))
+    return [x for x in found if x["contexts"]]
 
 
 _SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32())])
-_MENTION = pa.struct([("context", pa.string()), ("value", pa.string()), ("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
+_MENTION = pa.struct([("contexts", pa.list_(pa.string())), ("value", pa.string()), ("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 _SCANNED = "rid long, doc_id {id}, " + ", ".join(f"{k} array<struct<start:int,end:int>>" for k in KINDS) + (
-    ", mentions array<struct<context:string,value:string,kind:string,start:int,end:int>>"
+    ", mentions array<struct<contexts:array<string>,value:string,kind:string,start:int,end:int>>"
 )
 
 
@@ -170,7 +173,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _counts(seen: dict[str, int]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["context", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["words", "n"])
 
 
 def _occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -179,25 +182,26 @@ def _occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     A filter of fixed size over the patterns drops most other pairs of words where
     they stand; the join decides.
     """
-    wanted = docs.sparkSession.sparkContext.broadcast(bits_of(patterns.select(F.crc32(F.col("context").cast("binary")).alias("h"))).tobytes())
+    patterns = patterns.select("context", F.trim(F.col("context"), F.lit("\t")).alias("words"))
+    wanted = docs.sparkSession.sparkContext.broadcast(bits_of(patterns.select(F.crc32(F.col("words").cast("binary")).alias("h"))).tobytes())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = wanted.value, {}
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 words = _words(text or "")
-                for pair in zip(words, words[1:], strict=False):
-                    c = f"{pair[0]} {pair[1]}"
-                    h = zlib.crc32(c.encode()) % BITS
-                    if bits[h >> 3] >> (h & 7) & 1:
-                        seen[c] = seen.get(c, 0) + 1
+                for pairs in (map(" ".join, zip(words, words[1:], strict=False)), map("\t".join, zip(words, words[2:], strict=False))):
+                    for pair in pairs:
+                        h = zlib.crc32(pair.encode()) % BITS
+                        if bits[h >> 3] >> (h & 7) & 1:
+                            seen[pair] = seen.get(pair, 0) + 1
                 if len(seen) > HELD:
                     yield _counts(seen)
                     seen = {}
         yield _counts(seen)
 
-    counted = docs.select("text").mapInArrow(count, "context string, n long")
-    return counted.join(patterns, "context", "left_semi").groupBy("context").agg(F.sum("n").alias("places"))
+    counted = docs.select("text").mapInArrow(count, "words string, n long").groupBy("words").agg(F.sum("n").alias("places"))
+    return patterns.join(counted, "words").select("context", "places")
 
 
 def score_patterns(edges: DataFrame, places: DataFrame, rounds: int, support: float) -> DataFrame:
@@ -228,15 +232,15 @@ def personal_data(docs: DataFrame, rounds: int = 3, support: int = 5, certain: f
 
     A pattern needs ``support`` distinct known values, and ``certain`` of all places
     of its two words must be mentions of known values, for it to discover others. A
-    null text is empty. Contexts are two words of any length; a mention with fewer
-    words before it has none and is neither evidence nor discovered, as are words
-    of fewer than ``SHORTEST`` characters. Repeated rows, also of one doc_id or of a null one, are read
+    null text is empty. Contexts are two words of any length; a mention alone in its
+    text has none and is neither evidence nor discovered, as are words of fewer than
+    ``SHORTEST`` characters. Repeated rows, also of one doc_id or of a null one, are read
     each for itself, though copies of a value count once for a pattern's support. An
     empty table gives an empty result; other columns are ignored.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
     scanned = keep(rows.mapInArrow(_scan, _SCANNED.format(id=docs.schema["doc_id"].dataType.simpleString())), "pii-scan")
-    seen = scanned.select("rid", F.explode("mentions").alias("m")).select("rid", "m.*")
+    seen = scanned.select("rid", F.explode("mentions").alias("m")).select("rid", "m.*").withColumn("context", F.explode("contexts")).drop("contexts")
     edges = seen.groupBy("context", "value").agg(F.bool_or(F.col("kind").isNotNull()).alias("seed"), F.count("*").alias("n"))
     usable = edges.groupBy("context").agg(F.count("*").alias("values")).filter(F.col("values") >= support).select("context")
     usable = keep(usable, "patterns")
@@ -244,6 +248,6 @@ def personal_data(docs: DataFrame, rounds: int = 3, support: int = 5, certain: f
     places = keep(_occurrences(docs, usable), "pattern-places")
     good = score_patterns(edges, places, rounds, support).filter(F.col("worth") >= certain).select("context")
     new = seen.filter("kind is null").join(good, "context", "left_semi").groupBy("rid")
-    new = new.agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(FOUND))
+    new = new.agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias(FOUND))
     none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
     return scanned.drop("mentions").join(new, "rid", "left").withColumn(FOUND, F.coalesce(FOUND, none)).drop("rid")

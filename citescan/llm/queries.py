@@ -132,6 +132,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS],
         F.sha2(_joined(pii.KINDS), 256).alias("base_sha256"),
         _joined((*pii.KINDS, pii.FOUND)).alias("spans"),
+        sum((F.size(k) for k in pii.KINDS), F.size(pii.FOUND)).cast("long").alias("n_spans"),
     )
 
 

@@ -167,15 +167,27 @@ def test_every_context_has_a_place():
     texts = [*PII_TEXTS, *(r[1] for r in rows()), 'a mail:x@y.org,z@y.org "k9-77" (see id=AB-123) ' * 9, "q" * 90 + ":a1234 b:c:d@e.f " * 3]
     for text in filter(None, texts):
         words = pii._words(text)
-        places = {f"{a} {b}" for a, b in zip(words, words[1:], strict=False)}
-        assert {m["context"] for m in pii.mentions(text, pii.base_spans(text))} <= places
+        assert [text[a : a + len(w)].translate(pii._FOLD) for a, w in zip(*pii._placed(text), strict=True)] == words
+        places = {f"{a} {b}" for a, b in zip(words, words[1:], strict=False)} | {f"{a}\t{b}" for a, b in zip(words, words[2:], strict=False)}
+        assert {c.strip("\t") for m in pii.mentions(text, pii.base_spans(text)) for c in m["contexts"]} <= places
 
 
-@pytest.mark.parametrize("text", ["contact\x1cvia a@b.org", "contact\u2003via \x85a@b.org", "é contact via\xa0a@b.org", "q" * 900 + " via a@b.org"])
+@pytest.mark.parametrize("text", ["contact\x1cvia a@b.org or so", "contact\u2003via \x85a@b.org now then", "é contact via\xa0a@b.org é é", "q" * 900 + " via a@b.org _ _"])
 def test_words_of_contexts_are_words_of_places(spark, text):
-    (context,) = {m["context"] for m in pii.mentions(text, pii.base_spans(text))}
-    found = pii._occurrences(spark.createDataFrame([(text,)], "text string"), spark.createDataFrame([(context,)], "context string")).collect()
-    assert [tuple(r) for r in found] == [(context, 1)]
+    (contexts,) = [m["contexts"] for m in pii.mentions(text, pii.base_spans(text))]
+    assert len(contexts) == 3
+    found = pii._occurrences(spark.createDataFrame([(text,)], "text string"), spark.createDataFrame([(c,) for c in contexts], "context string")).collect()
+    assert sorted(tuple(r) for r in found) == sorted((c, 1) for c in contexts)
+
+
+def test_personal_data_is_found_by_what_follows_and_not_in_common_words(spark):
+    known = [f"w{i} x{i} user{i}@host{i}.org is my address w{i}" for i in range(8)] + [f"y{i} reach user{i}@host{i}.net anytime y{i}" for i in range(8)]
+    unknown = ["here johnny_at_home77 is my address", "so reach johnny_at_home88 anytime he said"]
+    common = [f"the word{i} for my choice{i}" for i in range(50)] + [f"at 1{i:03d} to a{i}@b.org to be at word{i} to do" for i in range(8)] + ["at 4711 to go"]
+    texts = [*known, *unknown, *common]
+    got = {r["doc_id"]: r for r in pii.personal_data(documents(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)])).collect()}
+    told = {i: [texts[i][s["start"] : s["end"]] for s in r["id"]] for i, r in got.items() if r["id"]}
+    assert told == {16: ["johnny_at_home77"], 17: ["johnny_at_home88"]}
 
 
 def test_personal_data_of_nothing(spark):
