@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +15,8 @@ from citescan.operators import canonical, evaluate, extract, perturb, resolve, s
 from citescan.operators import grammar as G
 from citescan.plans import corpus as C
 from citescan.plans import pipeline
-from citescan.session import keep
-from citescan.sources import results
+from citescan.session import keep, shared_dir
+from citescan.sources import documents, results
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -453,6 +454,71 @@ def eval_calibration(spark, sf_dir):
     return _rounded(evaluate.calibration(pred, gold))
 
 
+#: two overlapping annotations for each line, a prediction as near to one as to the other, one that lies in both and one far away
+TIED = "SELECT l_orderkey AS documento_id, CAST(i * 100 AS INT) AS b, l_partkey, {kind} AS kind FROM ({lines}) AS lines".format(kind=KIND.format(x="l_partkey"), lines=LINES)
+
+
+@query(
+    f"""WITH t AS ({TIED}), o AS (SELECT unnest(['evaluation', 'official']) AS judge)
+    SELECT judge, documento_id, b + 2 AS p, CASE judge WHEN 'official' THEN b ELSE b + 4 END AS g, CASE judge WHEN 'official' THEN kind <> 'real' OR l_partkey % 11 <> 0 ELSE kind = 'incompleta' END AS hit, false AS spare FROM t, o
+    UNION ALL SELECT judge, documento_id, b + 5, NULL, false, true FROM t, o UNION ALL SELECT judge, documento_id, b + 50, NULL, false, false FROM t, o
+    UNION ALL SELECT judge, documento_id, NULL, CASE judge WHEN 'official' THEN b + 4 ELSE b END, false, false FROM t, o"""
+)
+def eval_ties(spark, sf_dir):
+    C.views(spark, sf_dir)
+    spark.sql(TIED).createOrReplaceTempView("tied")
+    gold = spark.sql(
+        """SELECT documento_id, b AS inicio, b + 10 AS fim, 1 AS nivel, kind AS classificacao, array(CAST(l_partkey AS LONG)) AS ids_aceitos FROM tied
+        UNION ALL SELECT documento_id, b + 4, b + 14, 1, 'incompleta', CAST(array() AS array<bigint>) FROM tied"""
+    )
+    pred = spark.sql(
+        """SELECT documento_id, b + 2 AS inicio, b + 12 AS fim, kind AS classificacao, CAST(l_partkey + CASE WHEN l_partkey % 11 = 0 THEN 1 ELSE 0 END AS LONG) AS id_canonico FROM tied
+        UNION ALL SELECT documento_id, b + 5, b + 8, kind, NULL FROM tied UNION ALL SELECT documento_id, b + 50, b + 60, kind, NULL FROM tied"""
+    )
+    both = keep(evaluate.side_by_side(pred.withColumn("documento_id", F.col("documento_id").cast("string")), gold.withColumn("documento_id", F.col("documento_id").cast("string"))), "sides")
+    found = [evaluate.outcomes(both, late).select(F.lit(judge).alias("judge"), F.col("documento_id").cast("long").alias("documento_id"), F.col("p.inicio").alias("p"), F.col("g.inicio").alias("g"), "hit", "spare") for judge, late in (("evaluation", True), ("official", False))]
+    return found[0].union(found[1])
+
+
+# ---------------------------------------------------------------- sources and sinks
+
+
+@query(
+    """WITH n AS (SELECT n_nationkey AS k, CAST('n' || n_nationkey AS VARCHAR) AS id, n_name, n_regionkey AS r FROM nation)
+    SELECT 'texts' AS source, id, concat(E'CAB\n\n\n', n_name) AS a, CAST(6 + length(n_name) AS BIGINT) AS b FROM n
+    UNION ALL SELECT 'annotations', id, concat(n_name, E'\nx'), CAST(r AS BIGINT) FROM n
+    UNION ALL SELECT 'base', id, n_name, CAST(1990 + r AS BIGINT) FROM n
+    UNION ALL SELECT 'json', id, n_name, CASE WHEN r > 0 THEN CAST(k AS BIGINT) END FROM n
+    UNION ALL SELECT 'csv', id, concat('6,', 6 + length(n_name), ',', CASE WHEN r > 0 THEN concat('real,', CASE WHEN k = 0 THEN '-' ELSE CAST(k AS VARCHAR) END) ELSE 'incompleta,-' END, ',0.5000'), CAST(NULL AS BIGINT) FROM n"""
+)
+def sources_and_sinks(spark, sf_dir):
+    """A folder of texts, a file of annotations, a SQLite base and both kinds of results, written from ``nation`` and read again."""
+    folder = f"{shared_dir(spark).removeprefix('file:').replace('//', '/')}/{spark.sparkContext.applicationId}/sources-{uuid.uuid4().hex[:12]}"
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").selectExpr("n_nationkey AS k", "concat('n', n_nationkey) AS documento_id", "n_name", "n_regionkey AS r")
+    texts = nations.selectExpr("documento_id", "concat('CAB\\n\\n\\n', n_name) AS texto")
+    documents.write_texts(texts, f"{folder}/txt")
+    marked = nations.selectExpr(
+        "1 AS nivel", "documento_id", "'g1' AS citacao_id", "6 AS inicio", "6 + length(n_name) AS fim", r"concat(n_name, '\\n', 'x') AS trecho", "'lei' AS tipo", "'real' AS classificacao", "concat(k, '  ', r) AS id_canonico"
+    )
+    marked.coalesce(1).write.csv(f"{folder}/gold", header=True, escape='"')
+    base = nations.selectExpr("CAST(k AS LONG) AS id", "documento_id", "n_name AS tribunal", "1990 + r AS ano", "CAST(NULL AS STRING) AS relator", "'acordao' AS natureza", "'acordao' AS tipo", "n_name AS texto")
+    documents.write_base(base, f"{folder}/base.db")
+    decided = nations.selectExpr(
+        "documento_id", "6 AS inicio", "6 + length(n_name) AS fim", "n_name AS trecho", "'lei' AS tipo", "IF(r > 0, 'real', 'incompleta') AS classificacao", "IF(r > 0, CAST(k AS LONG), NULL) AS id_canonico", "CAST(0.5 AS DOUBLE) AS confianca"
+    )
+    done = results.contract(texts, decided)
+    results.write_files(done, f"{folder}/json")
+    results.write_submission(done, f"{folder}/csv")
+    read = [
+        documents.read_texts(spark, f"{folder}/txt").select(F.lit("texts").alias("source"), F.col("documento_id").alias("id"), F.col("texto").alias("a"), F.length("texto").cast("long").alias("b")),
+        documents.read_annotations(spark, f"{folder}/gold").select(F.lit("annotations"), "documento_id", "trecho", F.get("ids_aceitos", 1)),
+        documents.read_base(spark, f"{folder}/base.db").select(F.lit("base"), "documento_id", "texto", F.col("ano").cast("long")),
+        documents.read_results(spark, f"{folder}/json").select(F.lit("json"), "documento_id", F.get("citacoes", 0)["trecho"], F.get("citacoes", 0)["resolucao"]["id_canonico"]),
+        spark.read.csv(f"{folder}/csv", header=True).select(F.lit("csv"), "documento_id", "citacoes", F.lit(None).cast("long")),
+    ]
+    return functools.reduce(DataFrame.union, read)
+
+
 # ---------------------------------------------------------------- noise and synthesis
 
 

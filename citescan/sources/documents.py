@@ -18,12 +18,28 @@ def read_texts(spark: SparkSession, folder: str) -> DataFrame:
     The id is the file's name without its ending. Bytes that are no UTF-8, and empty
     files, are errors.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "false").load(folder)
+    return named_texts(spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "false").load(folder))
+
+
+def named_texts(files: DataFrame) -> DataFrame:
+    """documento_id, texto of files (path, content)."""
     name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.txt$", "")
     text = F.when(F.length("content") > 0, F.decode("content", "UTF-8")).otherwise(F.raise_error(F.concat(F.lit("empty document: "), "path")))
     return files.select(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("documento_id"), text.alias("texto"))
 
 
+def write_texts(docs: DataFrame, folder: str) -> None:
+    """A file for each row of documento_id, texto, on a file system that all executors share."""
+
+    def write(rows) -> None:
+        for row in rows:
+            with open(os.path.join(folder, f"{row['documento_id']}.txt"), "w", encoding="utf-8", newline="") as f:
+                f.write(row["texto"])
+
+    os.makedirs(folder, exist_ok=True)
+    docs.select("documento_id", "texto").foreachPartition(write)
+
+
 GOLD = "nivel int, documento_id string, citacao_id string, inicio int, fim int, trecho string, tipo string, classificacao string, id_canonico string"
 
 
@@ -76,6 +92,15 @@ class SqliteSource(DataSource):
         return _SqliteReader(self.options["path"], self.options["table"], [f.name for f in schema.fields], int(self.options.get("parts", "8")))
 
 
+def write_base(records: DataFrame, path: str) -> None:
+    """A SQLite file of canonical records, which come to the driver part by part: one file has one writer."""
+    names = [f.split()[0] for f in RECORD.split(", ")]
+    with sqlite3.connect(path) as db:
+        db.execute(f"CREATE TABLE documentos ({', '.join(names)})")
+        db.executemany(f"INSERT INTO documentos VALUES ({', '.join('?' * len(names))})", map(tuple, records.select(*names).toLocalIterator()))
+    db.close()
+
+
 def read_base(spark: SparkSession, path: str) -> DataFrame:
     """The canonical records of a SQLite file."""
     if not os.path.isfile(path):

@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from citescan.operators.extract import detect
+from citescan.sources.documents import named_texts
 
 
 def read_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """documento_id, texto of the text files that arrive in a folder."""
-    rows = spark.readStream.option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
-    return rows.select(F.regexp_replace("_metadata.file_name", r"\.txt$", "").alias("documento_id"), F.col("value").alias("texto"))
+    """documento_id, texto of the text files that arrive in a folder, by the rules of the batch reader."""
+    rows = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+    return named_texts(rows.option("pathGlobFilter", "*.txt").load(folder))
 
 
 def write_detected(docs: DataFrame, folder: str, checkpoint: str, generic: bool = False):
