@@ -1,13 +1,16 @@
 import importlib
 import math
+import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
 
-from citescan.llm import mixing, nn_graph, queries, url_filter
-from tests.llm.helpers import clashing, documents, order, rows
+from citescan.llm import bpe, exact_dedup, mixing, nn_graph, quality, queries, url_filter
+from tests.llm.helpers import brute_components, clashing, documents, order, rows
 
 SF = "/root/testdata/sf0.001"
 
@@ -189,6 +192,69 @@ def test_pipeline_stages(spark):
     assert tokens.count() == kept[4] and tokens.filter("n_tokens * 4 <> length(ids)").isEmpty()
 
 
+def plain_stages(spark, docs):
+    """Each stage's rows with the rows that a plain version keeps of what the stage was given."""
+    pipeline = importlib.import_module("corpus_pipeline")
+    stages = dict(pipeline.STAGES)
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    as_rows = lambda df: [tuple(r) for r in df.select(*pipeline.COLUMNS).collect()]
+    fold = str.maketrans(exact_dedup.UPPER, exact_dedup.LOWER)
+
+    model = quality.train(docs, labels)
+    given = as_rows(docs)
+    score = model.score(quality.features(pa.array([r[1] for r in given], pa.string())))
+    docs = pipeline.keep(stages["quality"](spark, docs, SF), "stage")
+    yield "quality", as_rows(docs), [r for r, s in zip(given, score, strict=True) if s >= queries.GOOD]
+
+    best = {}
+    for r in as_rows(docs):
+        same = (r[1] or "").translate(fold)
+        if same not in best or (r[0] is not None, r[0]) > (best[same][0] is not None, best[same][0]):
+            best[same] = r
+    docs = pipeline.keep(stages["exact_dedup"](spark, docs, SF), "stage")
+    yield "exact_dedup", [(r[0], (r[1] or "").translate(fold)) for r in as_rows(docs)], [(r[0], same) for same, r in best.items()]
+
+    given = as_rows(docs)
+    found = brute_components([(i, r[1]) for i, r in enumerate(given)], 5, 80)
+    groups = defaultdict(list)
+    for i, n, c in found:
+        groups[c if n else ("bare", i)].append(given[i][0])
+    docs = pipeline.keep(stages["near_dedup"](spark, docs, SF), "stage")
+    yield "near_dedup", [r[0] for r in as_rows(docs)], [min(g, key=lambda d: (d is None, d)) for g in groups.values()]
+
+    given = as_rows(docs)
+    size = lambda text: len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+    sizes, texts = defaultdict(int), defaultdict(list)
+    for r in given:
+        sizes[r[3]] += size(r[1])
+        texts[r[0], r[2], r[3]].append(r[1] or "")
+    want = filled(sizes) if given else {}
+    docs = pipeline.keep(stages["mixing"](spark, docs, SF), "stage")
+    taken = dict.fromkeys(sizes, 0)
+    mixed = as_rows(docs)
+    for r in mixed:
+        taken[r[3]] += size(r[1])
+        assert any(r[1].strip() in t for t in texts[r[0], r[2], r[3]]) and r[4] == len(r[1])
+    yield "mixing", [s for s in sizes if abs(taken[s] - want[s]) <= 1], list(sizes)
+
+    ranks, pattern = queries.byte_vocabulary()
+    with open(ranks, "rb") as f:
+        known = tiktoken.Encoding("plain", pat_str=pattern, mergeable_ranks=bpe.read_ranks(f.read()), special_tokens={})
+    tokens = [(r["doc_id"], bytes(r["ids"])) for r in stages["tokens"](spark, docs, SF).collect()]
+    yield "tokens", tokens, [(r[0], np.array(known.encode_ordinary(r[1]), "<u4").tobytes()) for r in mixed]
+
+
+@pytest.mark.parametrize("table", ["sf", "odd", "none"])
+def test_pipeline_stages_as_plain_versions(spark, table):
+    """On the generated documents, on nulls, empty and long texts, repeated rows and ids, and on no rows at all."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet") if table == "sf" else documents(spark, None if table == "odd" else [])
+    seen = []
+    for name, got, want in plain_stages(spark, docs):
+        assert order(got) == order(want), name
+        seen.append(name)
+    assert seen == [n for n, _ in importlib.import_module("corpus_pipeline").STAGES]
+
+
 def test_eleven_queries_are_registered():
     entry = importlib.import_module("__spark_entry__")
     names = set(entry.queries())

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import re
 
 import numpy as np
@@ -211,6 +212,71 @@ def test_model_learns_a_pair_of_features():
     assert quality.fit(x[:10], np.ones(10)).score(x[:1])[0] > 0.8
 
 
+def dense_fit(x, y, bins, pair_bins, rounds, pair_rounds, pairs):
+    """The boosting of ``quality.fit`` row by row: every cut of every feature is tried by sums over the rows."""
+    rate, least = quality.RATE, quality.LEAST_HESSIAN
+    n, wide = x.shape
+    cut = lambda k: [sorted({float(np.quantile(x[:, f], i / k)) for i in range(1, k)}) for f in range(wide)]
+    fine, coarse = ([[sum(v > c for c in cuts[f]) for v in x[:, f]] for f in range(wide)] for cuts in (cut(bins), cut(pair_bins)))
+    share = (y.sum() + 1) / (n + 2)
+    total = [float(np.log(share / (1 - share)))] * n
+
+    def sums(rows_):
+        p = [1 / (1 + math.exp(-total[i])) for i in rows_]
+        return sum(y[i] - q for i, q in zip(rows_, p, strict=True)), sum(q * (1 - q) for q in p)
+
+    worth = lambda s: s[0] ** 2 / (s[1] + 1)
+    for _ in range(rounds):
+        for f in range(wide):
+            parts = [(0, len(cut(bins)[f]) + 1)]
+            inside = lambda a, b: [i for i in range(n) if a <= fine[f][i] < b]  # noqa: B023, E731
+            while len(parts) < quality.LEAVES:
+                best = (1e-9, None)
+                for a, b in parts:
+                    for c in range(a + 1, b):
+                        left, right, all_ = sums(inside(a, c)), sums(inside(c, b)), sums(inside(a, b))
+                        gain = worth(left) + worth(right) - worth(all_)
+                        if left[1] >= least and right[1] >= least and gain > best[0] + 1e-12:
+                            best = (gain, (a, b, c))
+                if best[1] is None:
+                    break
+                a, b, c = best[1]
+                parts = [p for p in parts if p != (a, b)] + [(a, c), (c, b)]
+            steps = [(inside(a, b), sums(inside(a, b))) for a, b in parts]
+            for rows_, (g, h) in steps:
+                for i in rows_:
+                    total[i] += rate * g / (h + 1)
+
+    def quarters(f, g):
+        best = (0.0, [])
+        for i in range(1, len(cut(pair_bins)[f]) + 1):
+            for j in range(1, len(cut(pair_bins)[g]) + 1):
+                four = [[r for r in range(n) if (coarse[f][r] >= i) == a and (coarse[g][r] >= j) == b] for a in (False, True) for b in (False, True)]
+                s = [sums(q) for q in four]
+                gain = sum(map(worth, s))
+                if gain > best[0] + 1e-12 and all(h >= least or not q for (_, h), q in zip(s, four, strict=True)):
+                    best = (gain, list(zip(four, s, strict=True)))
+        return best
+
+    chosen = sorted(((quarters(f, g)[0], f, g) for f in range(wide) for g in range(f)), reverse=True)[:pairs]
+    for _ in range(pair_rounds):
+        for _, f, g in chosen:
+            for rows_, (s, h) in quarters(f, g)[1]:
+                for i in rows_:
+                    total[i] += rate * s / (h + 1)
+    return 1 / (1 + np.exp(-np.array(total)))
+
+
+def test_boosting_as_row_by_row(monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.round(rng.random((200, 3)), 2)
+    y = ((x[:, 0] > 0.4) ^ (x[:, 1] > 0.6) | (rng.random(200) < 0.1)).astype(float)
+    sizes = {"BINS": 6, "PAIR_BINS": 4, "ROUNDS": 5, "PAIR_ROUNDS": 3, "PAIRS": 2}
+    for name, value in sizes.items():
+        monkeypatch.setattr(quality, name, value)
+    assert np.abs(quality.fit(x, y).score(x) - dense_fit(x, y, *sizes.values())).max() < 1e-9
+
+
 def test_quality_held_out(spark):
     good = [(i, " ".join(f"{a} und {b}." for a, b in zip("die der das ein".split(), r, strict=True)), "de", "s", 1) for i, r in enumerate(np.random.default_rng(1).integers(0, 999, (300, 4)).astype(str))]
     bad = [(1000 + i, f"BUY!! NOW{i}!! " * 9, "de", "s", 1) for i in range(150)]
