@@ -5,23 +5,30 @@ UFS = "AC AL AP AM BA CE DF ES GO MA MT MS MG PA PB PR PE PI RJ RN RS RO RR SC S
 
 COURT_CODES = ["STF", "STJ", "TST", "TSE", "STM", "TNU", "CNJ", r"TRF\s?\d", r"TRT\s?\d{1,2}", r"TRE-?[A-Z]{2}", r"TJ[A-Z]{2}", "TJDFT"]
 
-COURT_NAMES = """Supremo Tribunal Federal; Superior Tribunal de Justiça; Tribunal Superior do Trabalho; Tribunal Superior Eleitoral;
-Superior Tribunal Militar; tribunais superiores; Cortes Superiores; Corte Suprema; Superior Tribunal; Supremo Tribunal; Tribunal Pleno;
-Corte Superior; Corte Especial; Corte; Casa; Tribunal; Plenário; Pleno; Seção; Turma; Câmara; Primeira Turma; Segunda Turma;
-Terceira Turma; Quarta Turma; Quinta Turma; Sexta Turma; Primeira Seção; Segunda Seção; Terceira Seção; Subseção; SBDI-1; SBDI-2;
-SDI-1; SDI-2"""
+COURT_NAMES = (
+    "Supremo Tribunal Federal", "Superior Tribunal de Justiça", "Tribunal Superior do Trabalho", "Tribunal Superior Eleitoral",
+    "Superior Tribunal Militar", "tribunais superiores", "Cortes Superiores", "Corte Suprema", "Superior Tribunal",
+    "Supremo Tribunal", "Tribunal Pleno", "Corte Superior", "Corte Especial", "Corte", "Casa", "Tribunal", "Plenário", "Pleno",
+    "Seção", "Turma", "Câmara", "Primeira Turma", "Segunda Turma", "Terceira Turma", "Quarta Turma", "Quinta Turma",
+    "Sexta Turma", "Primeira Seção", "Segunda Seção", "Terceira Seção", "Subseção", "SBDI-1", "SBDI-2", "SDI-1", "SDI-2",
+)
 
-CLASS_NAMES = """Recurso Especial Eleitoral; Recurso Especial; Recurso Extraordinário; Recurso Ordinário Eleitoral;
-Recurso Ordinário Trabalhista; Recurso Ordinário; Recurso em Habeas Corpus; Recurso em Mandado de Segurança;
-Recurso em Sentido Estrito; Recurso de Revista; Recurso de Embargos; Recurso Inominado; Agravo Interno; Agravo Regimental;
-Agravo de Instrumento; Agravo em Recurso Especial; Agravo em Recurso Extraordinário; Agravo em Recurso Especial Eleitoral; Agravo;
-Embargos de Declaração; Embargos de Divergência; Embargos Infringentes e de Nulidade; Embargos Infringentes; Embargos;
-Habeas Corpus; Mandado de Segurança; Mandado de Injunção; Reclamação; Apelação Criminal; Apelação Cível; Apelação; Ação Rescisória;
-Ação Direta de Inconstitucionalidade; Ação Declaratória de Constitucionalidade; Arguição de Descumprimento de Preceito Fundamental;
-Ação Cautelar; Ação Penal; Cautelar Inominada Criminal; Conflito de Competência; Conflito de Jurisdição;
-Suspensão de Liminar e de Sentença; Suspensão de Liminar; Suspensão de Segurança; Tutela Cautelar Antecedente; Revisão Criminal;
-Correição Parcial; Petição; Questão de Ordem; Inquérito; Representação; Ação de Investigação Judicial Eleitoral;
-Ação de Impugnação de Mandato Eletivo; Recurso contra Expedição de Diploma; Registro de Candidatura; Consulta; Prestação de Contas"""
+CLASS_NAMES = (
+    "Recurso Especial Eleitoral", "Recurso Especial", "Recurso Extraordinário", "Recurso Ordinário Eleitoral",
+    "Recurso Ordinário Trabalhista", "Recurso Ordinário", "Recurso em Habeas Corpus", "Recurso em Mandado de Segurança",
+    "Recurso em Sentido Estrito", "Recurso de Revista", "Recurso de Embargos", "Recurso Inominado", "Agravo Interno",
+    "Agravo Regimental", "Agravo de Instrumento", "Agravo em Recurso Especial", "Agravo em Recurso Extraordinário",
+    "Agravo em Recurso Especial Eleitoral", "Agravo", "Embargos de Declaração", "Embargos de Divergência",
+    "Embargos Infringentes e de Nulidade", "Embargos Infringentes", "Embargos", "Habeas Corpus", "Mandado de Segurança",
+    "Mandado de Injunção", "Reclamação", "Apelação Criminal", "Apelação Cível", "Apelação", "Ação Rescisória",
+    "Ação Direta de Inconstitucionalidade", "Ação Declaratória de Constitucionalidade",
+    "Arguição de Descumprimento de Preceito Fundamental", "Ação Cautelar", "Ação Penal", "Cautelar Inominada Criminal",
+    "Conflito de Competência", "Conflito de Jurisdição", "Suspensão de Liminar e de Sentença", "Suspensão de Liminar",
+    "Suspensão de Segurança", "Tutela Cautelar Antecedente", "Revisão Criminal", "Correição Parcial", "Petição",
+    "Questão de Ordem", "Inquérito", "Representação", "Ação de Investigação Judicial Eleitoral",
+    "Ação de Impugnação de Mandato Eletivo", "Recurso contra Expedição de Diploma", "Registro de Candidatura", "Consulta",
+    "Prestação de Contas",
+)
 
 CLASS_CODES = """REsp RE AREsp ARE EREsp EAREsp REspe REspEl AREspE AREspEl AREspEI RESPE AgInt AgRg AgR AgReg Ag AI AIRR AgAIRR ARR
 AgARR RR RRAg RO ROT ReeNec EDcl ED EDs EDiv EI EInf E HC RHC MS RMS MI Rcl Recl RCL APL Ap ApCrim AR ADI ADC ADO ADPF AC AP CC CJ
@@ -29,6 +36,7 @@ SLS SL SS Pet QO RSE Rp R-Rp RvC Inq TutCautAnt PExt""".split()
 CHAIN_CODES = ["E", "Ag", "R"]
 PREFIX_CODES = "Ag AgR AgRg AgInt E ED EDcl A".split()
 
+# Codes of laws, and states by name.
 LAW_CODES = """CPC CPC/2015 CPC/15 CPC/73 CPP CPM CPPM CLT CDC CTN CC CC/2002 CF CF/88 CF/1988 ECA LINDB LEP CTB CRFB CRFB/88
 CRFB/1988 NCPC""".split()
 
@@ -40,7 +48,7 @@ STATES = {
     "SAO PAULO": "SP", "SERGIPE": "SE", "TOCANTINS": "TO",
 }
 
-#: superior courts, in the order in which a mention counts
+# Superior courts, in the order in which a mention counts
 COURTS = {
     "STF": "supremo tribunal federal",
     "STJ": "superior tribunal de justica",
@@ -49,7 +57,7 @@ COURTS = {
     "STM": "superior tribunal militar",
 }
 
-#: laws, the first that fits counts; patterns over unaccented lower case
+# Laws, the first that fits counts; patterns over unaccented lower case
 LAWS = {
     "CPC": r"processo civil|\bn?cpc\b|13\.?105",
     "CPP": r"processo penal|\bcpp\b|3\.?689",
@@ -62,7 +70,7 @@ LAWS = {
     "CC": r"codigo civil|\bcc\b|10\.?406",
 }
 
-#: court, number, binding, beginning of the text
+# Court, number, binding, beginning of the text
 KNOWN_SUMULAS = [
     ("STJ", 83, False, "Não se conhece do recurso especial pela divergência"),
     ("STJ", 211, False, "Inadmissível recurso especial quanto à questão"),
@@ -71,7 +79,7 @@ KNOWN_SUMULAS = [
     ("TST", 331, False, "CONTRATO DE PRESTAÇÃO DE SERVIÇOS. LEGALIDADE."),
 ]
 
-#: law, article, beginning of the text
+# Law, article, beginning of the text
 KNOWN_ARTICLES = [
     ("CPC", 373, "Art. 373. O ônus da prova incumbe"),
     ("CC", 186, "Art. 186. Aquele que, por ação ou omissão"),
@@ -88,10 +96,10 @@ KNOWN_ARTICLES = [
     ("LC64", 1, "Art. 1º São inelegíveis"),
 ]
 
-#: letters that scanners read for a digit
+# Letters that scanners read for a digit
 LOOKALIKES = ("OoDQIlLi|ZzSsGbTBgq", "0000111112255667899")
 
-#: measured share of right decisions, by rule
+# Measured share of right decisions, by rule
 CONFIDENCE = {
     "artigo_inexistente": 0.9998, "artigo_lei_fora": 0.9997, "artigo_real": 0.9999, "artigo_sem_numero": 0.5,
     "descricao_sem_correspondencia": 0.5, "descricao_unica": 0.9997, "descricao_varios": 0.9999,
@@ -102,7 +110,3 @@ CONFIDENCE = {
     "tema_oj": 0.9999,
 }
 DEFAULT_CONFIDENCE = 0.5
-
-
-def listed(text: str) -> list[str]:
-    return [" ".join(x.split()) for x in text.split(";")]

@@ -84,12 +84,12 @@ RULES: dict[str, str] = {
     # courts and states
     "uf_code": "(?-i:" + either(L.UFS) + ")",
     "uf": r"(?:~[/\-–—]~@uf_code\b|~\(~@uf_code~\))",
-    "court": "(?:" + either([f"(?-i:{either(L.COURT_CODES)})", "‹" + "|".join(L.listed(L.COURT_NAMES)) + "›"]) + ")",
+    "court": "(?:" + either([f"(?-i:{either(L.COURT_CODES)})", "‹" + "|".join(L.COURT_NAMES) + "›"]) + ")",
     # cases
     "hyphen": r"~-~",
     "code": "(?:" + either(map(class_code, L.PREFIX_CODES)) + "(?=[A-Z]))?" + either(class_code(c) for c in L.CLASS_CODES if c not in L.CHAIN_CODES),
     "chained": "(?:@code|" + "|".join(map(class_code, L.CHAIN_CODES)) + ")",
-    "name": either(map(class_name, L.listed(L.CLASS_NAMES))),
+    "name": either(map(class_name, L.CLASS_NAMES)),
     "unit": r"(?:@name|(?:@chained@hyphen)+@chained|@code(?: ‹eleitoral|criminal|cível|trabalhista|militar›)?)",
     "class": r"(?:‹primeiro|segundo|terceiro|quarto|quinto|sexto› )?@unit(?: ‹no|na|nos|nas|em› @unit){0,5}",
     "case_word": r"(?:‹processo› (?:@marker~)?)",
