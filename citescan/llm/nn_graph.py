@@ -9,8 +9,8 @@ a join of lists with vectors and a shuffle by the middle node. Rounds end when
 fewer than ``SETTLED`` of all list entries change.
 
 A query starts at its own node and walks greedily: in each round the nearest nodes
-of its beam that were not opened yet show their neighbours, until all are. The best
-are then scored in double precision on the original vectors.
+of its beam that were not opened yet show their neighbours, until all are or for
+``STEPS`` rounds. The best are then scored in double precision on the original vectors.
 
 The trees' upper levels are fitted on a sample of at most ``SAMPLE`` nodes; below
 them tasks split their own cell further. Every node is in the graph.
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citescan.session import keep
+from citescan.session import drop, keep
 
 SAMPLE = 8192
 #: nodes of a cell of a tree, on average; a leaf within a cell has at most LEAF
@@ -214,6 +214,7 @@ def build(nodes: DataFrame, seed: int = 5) -> DataFrame:
         new = keep(descend(graph, nodes), "graph")
         old = graph.select("node", F.col("near").alias("old"))
         both = new.join(old, "node").agg(F.sum(F.size("near")).alias("all"), F.sum(F.size(F.array_except("near", "old"))).alias("new")).first()
+        drop(graph)
         graph = new
         if not both["all"] or both["new"] < SETTLED * both["all"]:
             break
@@ -261,7 +262,8 @@ def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame) -> DataFrame:
         opened = F.transform("beam", lambda e: F.struct(e["score"].alias("score"), e["w"].alias("w"), (e["opened"] | F.array_contains(fresh, e["w"])).alias("opened")))
         whole = F.slice(F.sort_array(F.concat(opened, F.coalesce("came", none)), asc=False), 1, BEAM)
         seen = F.concat("seen", F.transform(F.coalesce("came", none), lambda e: e["w"]))
-        beam = keep(beam.join(came, "node", "left").select("node", "x", whole.alias("beam"), seen.alias("seen")), "beam")
+        before, beam = beam, keep(beam.join(came, "node", "left").select("node", "x", whole.alias("beam"), seen.alias("seen")), "beam")
+        drop(before)
         if beam.filter(F.exists("beam", lambda e: ~e["opened"])).isEmpty():
             break
     return beam.select("node", "beam")
