@@ -4,11 +4,11 @@ A document is the set of its word shingles, as 64-bit tokens; equal sets become
 node. Signatures say which sets can link, exactly: sets are classed by size, and the
 token space is cut into more ranges than two linked sets of a class can have tokens
 apart, so linked sets agree in at least ``SPARE`` whole ranges. A signature is the
-content of one range, or of two where ranges hold next to nothing.
+content of one range, or of three empty ones; linked sets share two of them or more.
 
 The matrix: nodes are partitioned into groups of similar ones, by the signature of
 theirs that most nodes share, and large groups are cut by hash to ``BLOCK`` tokens.
-A group meets the groups with which it has a signature in common. One task holds a
+A group meets the groups with which it has two signatures in common. One task holds a
 group's members and the union of their tokens; the members of the other groups come
 past as queries. A query whose overlap with the union does not reach what a link
 needs is done with; for the others the group is opened and all members are compared.
@@ -21,6 +21,7 @@ to the least node that it is connected with there. Components come from the edge
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -35,10 +36,10 @@ from citescan.llm.names import free
 from citescan.llm.sieve import sieved
 from citescan.session import drop, keep
 
-#: whole ranges that linked sets share at least: one, and one for each that is put together with it
-SPARE = 2
-#: poor ranges of a set, about, up to which they make signatures in pairs
-POOR = 8
+#: whole ranges that linked sets share at least: enough for two signatures even where empty ranges count in triples
+SPARE = 4
+#: ranges from which on empty ones are left out
+MANY = 64
 #: groups from which on a signature counts only together with another one
 COMMON = 256
 #: ratio of the largest to the smallest set of a class
@@ -73,20 +74,14 @@ def _edges(ranges: int) -> np.ndarray:
     return np.array([-(-(j << 64) // ranges) for j in range(ranges)], dtype=np.uint64)
 
 
-@functools.lru_cache(maxsize=4096)
-def _poor(ranges: int, size: int) -> int:
-    """Tokens below which a range is poor: 2, 1 or 0, so that a set of ``size`` tokens has few poor ranges."""
-    mean = size / ranges
-    if ranges * math.exp(-mean) * (1 + mean) <= POOR:
-        return 2
-    return int(ranges * math.exp(-mean) <= POOR)
-
-
 def signatures(tokens: np.ndarray, similarity: int) -> list[np.ndarray]:
     """Signatures for the set's own class and for each larger one in which a linked set can be.
 
-    Of the ranges that two linked sets share, one is not poor and has a signature of
-    its own, or two are poor and have one together.
+    A range that holds tokens has a signature of its own, three empty ones have one
+    together. So two linked sets share two signatures at least: of four ranges in
+    common two, or one and the triple of the others, or all triples. From ``MANY``
+    ranges on empty ones are left out: that two linked sets share fewer than two that
+    are not, as the tokens' places are random, has a chance below 2^-64.
     """
     n, out = len(tokens), []
     starts = size_classes(1 << max(10, (2 * n).bit_length()))
@@ -101,10 +96,10 @@ def signatures(tokens: np.ndarray, similarity: int) -> list[np.ndarray]:
         cut = np.append(np.searchsorted(tokens, _edges(ranges)), n)
         salt = np.uint64(c << 40) + np.arange(ranges, dtype=np.uint64)
         each = W.mixed(W.mixed(salt) + (total[cut[1:]] - total[cut[:-1]]) * np.uint64(0x2545F4914F6CDD1D))
-        poor = np.diff(cut) < (_poor(ranges, starts[c]) if differ else 0)
-        i, j = np.triu_indices(int(poor.sum()), 1)
-        both = each[poor][i] * np.uint64(0xDA942042E4DD58B5) + W.mixed(each[poor][j])
-        out.append(np.append(each[~poor], W.mixed(both)))
+        empty = each[cut[1:] == cut[:-1]] if ranges < MANY else each[:0]
+        three = np.array(list(itertools.combinations(empty, 3)), np.uint64).reshape(-1, 3)
+        three = W.mixed(W.mixed(three[:, 0] + three[:, 1] * np.uint64(0xDA942042E4DD58B5)) + three[:, 2])
+        out.append(np.append(each[cut[1:] > cut[:-1]], three))
     return out
 
 
@@ -324,9 +319,18 @@ def _linked_rows(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "links"])
 
 
-def _both_ways(there: DataFrame) -> DataFrame:
-    """g, other of rows (sig, g) with one sig."""
-    return there.join(there.withColumnRenamed("g", "other"), "sig").filter("g != other").select("g", "other").distinct()
+def _both_ways(there: DataFrame, least: int) -> DataFrame:
+    """g, other of rows (sig, g) that have ``least`` values of sig in common."""
+    met = there.join(there.withColumnRenamed("g", "other"), "sig").filter("g != other")
+    return met.groupBy("g", "other").agg(F.count("*").alias("c")).filter(F.col("c") >= least).select("g", "other")
+
+
+def _twice_shared(places: DataFrame) -> DataFrame:
+    """Rows (sig, node) of nodes with two of them or more, whose sig another such node has."""
+    nodes = places.groupBy("node").agg(F.count("*").alias("c")).filter("c > 1").select("node")
+    places = places.join(nodes, "node", "left_semi")
+    sigs = places.groupBy("sig").agg(F.count("*").alias("c")).filter("c > 1").select("sig")
+    return places.join(sigs, "sig", "left_semi")
 
 
 class Join:
@@ -335,16 +339,19 @@ class Join:
     def __init__(self, docs: DataFrame, k: int, similarity: int):
         self.similarity = similarity
         rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
-        self.rows = keep(_signed(rows, k, similarity), "sets")
+        self.signed = keep(_signed(rows, k, similarity), "sets")
+        self.rows = keep(self.signed.drop("sigs"), "rows")
         classes = self.rows.filter("n > 0").groupBy("ka", "kb").agg(
             F.min(F.struct("rid", "doc_id")).alias("one"), F.min("doc_id").alias("first_id"), F.count("*").alias("rows"), F.min("n").alias("n")
         )
         self.classes = keep(classes.select("ka", "kb", F.col("one.rid").alias("node"), F.col("one.doc_id").alias("doc_id"), "first_id", "rows", "n"), "set-classes")
         # copies of one set send their signatures once
-        each = sieved(self.rows.filter("n > 0").select("rid", "sigs"), F.col("rid"), self.classes.select("node"))
+        each = sieved(self.signed.filter("n > 0").select("rid", "sigs"), F.col("rid"), self.classes.select("node"))
         each = each.select(F.explode(F.flatten("sigs")).alias("sig"), F.col("rid").alias("node"))
         shared = each.repartition("sig").sortWithinPartitions("sig").mapInArrow(_shared, "sig long, node long")
-        self.places = keep(shared.join(self.classes.select("node"), "node", "left_semi"), "signatures")
+        places = keep(shared.join(self.classes.select("node"), "node", "left_semi"), "signatures")
+        self.places = keep(_twice_shared(_twice_shared(places)), "places")
+        drop(places)
         self.groups = self.grouped()
         self.met = self.meet(docs, k)
         self.comp = keep(components(self.met.select("a", "b")), "components")
@@ -370,26 +377,27 @@ class Join:
         return keep(home.join(size, "top").withColumn("g", F.xxhash64("top", slot)).drop("top", "all"), "groups")
 
     def neighbours(self, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """g, other: groups (node, g) that share a signature, both ways, but for signatures of more than ``COMMON`` groups; those signatures."""
+        """g, other: groups (node, g) that share two signatures, both ways, but for signatures of more than ``COMMON`` groups; those signatures."""
         there = keep(self.places.join(groups.select("node", "g"), "node").select("sig", "g").distinct(), "group-signatures")
         often = keep(there.groupBy("sig").agg(F.count("*").alias("c")).filter("c > 1"), "shared-signatures")
         found = there.join(often.filter(F.col("c") <= COMMON).select("sig"), "sig", "left_semi")
-        near = keep(_both_ways(found), "neighbours")
+        near = keep(_both_ways(found, 2), "neighbours")
         drop(there)
         return near, often.filter(F.col("c") > COMMON).select("sig")
 
     def meeting(self) -> DataFrame:
-        """g, other: groups that share a signature, or two where one alone is too common, both ways."""
+        """g, other: groups that share two signatures, or a combination where one is too common, both ways."""
         near, common = self.neighbours(self.groups)
         if not common.isEmpty():
             more = self.refined(common).join(self.groups.select("node", "g"), "node").select("sig", "g").distinct()
-            near = keep(near.union(_both_ways(more)).distinct(), "neighbours")
+            near = keep(near.union(_both_ways(more, 1)).distinct(), "neighbours")
+        drop(self.signed)
         return near
 
     def refined(self, common: DataFrame) -> DataFrame:
         """sig, node: common signatures in combination with each other signature of the node's class."""
         often = self.places.join(common, "sig", "left_semi")
-        per_class = self.rows.select(F.col("rid").alias("node"), F.explode("sigs").alias("own"))
+        per_class = self.signed.select(F.col("rid").alias("node"), F.explode("sigs").alias("own"))
         both = often.join(per_class, "node").filter(F.array_contains("own", F.col("sig")))
         both = both.select("node", "sig", F.explode("own").alias("other")).filter("sig != other")
         return both.select(F.xxhash64(F.least("sig", "other"), F.greatest("sig", "other")).alias("sig"), "node").distinct()
