@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from citescan.llm.sliced import sliced
+
 #: bytes of text that one call of the library gets at once; a longer text goes alone
 CALL_BYTES = 1 << 20
 #: what an id without a token decodes to: U+FFFD
@@ -112,7 +114,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, offsets: bool = False
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(held.value, pattern)
         call = encoder.encode_batch if offsets else encoder.encode_batch_fast
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
             ids, starts, ends = [], [], []
             for some in _calls(texts):
@@ -142,7 +144,7 @@ def decode(tokens: DataFrame, ranks_path: str, text: str | None = "text", raw: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _byte_table(held.value)
-        for batch in batches:
+        for batch in sliced(batches):
             found = []
             for packed in batch.column(batch.schema.get_field_index("ids")):
                 ids = np.frombuffer(packed.as_py() or b"", dtype="<u4").tolist()

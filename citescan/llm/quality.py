@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citescan.llm import words as W
+from citescan.llm.sliced import sliced
 
 MAX_ROWS = 20_000
 BINS, PAIR_BINS = 32, 8
@@ -181,7 +182,7 @@ def _featured(rows: DataFrame) -> DataFrame:
     at = rows.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             x = features(batch.column(at))
             lists = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in keep] + [lists], names=[f.name for f in keep] + ["x"])
@@ -212,7 +213,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             columns = [batch.column(f.name) for f in kept]
             score = held.value.score(features(batch.column(at)))
             yield pa.RecordBatch.from_arrays([*columns, pa.array(score)], names=[*(f.name for f in kept), "score"])
