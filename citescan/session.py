@@ -35,8 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: whether the shuffle files of a statement go when it ends
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: settings while a table is kept: its shuffle files go when it is written, and batches to and from Python stay small
+WHILE_KEPT = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1024"}
 
 
 def keep(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
@@ -49,12 +49,14 @@ def keep(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    before = {name: spark.conf.get(name) for name in WHILE_KEPT}
+    for name, value in WHILE_KEPT.items():
+        spark.conf.set(name, value)
     try:
         df.write.parquet(path, compression=compression)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
     out = spark.read.schema(df.schema).parquet(path)
     out.kept_at = path
     return out
