@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citescan.llm import bpe, chat, exact_dedup, mixing, ngram_join, nn_graph, pii, quality, suffix_dedup, url_filter
+from citescan.llm import bpe, chat, conv_trie, exact_dedup, fill_middle, mixing, ngram_join, nn_graph, pii, quality, suffix_dedup, url_filter
+from citescan.session import keep
 
 UPPER, LOWER = exact_dedup.UPPER, exact_dedup.LOWER
 
@@ -164,6 +165,75 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = keep(conv_trie.digested(conv_trie.numbered(table(spark, sf_dir, "conversations"))), "turns")
+    return conv_trie.trie(conv_trie.with_shared_heads(turns, every=100, most=6))
+
+
+#: crc32 of the decimal conv_id, bit by bit
+CRC_SQL = """
+xor(list_reduce(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS UBIGINT)),
+    lambda crc, b: list_reduce(CAST(range(8) AS UBIGINT[]), lambda a, i: xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END), xor(crc, b)),
+    CAST(4294967295 AS UBIGINT)), 4294967295)
+"""
+
+OP12_SQL = f"""
+WITH numbered AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, conv_id - conv_id % 100 AS head, {CRC_SQL} % 6 AS h FROM (SELECT DISTINCT conv_id FROM numbered)),
+rebuilt AS (
+  SELECT c.conv_id, n.pos, n.role, n.text FROM convs c JOIN numbered n ON n.conv_id = c.head AND n.pos <= c.h
+  UNION ALL SELECT n.conv_id, n.pos, n.role, n.text FROM convs c JOIN numbered n ON n.conv_id = c.conv_id AND n.pos > c.h),
+placed AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS depth FROM rebuilt),
+paths AS (
+  SELECT conv_id, depth, length(text) AS chars, list(struct_pack(r := role, t := text)) OVER (PARTITION BY conv_id ORDER BY depth) AS path FROM placed
+  UNION ALL SELECT conv_id, 0, 0, CAST([] AS STRUCT(r VARCHAR, t VARCHAR)[]) FROM convs),
+ending AS (SELECT conv_id, max(depth) AS last FROM paths GROUP BY conv_id),
+nodes AS (
+  SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+         string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (depth = last) AS ends
+  FROM paths JOIN ending USING (conv_id) GROUP BY path, depth),
+kids AS (SELECT path[1:depth - 1] AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+known AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (path)),
+sums AS (
+  SELECT path[1:k] AS path, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * chars) AS saved_tokens
+  FROM (SELECT *, unnest(range(depth + 1)) AS k FROM known) GROUP BY 1)
+SELECT k.conv_id, k.depth, p.conv_id AS parent_conv_id, k.n_convs, k.n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(k.ends, '')) AS ends_sha256
+FROM known k JOIN sums s ON s.path = k.path LEFT JOIN nodes p ON k.depth > 0 AND p.path = k.path[1:k.depth - 1]
+"""
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = fill_middle.fill_in_middle(docs)
+    return cut.select(
+        "doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+OP13_SQL = f"""
+WITH units AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{fill_middle.UNIT}') AS u,
+         sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest FROM documents),
+drawn AS (
+  SELECT *, len(u) AS n, {', '.join(f"CAST('0x' || substr(digest, {8 * i + 1}, 8) AS BIGINT) AS h{i + 1}" for i in range(4))} FROM units),
+placed AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS lo, greatest(h1 % (n + 1), h2 % (n + 1)) AS hi,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+              WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+cut AS (
+  SELECT *, array_to_string(u[1:lo], '') AS p, array_to_string(u[lo + 1:hi], '') AS m, array_to_string(u[hi + 1:n], '') AS s FROM placed)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE text END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM cut
+"""
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_ngram_join": op2_ngram_join,
@@ -175,10 +245,14 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
+    "op12_conversation_trie": op12_conversation_trie,
+    "op13_fill_middle": op13_fill_middle,
 }
 
 ORACLE_SQL = {
     "op1_url_filter": OP1_SQL,
     "op3_chat_format": OP3_SQL,
     "op8_exact_dedup": OP8_SQL,
+    "op12_conversation_trie": OP12_SQL,
+    "op13_fill_middle": OP13_SQL,
 }
