@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citescan.llm import bpe, chat, conv_trie, exact_dedup, fill_middle, mixing, ngram_join, nn_graph, pii, quality, suffix_dedup, url_filter
+from citescan.llm import bpe, chat, conv_trie, exact_dedup, fill_middle, lm_score, mixing, ngram_join, nn_graph, pii, quality, suffix_dedup, url_filter
 from citescan.session import keep
 
 UPPER, LOWER = exact_dedup.UPPER, exact_dedup.LOWER
@@ -165,6 +165,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    trained = lm_score.train(docs, folds=10)
+    scores = lm_score.scored(docs, trained).withColumn("train_tokens", F.lit(trained.outputs.total).cast("long"))
+    return scores.select("doc_id", quality.held_out(F.col("doc_id"), 10).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = keep(conv_trie.digested(conv_trie.numbered(table(spark, sf_dir, "conversations"))), "turns")
     return conv_trie.trie(conv_trie.with_shared_heads(turns, every=100, most=6))
@@ -245,6 +252,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
+    "op11_lm_score": op11_lm_score,
     "op12_conversation_trie": op12_conversation_trie,
     "op13_fill_middle": op13_fill_middle,
 }
