@@ -5,11 +5,13 @@ node. Signatures say which sets can link, exactly: sets are classed by size, and
 token space is cut into more ranges than two linked sets of a class can have tokens
 apart, so linked sets agree in at least ``SPARE`` whole ranges. A signature is the
 content of one range, or of three empty ones; linked sets share two of them or more.
+Large sets have an eighth of ranges to spare, so that two shared ones stand in one band of
+``BAND`` ranges: where signatures are so common that they count in pairs only, the pairs of a band are enough.
 
 The matrix: nodes are partitioned into groups of similar ones, by the signature of
 theirs that most nodes share, and large groups are cut by hash to ``BLOCK`` tokens.
-A group meets the groups with which it has two signatures in common. One task holds a
-group's members and the union of their tokens; the members of the other groups come
+A node is put to the groups with which it has two signatures in common itself. One task holds a
+group's members and the union of their tokens; nodes of other groups come
 past as queries. A query whose overlap with the union does not reach what a link
 needs is done with; for the others the group is opened and all members are compared.
 Every pair of linked nodes is found in this way, within a group or by both queries.
@@ -40,6 +42,8 @@ from citescan.session import drop, keep
 SPARE = 4
 #: ranges from which on empty ones are left out
 MANY = 64
+#: neighbouring ranges in which two linked sets of many share two
+BAND = 16
 #: groups from which on a signature counts only together with another one
 COMMON = 256
 #: ratio of the largest to the smallest set of a class
@@ -75,7 +79,7 @@ def _edges(ranges: int) -> np.ndarray:
 
 
 def signatures(tokens: np.ndarray, similarity: int) -> list[np.ndarray]:
-    """Signatures for the set's own class and for each larger one in which a linked set can be.
+    """Signatures for the set's own class and for each larger one in which a linked set can be, in bands of those that can meet in pairs.
 
     A range that holds tokens has a signature of its own, three empty ones have one
     together. So two linked sets share two signatures at least: of four ranges in
@@ -93,10 +97,17 @@ def signatures(tokens: np.ndarray, similarity: int) -> list[np.ndarray]:
             break
         differ = apart(similarity, starts[c + 1] - 1)
         ranges = differ + SPARE if differ else 1
+        if ranges >= MANY:
+            ranges = differ + max(SPARE, -(-differ // 7))
         cut = np.append(np.searchsorted(tokens, _edges(ranges)), n)
         salt = np.uint64(c << 40) + np.arange(ranges, dtype=np.uint64)
         each = W.mixed(W.mixed(salt) + (total[cut[1:]] - total[cut[:-1]]) * np.uint64(0x2545F4914F6CDD1D))
-        empty = each[cut[1:] == cut[:-1]] if ranges < MANY else each[:0]
+        if ranges >= MANY:
+            full = cut[1:] > cut[:-1]
+            bands = (np.split(x, range(BAND, ranges, BAND)) for x in (each, full))
+            out += [e[f] for e, f in zip(*bands, strict=True) if f.any()]
+            continue
+        empty = each[cut[1:] == cut[:-1]]
         three = np.array(list(itertools.combinations(empty, 3)), np.uint64).reshape(-1, 3)
         three = W.mixed(W.mixed(three[:, 0] + three[:, 1] * np.uint64(0xDA942042E4DD58B5)) + three[:, 2])
         out.append(np.append(each[cut[1:] > cut[:-1]], three))
@@ -140,19 +151,22 @@ def _signed(rows: DataFrame, k: int, similarity: int) -> DataFrame:
 
 
 def _tokens_of(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """ka, kb, tokens of the texts whose doc_id one of ``nodes`` has, and perhaps of some others: sets made again."""
+    """id, ka, kb, tokens of the texts whose doc_id one of ``nodes`` has, and perhaps of some others: sets made again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
-                found = [(*set_key(t), t.astype(np.int64)) for t in _sets(whole.column(0).slice(at, 512), k) if len(t)]
-                ka, kb, tokens = ([x[i] for x in found] for i in range(3))
+                part = whole.slice(at, 512)
+                found = [(i, *set_key(t), t.astype(np.int64)) for i, t in enumerate(_sets(part.column(1), k)) if len(t)]
+                row, ka, kb, tokens = ([x[i] for x in found] for i in range(4))
+                ids = part.column(0).take(pa.array(row, pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ka, pa.int64()), pa.array(kb, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], names=["ka", "kb", "tokens"]
+                    [ids, pa.array(ka, pa.int64()), pa.array(kb, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], names=["id", "ka", "kb", "tokens"]
                 )
 
-    texts = sieved(docs.select("doc_id", "text"), F.col("doc_id"), nodes.select("doc_id")).select("text")
-    return texts.mapInArrow(run, "ka long, kb long, tokens array<long>")
+    texts = sieved(docs.select("doc_id", "text"), F.col("doc_id"), nodes.select("doc_id"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return texts.mapInArrow(run, f"id {kind}, ka long, kb long, tokens array<long>")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -325,6 +339,12 @@ def _both_ways(there: DataFrame, least: int) -> DataFrame:
     return met.groupBy("g", "other").agg(F.count("*").alias("c")).filter(F.col("c") >= least).select("g", "other")
 
 
+def _puts(there: DataFrame, of_group: DataFrame, least: int) -> DataFrame:
+    """node, other: groups (sig, g) other than its own with which a node (node, sig, g) has ``least`` values of sig in common."""
+    met = there.join(of_group.withColumnRenamed("g", "other"), "sig").filter("g != other")
+    return met.groupBy("node", "other").agg(F.count("*").alias("c")).filter(F.col("c") >= least).select("node", "other")
+
+
 def _twice_shared(places: DataFrame) -> DataFrame:
     """Rows (sig, node) of nodes with two of them or more, whose sig another such node has."""
     nodes = places.groupBy("node").agg(F.count("*").alias("c")).filter("c > 1").select("node")
@@ -367,7 +387,7 @@ class Join:
         home = self.places.join(often, "sig").groupBy("node").agg(F.max(F.struct("c", "sig"))["sig"].alias("g"))
         home = keep(home.join(self.classes.drop("first_id"), "node").withColumn("weight", F.greatest("n", F.lit(LIGHT))), "homes")
         size = home.groupBy("g").agg(F.struct(F.count("*").alias("size"), "g").alias("own"))
-        near, _ = self.neighbours(home)
+        near = self.neighbours(home)
         beside = near.join(size.select(F.col("g").alias("other"), F.col("own").alias("theirs")), "other").groupBy("g").agg(F.max("theirs").alias("theirs"))
         up = keep(size.join(beside, "g", "left").select("g", F.greatest("own", "theirs")["g"].alias("up")), "larger-homes")
         top = up.join(up.select(F.col("g").alias("up"), F.col("up").alias("top")), "up").select("g", "top")
@@ -376,50 +396,58 @@ class Join:
         slot = F.pmod(F.xxhash64("node"), F.ceil(F.col("all") / BLOCK).cast("long"))
         return keep(home.join(size, "top").withColumn("g", F.xxhash64("top", slot)).drop("top", "all"), "groups")
 
-    def neighbours(self, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """g, other: groups (node, g) that share two signatures, both ways, but for signatures of more than ``COMMON`` groups; those signatures."""
+    def neighbours(self, groups: DataFrame) -> DataFrame:
+        """g, other: groups (node, g) that share two signatures, both ways, but for signatures of more than ``COMMON`` groups."""
         there = keep(self.places.join(groups.select("node", "g"), "node").select("sig", "g").distinct(), "group-signatures")
-        often = keep(there.groupBy("sig").agg(F.count("*").alias("c")).filter("c > 1"), "shared-signatures")
-        found = there.join(often.filter(F.col("c") <= COMMON).select("sig"), "sig", "left_semi")
-        near = keep(_both_ways(found, 2), "neighbours")
+        often = there.groupBy("sig").agg(F.count("*").alias("c")).filter(F.col("c").between(2, COMMON)).select("sig")
+        near = keep(_both_ways(there.join(often, "sig", "left_semi"), 2), "neighbours")
         drop(there)
-        return near, often.filter(F.col("c") > COMMON).select("sig")
+        return near
 
     def meeting(self) -> DataFrame:
-        """g, other: groups that share two signatures, or a combination where one is too common, both ways."""
-        near, common = self.neighbours(self.groups)
+        """node, other: the groups that a node is put to; it shares two signatures with each, or a pair of them where one is too common."""
+        own = self.groups.select("node", "g")
+        there = keep(self.places.join(own, "node").select("node", "sig", "g"), "node-signatures")
+        of_group = keep(there.select("sig", "g").distinct(), "group-signatures")
+        often = keep(of_group.groupBy("sig").agg(F.count("*").alias("c")).filter("c > 1"), "shared-signatures")
+        some = there.join(often.filter(F.col("c") <= COMMON).select("sig"), "sig", "left_semi")
+        asks = keep(_puts(some, of_group, 2), "asks")
+        common = often.filter(F.col("c") > COMMON).select("sig")
         if not common.isEmpty():
-            more = self.refined(common).join(self.groups.select("node", "g"), "node").select("sig", "g").distinct()
-            near = keep(near.union(_both_ways(more, 1)).distinct(), "neighbours")
-        drop(self.signed)
-        return near
+            pairs = keep(self.refined(common).join(own, "node"), "signature-pairs")
+            asks = keep(asks.union(_puts(pairs, pairs.select("sig", "g").distinct(), 1)).distinct(), "asks")
+            drop(pairs)
+        drop(there, of_group, self.signed)
+        return asks
 
     def refined(self, common: DataFrame) -> DataFrame:
-        """sig, node: common signatures in combination with each other signature of the node's class."""
-        often = self.places.join(common, "sig", "left_semi")
-        per_class = self.signed.select(F.col("rid").alias("node"), F.explode("sigs").alias("own"))
-        both = often.join(per_class, "node").filter(F.array_contains("own", F.col("sig")))
-        both = both.select("node", "sig", F.explode("own").alias("other")).filter("sig != other")
-        return both.select(F.xxhash64(F.least("sig", "other"), F.greatest("sig", "other")).alias("sig"), "node").distinct()
+        """sig, node: common signatures in combination with each other shared one of the node's band."""
+        held = self.places.join(common, "sig", "left_semi").select("node").distinct()
+        bands = self.signed.select(F.col("rid").alias("node"), "sigs").join(held, "node", "left_semi").select("node", F.posexplode("sigs").alias("band", "own"))
+        bands = bands.select("node", "band", F.explode("own").alias("sig")).join(self.places, ["node", "sig"], "left_semi")
+        bands = keep(bands.join(common.withColumn("common", F.lit(True)), "sig", "left"), "bands")
+        with_one = bands.filter("common").select("node", "band", "sig").join(bands.select("node", "band", F.col("sig").alias("other")), ["node", "band"]).filter("sig != other")
+        return with_one.select(F.xxhash64(F.least("sig", "other"), F.greatest("sig", "other")).alias("sig"), "node").distinct()
 
     def meet(self, docs: DataFrame, k: int) -> DataFrame:
         """a, b, links: what the tasks of the matrix find. a's links are the sum over its rows, b is a node that a is connected with."""
-        met = self.meeting()
-        stats = self.groups.groupBy("g").agg(F.count("*").alias("members"), F.sum("weight").alias("all"), F.min("n").alias("least"), F.max("n").alias("most"))
+        node = self.groups.select("node", F.col("doc_id").alias("id"), "ka", "kb", "rows", "n", "g", "weight")
+        stats = node.groupBy("g").agg(F.count("*").alias("members"), F.sum("weight").alias("all"), F.min("n").alias("least"), F.max("n").alias("most"))
         stats = keep(stats, "group-sizes")
-        load = met.join(stats.select("g", F.col("all").alias("asked")), "g").groupBy(F.col("other").alias("g")).agg(F.sum("asked").alias("asked"))
-        parts = F.ceil(F.coalesce("asked", F.lit(1)) / (QUERIES * BLOCK)).cast("long").alias("parts")
-        plan = stats.join(load, "g", "left").filter("members > 1 or asked is not null").select("g", "least", "most", parts)
-        plan = keep(plan, "group-parts")
-        node = self.groups.select("node", "ka", "kb", "rows", "n", "g")
-        members = node.join(plan, "g").select("ka", "kb", "g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(False).alias("query"), "node", "rows")
-        asks = node.join(met, "g").drop("g").join(plan.withColumnRenamed("g", "other"), "other")
+        asks = self.meeting().join(node.drop("g"), "node").join(stats.select(F.col("g").alias("other"), "least", "most"), "other")
         asks = asks.filter((100 * F.col("n") >= self.similarity * F.col("least")) & (100 * F.col("most") >= self.similarity * F.col("n")))
-        asks = asks.select("ka", "kb", F.col("other").alias("g"), F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), F.lit(True).alias("query"), "node", "rows")
+        asks = keep(asks.select("other", "node", "id", "ka", "kb", "rows", "weight"), "asks")
+        load = asks.groupBy(F.col("other").alias("g")).agg(F.sum("weight").alias("asked"))
+        parts = F.ceil(F.coalesce("asked", F.lit(1)) / (QUERIES * BLOCK)).cast("long").alias("parts")
+        plan = keep(stats.join(load, "g", "left").filter("members > 1 or asked is not null").select("g", parts), "group-parts")
+        members = node.join(plan, "g").select("id", "ka", "kb", "g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(False).alias("query"), "node", "rows")
+        asks = asks.withColumnRenamed("other", "g").join(plan, "g")
+        asks = asks.select("id", "ka", "kb", "g", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), F.lit(True).alias("query"), "node", "rows")
         rows = keep(members.union(asks), "matrix")
-        active = self.groups.join(plan.select("g"), "g", "left_semi").select("doc_id")
-        found = _tokens_of(docs, keep(active, "active"), k).join(rows, ["ka", "kb"]).select("g", "part", "query", "node", "rows", "tokens")
-        found = found.repartition("g", "part").sortWithinPartitions("g", "part", "query", "node")
+        active = keep(rows.select(F.col("id").alias("doc_id")).distinct(), "active")
+        # of rows with one set, those of the node's own doc_id
+        found = _tokens_of(docs, active, k).withColumnRenamed("id", "of").join(rows, ["ka", "kb"]).filter(F.col("of").eqNullSafe(F.col("id")))
+        found = found.select("g", "part", "query", "node", "rows", "tokens").repartition("g", "part").sortWithinPartitions("g", "part", "query", "node")
         out = keep(found.mapInArrow(_opened(self.similarity), "a long, b long, links long"), "met")
         drop(stats, plan, rows)
         return out

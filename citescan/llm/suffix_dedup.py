@@ -21,7 +21,6 @@ text is that of the places where copies begin to differ.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import math
 from collections.abc import Iterator
@@ -47,22 +46,18 @@ SHARD = 3 << 20
 NEAR = 16
 
 
-@functools.cache
-def _letters(which: int) -> np.ndarray:
-    return np.random.default_rng([977, which]).integers(1, 1 << 63, 256, dtype=np.uint64)
+#: points at which the two hashes of a stretch are taken
+BASES = (0x0A2F9836E4E44152, 0x19FDA3B5C7E10F4D)
 
 
 class _Prefix:
-    """Hashes of any stretch of some bytes."""
+    """Hashes of any stretch of some bytes; the two that ``which`` names are independent."""
 
     def __init__(self, data: np.ndarray, which: int):
-        size = 1 << max(12, len(data).bit_length())
-        up, self.down = W.powers(size)
-        self.total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_letters(which)[data] * up[: len(data)], out=self.total[1:])
+        self.stretches = W.Stretches(data, BASES[which - 1])
 
     def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return W.mixed((self.total[b] - self.total[a]) * self.down[a] + (b - a).astype(np.uint64))
+        return W.mixed(self.stretches.of(a, b) + (b - a).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def _least(h: np.ndarray, width: int) -> np.ndarray:

@@ -1,14 +1,15 @@
 """Words and word shingles of whole Arrow batches as 64-bit hashes, by numpy.
 
 A word is a run of bytes other than space and tab to carriage return, with A-Z
-lower-cased. Hashes come from the words' own bytes (a polynomial over random
-numbers, mixed), so equal words have equal hashes in every task; two different
-shingles of one document share a hash with a chance below n²/2^65.
+lower-cased. Hashes come from the words' own bytes, so equal words have equal hashes in
+every task: a word's bytes are the coefficients of a polynomial, whose value at one
+point, modulo the prime 2^61 - 1, is mixed. Two different words of at most n bytes
+agree at n of the 2^61 points at most.
 """
 
 from __future__ import annotations
 
-import functools
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -16,24 +17,59 @@ import pyarrow as pa
 U = np.uint64
 #: bytes that are worked on at once; a segment ends at white space or at a document's end
 SEGMENT = 1 << 19
-_BASE = 0x9E3779B97F4A7C15
+PRIME = (1 << 61) - 1
+#: bytes from which on a word is digested as a whole
+HUGE = 1 << 22
+_BASE = 0x1B873593CC9E2D51 % PRIME
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: each byte's coefficient, the same for A-Z as for a-z
+_LETTER = np.arange(1, 257, dtype=np.uint64)
+_LETTER[65:91] = _LETTER[97:123]
+_31, _30, _P = U((1 << 31) - 1), U((1 << 30) - 1), U(PRIME)
 
 
-@functools.cache
-def _letters() -> np.ndarray:
-    """A random number for each byte, the same for A-Z as for a-z."""
-    table = np.random.default_rng(20_731).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
-    table[65:91] = table[97:123]
+def _folded(x: np.ndarray) -> np.ndarray:
+    x = (x & _P) + (x >> U(61))
+    return np.where(x >= _P, x - _P, x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo the prime, of numbers below it."""
+    ah, al, bh, bl = a >> U(31), a & _31, b >> U(31), b & _31
+    mid = ah * bl + al * bh
+    return _folded(U(2) * ah * bh + (mid >> U(30)) + ((mid & _30) << U(31)) + al * bl)
+
+
+_tables: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """The first n powers of a base modulo the prime."""
+    table = _tables.get(base, np.ones(1, U))
+    if len(table) < n:
+        n = -(-n // (1 << 16)) << 16
+        while len(table) < n:
+            table = np.concatenate([table, times(table, U(pow(base, len(table), PRIME)))])[:n]
+        _tables[base] = table
     return table
 
 
-@functools.lru_cache(maxsize=2)
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, U(_BASE)), np.full(n, U(pow(_BASE, -1, 1 << 64)))
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+class Stretches:
+    """Values, modulo the prime, of the polynomials that any stretches of some bytes make, each shorter than ``HUGE``."""
+
+    def __init__(self, data: np.ndarray, base: int, letters: np.ndarray = np.arange(1, 257, dtype=U)):
+        up, values = powers(base, len(data) + 1)[: len(data)], letters[data]
+        self.down = powers(pow(base, -1, PRIME), len(data) + 1)
+        # sums of the powers' lower and upper bits: differences below 2^64 are right even where the sums have wrapped
+        self.low, self.high = np.zeros(len(data) + 1, U), np.zeros(len(data) + 1, U)
+        np.cumsum(values * (up & _31), out=self.low[1:])
+        np.cumsum(values * (up >> U(31)), out=self.high[1:])
+
+    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        high = self.high[b] - self.high[a]
+        value = _folded((high >> U(30)) + ((high & _30) << U(31)) + _folded(self.low[b] - self.low[a]))
+        return times(value, self.down[a])
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -53,11 +89,11 @@ def _segment(data: np.ndarray, starts_doc: np.ndarray) -> tuple[np.ndarray, np.n
     closes = inside.copy()
     closes[:-1] &= ~inside[1:] | starts_doc[1:]
     first, last = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-    size = 1 << max(16, (len(data) - 1).bit_length())
-    up, down = powers(size)
-    total = np.zeros(len(data) + 1, U)
-    np.cumsum(_letters()[data] * up[: len(data)], out=total[1:])
-    return first, last, mixed((total[last] - total[first]) * down[first] + (last - first).astype(U))
+    h = mixed(Stretches(data, _BASE, _LETTER).of(first, last) + (last - first).astype(U) * U(0x9E3779B97F4A7C15))
+    for i in np.flatnonzero(last - first >= HUGE):
+        folded = (_LETTER[data[first[i] : last[i]]] - U(1)).astype(np.uint8)
+        h[i] = int.from_bytes(hashlib.blake2b(folded, digest_size=8).digest(), "little")
+    return first, last, h
 
 
 def words(texts: pa.Array, want_bytes: bool = False) -> tuple[np.ndarray, np.ndarray] | tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -210,3 +210,49 @@ def test_words_across_segments(monkeypatch):
     parts = words.words(texts)
     assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all()
     assert whole[1].tolist() == [0, 4, 4, 4, 4, 65, 68]
+
+
+def test_words_of_a_known_pattern_stay_apart(spark):
+    import pyarrow as pa
+
+    from citescan.llm import suffix_dedup
+    from citescan.llm import words as W
+
+    pattern = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = pattern.translate(str.maketrans("ab", "ba"))
+    hashes, _ = W.words(pa.array([f"{pattern} {other}", f" {other.upper()} {pattern}"]))
+    assert hashes[0] == hashes[3] != hashes[1] == hashes[2]
+    found = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(H.documents(spark, [(1, pattern, "x", "s", 0), (2, other, "x", "s", 0)])).collect()}
+    assert found == {1: 1, 2: 2}
+    data = np.frombuffer((pattern + other).encode(), np.uint8)
+    for which in (1, 2):
+        a, b = suffix_dedup._Prefix(data, which).of(np.array([0, 1024]), np.array([1024, 2048]))
+        assert a != b
+    # stretches in any place against the polynomial itself
+    base, data = suffix_dedup.BASES[0], np.frombuffer(bytes(range(256)) * 300, np.uint8)
+    for at, end in ((0, 1), (70_000, 70_400), (3, 76_000)):
+        value = sum((int(x) + 1) * pow(base, i, W.PRIME) for i, x in enumerate(data[at:end])) % W.PRIME
+        assert int(W.Stretches(data, base).of(np.array([at]), np.array([end]))[0]) == value
+
+
+def test_huge_words(spark, monkeypatch):
+    import pyarrow as pa
+
+    from citescan.llm import words as W
+
+    monkeypatch.setattr(W, "HUGE", 50)
+    a = "q" * 60
+    hashes, _ = W.words(pa.array([f"{a} x {a.upper()}", f"y  {a}b"]))
+    assert hashes[0] == hashes[2] and len(set(hashes.tolist())) == 4
+
+
+def test_bands_of_large_sets():
+    rng = np.random.default_rng(3)
+    tokens = np.unique(rng.integers(0, 1 << 63, 6000).astype(np.uint64) * np.uint64(2))
+    for seed in range(3):
+        gone = np.random.default_rng(seed).choice(len(tokens), len(tokens) // 10, replace=False)
+        near = np.unique(np.append(np.delete(tokens, gone), np.random.default_rng(seed).integers(0, 1 << 63, len(gone)).astype(np.uint64)))
+        assert 100 * len(np.intersect1d(tokens, near)) >= 80 * len(np.union1d(tokens, near))
+        both = [[set(band.tolist()) for band in ngram_join.signatures(x, 80)] for x in (tokens, near)]
+        assert all(len(band) <= ngram_join.BAND for band in both[0])
+        assert any(len(x & y) >= 2 for x in both[0] for y in both[1])
