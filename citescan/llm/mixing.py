@@ -15,6 +15,7 @@ spread over many tasks.
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -218,17 +219,17 @@ def mix(
     block_words: int = 64,
     seed: int = 11,
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, copy, size, source, source_size, target, taken, pieces.
+    """One row per row of ``docs``: doc_id, text_hash, copy, size, source, source_size, target, taken, pieces.
 
     ``pieces`` are the parts of the document that the mix takes: shard, epoch, the
     first word, the number of words and the place within the shard. ``copy`` numbers
-    the rows that share a doc_id. Null text has no words; a null source is a source
+    the rows that share doc_id, source, size and ``text_hash``, so reruns agree however the rows are dealt out. Null text has no words; a null source is a source
     of its own, after all others; a source without words has target 0. An empty
     table gives an empty result. Other columns are ignored.
     """
     words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
     rows = keep(
-        docs.select("doc_id", "source", words.alias("size")).withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "source")),
+        docs.select("doc_id", "source", words.alias("size"), F.xxhash64("text").alias("text_hash")).withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "source", "text_hash")),
         "mix-sizes",
     )
     plan = keep(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), cycle, cap), "mix-targets")
@@ -250,13 +251,13 @@ def mix(
     sums = rows.groupBy("sid", "bucket").agg(F.sum("size").alias("b"))
     base = F.coalesce(F.sum("b").over(Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
     sums = sums.select("sid", "bucket", base.alias("base"))
-    inside = Window.partitionBy("sid", "bucket").orderBy("h", "doc_id", "size")
+    inside = Window.partitionBy("sid", "bucket").orderBy("h", "doc_id", "size", "text_hash")
     before = F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
-    same = Window.partitionBy("sid", "bucket", "doc_id").orderBy("size")
+    same = Window.partitionBy("sid", "doc_id", "size", "text_hash").orderBy("at")
     rows = rows.join(sums, ["sid", "bucket"]).withColumn("at", F.col("base") + before).withColumn("copy", F.row_number().over(same))
     found = [_pieces(epoch, block_words, seed) for epoch in range(math.ceil(cap))]
     return rows.withColumn("pieces", F.concat(*found)).select(
-        "doc_id", "copy", "size", "source", "source_size", "target",
+        "doc_id", "text_hash", "copy", "size", "source", "source_size", "target",
         F.aggregate("pieces", F.lit(0).cast("long"), lambda a, p: a + p["n_words"]).alias("taken"),
         "pieces",
     )
@@ -269,19 +270,23 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     text from its first to its last word with the white space between. Of rows that
     share doc_id and source, each takes its own pieces. Columns of any name pass.
     """
-    doc, source, copy, size, pieces, place, piece = free(docs, "doc", "source", "copy", "size", "pieces", "place", "piece")
-    plan = mix(docs, **options).filter("size(pieces) > 0").select(
-        F.col("doc_id").alias(doc), F.col("source").alias(source), F.col("copy").alias(copy), F.col("size").alias(size), F.col("pieces").alias(pieces)
-    )
+    doc, source, hashed, copy, size, pieces, place, piece = free(docs, "doc", "source", "hashed", "copy", "size", "pieces", "place", "piece")
+    named = {"doc_id": doc, "source": source, "text_hash": hashed, "copy": copy, "size": size, "pieces": pieces}
+    plan = mix(docs, **options).filter("size(pieces) > 0").select(*[F.col(c).alias(name) for c, name in named.items()])
     words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
-    same = Window.partitionBy("doc_id", "source").orderBy(words)
-    rows = docs.withColumn(place, F.row_number().over(same))
-    on = rows["doc_id"].eqNullSafe(plan[doc]) & rows["source"].eqNullSafe(plan[source]) & (rows[place] == plan[copy])
-    rows = rows.join(plan, on).withColumn(piece, F.explode(pieces))
-    words = F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
-    part = F.concat_ws("", F.slice(words, F.col(f"{piece}.first_word").cast("int") + 1, F.col(f"{piece}.n_words").cast("int")))
-    text = F.when(F.col(f"{piece}.n_words") == F.col(size), F.col("text")).otherwise(part)
-    out = rows.withColumn("text", text)
+    rest = [F.col(f"`{c}`").cast("string") for c in docs.columns if c not in ("doc_id", "source", "text")]
+    alike = Window.partitionBy("doc_id", "source", words, F.xxhash64("text")).orderBy(*rest, F.lit(0))
+    rows = docs.withColumn(place, F.row_number().over(alike))
+    same = [rows["doc_id"].eqNullSafe(plan[doc]), rows["source"].eqNullSafe(plan[source]), words == plan[size], F.xxhash64("text") == plan[hashed], rows[place] == plan[copy]]
+    on = functools.reduce(lambda a, b: a & b, same)
+    units = F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+
+    def texts(split: Column) -> Column:
+        part = lambda p: F.concat_ws("", F.slice(split, p["first_word"].cast("int") + 1, p["n_words"].cast("int")))
+        return F.transform(pieces, lambda p: F.when(p["n_words"] == F.col(size), F.col("text")).otherwise(part(p)))
+
+    # a text is split once, for all of its pieces
+    out = rows.join(plan, on).withColumn(piece, F.explode(F.flatten(F.transform(F.array(units), texts)))).withColumn("text", F.col(piece))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text"))
     return out.select(*docs.columns)

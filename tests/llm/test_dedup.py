@@ -222,7 +222,7 @@ def test_words_of_a_known_pattern_stay_apart(spark):
     other = pattern.translate(str.maketrans("ab", "ba"))
     hashes, _ = W.words(pa.array([f"{pattern} {other}", f" {other.upper()} {pattern}"]))
     assert hashes[0] == hashes[3] != hashes[1] == hashes[2]
-    found = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(H.documents(spark, [(1, pattern, "x", "s", 0), (2, other, "x", "s", 0)])).collect()}
+    found = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(documents(spark, [(1, pattern, "x", "s", 0), (2, other, "x", "s", 0)])).collect()}
     assert found == {1: 1, 2: 2}
     data = np.frombuffer((pattern + other).encode(), np.uint8)
     for which in (1, 2):

@@ -172,6 +172,13 @@ def test_mixed_passes_columns_of_any_name(spark):
     assert all(r[c] == c for r in got.select(*names).collect() for c in names)
 
 
+def test_mixes_agree_however_rows_are_dealt(spark):
+    some = [(5, " ".join(f"w{i}x{j}" for j in range(100)), "en", "s", i) for i in range(12)] + [(None, "a b c d", lang, "s", 4) for lang in ("de", "en", "fr")]
+    docs = spark.createDataFrame(some, "doc_id long, text string, lang string, source string, n_chars long")
+    mixes = [sorted(map(str, mixing.mixed(docs.repartition(n), cycle=(1, 2, 3), cap=0.5, block_words=16).collect())) for n in (1, 3, 7)]
+    assert mixes[0] == mixes[1] == mixes[2] and mixes[0]
+
+
 def test_mix_of_nothing(spark):
     assert mixing.mix(documents(spark, [])).count() == 0
 
