@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citescan.operators import grammar as G
+from citescan.operators.starts import starts
 
 THREE_BREAKS = r"\r?\n[ \t]*\r?\n[ \t]*\r?\n"
 TWO_BREAKS = r"\r?\n[ \t]*\r?\n"
@@ -43,28 +45,46 @@ def native_spans(text: Column, pattern: str) -> Column:
     return F.aggregate(steps, none, step)["spans"]
 
 
+#: characters of texts that are searched at once
+SLICE = 1 << 20
+
+
+def _sliced(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts of about ``SLICE`` characters."""
+    first, held = 0, 0
+    for i, size in enumerate(sizes):
+        if held and held + size > SLICE:
+            yield first, i
+            first, held = i, 0
+        held += size
+    yield first, len(sizes)
+
+
 def candidates(docs: DataFrame, generic: bool = False) -> DataFrame:
     """documento_id, body, candidatos: all matches of all patterns in the body, offsets in code points of the text.
 
     One pass of Arrow batches over all patterns: the grammar is large, and Python's
-    ``re`` keeps it compiled for the life of a task.
+    ``re`` keeps it compiled for the life of a task. Patterns are tried only where a
+    filter over the batch says that they can begin (``starts``).
     """
     patterns = G.selected(generic)
     span = pa.struct([("inicio", pa.int32()), ("size", pa.int32()), ("ordem", pa.int32()), ("trecho", pa.string()), ("tipo", pa.string()), ("padrao", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = starts(*(rule for _, _, rule in patterns))
+        names, kinds = (pa.array([p[i] for p in patterns]) for i in (0, 1))
         for batch in batches:
-            found = []
-            for text, start in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                body = (text or "")[start or 0 :]
-                found.append(
-                    [
-                        {"inicio": m.start() + start, "size": -len(m[0]), "ordem": i, "trecho": m[0], "tipo": kind, "padrao": name}
-                        for i, (name, kind, rule) in enumerate(patterns)
-                        for m in G.compiled(rule).finditer(body)
-                    ]
-                )
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(span))], names=["documento_id", "candidatos"])
+            at = [s or 0 for s in batch.column(2).to_pylist()]
+            bodies = [(text or "")[s:] for text, s in zip(batch.column(1).to_pylist(), at, strict=True)]
+            for lo, hi in _sliced([len(b) for b in bodies]):
+                found = list(search.matches(bodies[lo:hi]))
+                each = [(m.start() + s, m.start() - m.end(), r, m[0]) for s, ms in zip(at[lo:hi], found, strict=True) for r, m in ms]
+                first, size, order, text = map(list, zip(*each, strict=True)) if each else ([], [], [], [])
+                order = pa.array(order, pa.int32())
+                columns = [pa.array(first, pa.int32()), pa.array(size, pa.int32()), order, pa.array(text, pa.string()), kinds.take(order), names.take(order)]
+                offsets = pa.array([0, *itertools.accumulate(map(len, found))], pa.int32())
+                lists = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(columns, fields=list(span)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists], names=["documento_id", "candidatos"])
 
     rows = docs.select("documento_id", "texto", body_start(F.coalesce("texto", F.lit(""))).alias("start"))
     kind = docs.schema["documento_id"].dataType.simpleString()

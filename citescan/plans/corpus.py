@@ -52,6 +52,11 @@ def cited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(CITED)
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt out by a key over all shuffle partitions: texts made by a join of small tables would go to one task, where a pass over them takes longer than making them."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The canonical base: a decision for each order, some precedents and articles."""
     cases(spark, sf_dir).createOrReplaceTempView("cases")
@@ -64,11 +69,11 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
       FROM VALUES (1, 'sumula', 'Súmula nº 83 do STJ\\nNão se conhece.'), (2, 'sumula', 'Súmula vinculante nº 10 do STF\\nViola.'), (3, 'sumula', 'Súmula nº 331 do TST\\nContrato.'),
         (4, 'dispositivo', 'Artigo 373 do Código de Processo Civil'), (5, 'dispositivo', 'Artigo 5º da Constituição Federal'), (6, 'dispositivo', 'sem título\\nArt. 186. Aquele que, por ação ou omissão, causar dano'),
         (7, 'sumula', 'sem título\\nInadmissível recurso especial quanto à questão que não foi') AS t(n, natureza, texto)"""
-    return spark.sql(decisions + " UNION ALL " + titles)
+    return dealt(spark.sql(decisions + " UNION ALL " + titles), "id")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documento_id, texto: a sentence for each order."""
     rows = cited(spark, sf_dir)
     rows.createOrReplaceTempView("cited")
-    return spark.sql(f"SELECT k AS documento_id, concat('{BEFORE}', snippet, '{AFTER}') AS texto FROM cited".replace("\n", "\\n"))
+    return dealt(spark.sql(f"SELECT k AS documento_id, concat('{BEFORE}', snippet, '{AFTER}') AS texto FROM cited".replace("\n", "\\n")), "documento_id")
