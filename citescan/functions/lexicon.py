@@ -1,7 +1,10 @@
 """Fixed values of the domain: courts, procedural classes, laws, states, decision rules' confidences."""
 
 # Codes and names that citations are made of.
-UFS = "AC AL AP AM BA CE DF ES GO MA MT MS MG PA PB PR PE PI RJ RN RS RO RR SC SP SE TO".split()
+UFS = (
+    "AC", "AL", "AP", "AM", "BA", "CE", "DF", "ES", "GO", "MA", "MT", "MS", "MG", "PA", "PB", "PR", "PE", "PI", "RJ", "RN", "RS", "RO", "RR", "SC",
+    "SP", "SE", "TO",
+)
 
 COURT_CODES = ["STF", "STJ", "TST", "TSE", "STM", "TNU", "CNJ", r"TRF\s?\d", r"TRT\s?\d{1,2}", r"TRE-?[A-Z]{2}", r"TJ[A-Z]{2}", "TJDFT"]
 
@@ -30,15 +33,22 @@ CLASS_NAMES = (
     "Prestação de Contas",
 )
 
-CLASS_CODES = """REsp RE AREsp ARE EREsp EAREsp REspe REspEl AREspE AREspEl AREspEI RESPE AgInt AgRg AgR AgReg Ag AI AIRR AgAIRR ARR
-AgARR RR RRAg RO ROT ReeNec EDcl ED EDs EDiv EI EInf E HC RHC MS RMS MI Rcl Recl RCL APL Ap ApCrim AR ADI ADC ADO ADPF AC AP CC CJ
-SLS SL SS Pet QO RSE Rp R-Rp RvC Inq TutCautAnt PExt""".split()
+CLASS_CODES = (
+    "REsp", "RE", "AREsp", "ARE", "EREsp", "EAREsp", "REspe", "REspEl", "AREspE", "AREspEl", "AREspEI", "RESPE", "AgInt", "AgRg", "AgR", "AgReg",
+    "Ag", "AI", "AIRR", "AgAIRR", "ARR", "AgARR", "RR", "RRAg", "RO", "ROT", "ReeNec", "EDcl", "ED", "EDs", "EDiv", "EI", "EInf", "E", "HC", "RHC",
+    "MS", "RMS", "MI", "Rcl", "Recl", "RCL", "APL", "Ap", "ApCrim", "AR", "ADI", "ADC", "ADO", "ADPF", "AC", "AP", "CC", "CJ", "SLS", "SL", "SS",
+    "Pet", "QO", "RSE", "Rp", "R-Rp", "RvC", "Inq", "TutCautAnt", "PExt",
+)
 CHAIN_CODES = ["E", "Ag", "R"]
-PREFIX_CODES = "Ag AgR AgRg AgInt E ED EDcl A".split()
+PREFIX_CODES = (
+    "Ag", "AgR", "AgRg", "AgInt", "E", "ED", "EDcl", "A",
+)
 
 # Codes of laws, and states by name.
-LAW_CODES = """CPC CPC/2015 CPC/15 CPC/73 CPP CPM CPPM CLT CDC CTN CC CC/2002 CF CF/88 CF/1988 ECA LINDB LEP CTB CRFB CRFB/88
-CRFB/1988 NCPC""".split()
+LAW_CODES = (
+    "CPC", "CPC/2015", "CPC/15", "CPC/73", "CPP", "CPM", "CPPM", "CLT", "CDC", "CTN", "CC", "CC/2002", "CF", "CF/88", "CF/1988", "ECA", "LINDB",
+    "LEP", "CTB", "CRFB", "CRFB/88", "CRFB/1988", "NCPC",
+)
 
 STATES = {
     "ACRE": "AC", "ALAGOAS": "AL", "AMAPA": "AP", "AMAZONAS": "AM", "BAHIA": "BA", "CEARA": "CE", "DISTRITO FEDERAL": "DF",

@@ -118,7 +118,7 @@ RULES: dict[str, str] = {
     "dispositivo_legal": r"\b@article_word~@article_number(?:~,?~@part)*~,? (?:@of|‹desta|deste|dessa|desse›) @law",
     # decisions by description
     "decision": r"(?:@class|‹julgado|julgados|acórdão|acórdãos|aresto|arestos|precedente|precedentes|decisão|decisão monocrática›|‹entendimento|julgamento|voto condutor|voto›)",
-    "decided": "‹" + "|".join(v + e for v in "julgad proferid publicad prolatad firmad exarad fixad realizad lavrad".split() for e in "oa") + "›",
+    "decided": "‹" + "|".join(v + e for v in ("julgad", "proferid", "publicad", "prolatad", "firmad", "exarad", "fixad", "realizad", "lavrad") for e in "oa") + "›",
     "by_court": r"(?:@decided )?‹do|da|dos|das|pelo|pela|no|na› @court",
     "in_year": r"(?:@decided )?‹em|de› (?:‹ano› ‹de› )?@year\b",
     "name_word": r"(?-i:[A-ZÀ-Ý][A-Za-zÀ-ÿ'’]+)",
@@ -129,10 +129,21 @@ RULES: dict[str, str] = {
     "comma": r"~,?~",
     "two_details": r"(?:@comma@by_court@comma(?:@in_year|@rapporteur)|@comma@in_year@comma(?:@rapporteur|@by_court)|@comma@rapporteur@comma(?:@in_year|@by_court))",
     "decisao_descritiva": r"(?<!\d\s)(?<![\d.])\b(?:‹recente› )?@decision@two_details(?:@comma(?:@by_court|@in_year|@rapporteur)){0,2}",
+    # how decisions name their own case
+    "dash": r"\s?[-–]\s?",
+    "dot": r"\.\s?",
+    "loose_cnj": r"\d{1,7}@dash\d{2}@dot\d{4}@dot\d@dot\d{2}@dot\d{4}",
+    "judged": r"(?:vistos|relatados)[^.]{0,60}?autos (?:de|do|des|dos) (?P<objeto>[\s\S]{0,300}?)(?:,| em que\b)",
+    # what a description tells, read more strictly than it is found
+    "told_year": r"\b(?:19|2[0O])[0-9OoIlSs]{2}\b",
+    "told_title": r"(?:(?:exmo|exma)\.? (?:(?:sr|sra)\.? )?)?(?:ministro|ministra|min\.|desembargador|desembargadora|des\.)",
+    "told_word": r"[A-ZÀ-Ý][\wÀ-ÿ'’]+",
+    "told_name": r"(?-i:@told_word(?: (?:(?:d|da|de|do|das|des|dos|D|Da|De|Do|DA|DE|DO|Das|Des|Dos|DAS|DES|DOS|DaS|DeS|DoS|e) )?@told_word)*)",
+    "told_rapporteur": r"(?:relatoria d\w{0,2}|(?:relatado|relatada) (?:pelo|pela)|\brel(?:ator|atora)?\.?|\b(?:do|da|pelo|pela)(?= @told_title))(?: @told_title){0,2} (@told_name)",
     # allusions
     "doctrine": r"‹jurisprudência|entendimento|entendimentos|orientação|orientações|posicionamento|precedentes|julgados|arestos|tese|súmula›",
     "case_law": r"(?:@doctrine|‹precedente|acórdão|julgado|verbete|enunciado›)",
-    "praise": "‹" + _endings(*"pacífic consolidad reiterad sumulad firmad remansos iterativ majoritári uníson uniformizad assentad pacificad sedimentad tranquil maciç".split())
+    "praise": "‹" + _endings("pacífic", "consolidad", "reiterad", "sumulad", "firmad", "remansos", "iterativ", "majoritári", "uníson", "uniformizad", "assentad", "pacificad", "sedimentad", "tranquil", "maciç")
     + "|dominante|dominantes|predominante|sumular|sumulares|jurisprudencial|jurisprudenciais|assente|vinculante|vinculantes|recente|recentes|notória|notório|firme|firmes|uniforme|uniformes|aplicável|aplicáveis|pertinente|pertinentes›",
     "matter": r"‹espécie|caso|matéria|controvérsia|hipótese|tema|questão›",
     "to": r"‹à|ao|a|aos|às›",
@@ -140,7 +151,7 @@ RULES: dict[str, str] = {
     "complement": r"(?:‹de|do|da|dos|das|desta|deste|destes|destas|nesta|neste|no|na|nos|nas› @court|‹sobre› ‹a|o› @matter|@to @matter|‹em› ‹sede› @of @binding|‹em› ‹situações análogas|casos análogos|casos semelhantes|situações semelhantes›)",
     "jurisprudencia_generica": r"\b(?:@praise @case_law(?: @praise){0,2}(?: @complement){1,2}|@case_law(?: @praise){1,2}(?: @complement){1,2}|@doctrine @complement @complement)\b",
     "law_noun": r"‹norma|normas|legislação|dispositivo|dispositivos|preceito|preceitos|diploma|lei|artigo|art.|regra|regras|texto normativo|comando normativo›",
-    "law_quality": "‹" + _endings(*"específic invocad violad mencionad apontad".split())
+    "law_quality": "‹" + _endings("específic", "invocad", "violad", "mencionad", "apontad")
     + "|constitucional|constitucionais|legal|legais|infraconstitucional|infraconstitucionais|correspondente|aplicável|aplicáveis|pertinente|pertinentes|regente›",
     "law_complement": r"(?:‹de› ‹regência›(?: @of @matter)?|@of @law|@to @matter|‹na|no|nos› ‹origem|autos|recurso›|‹que› ‹disciplina|regula|rege|regulamenta|estabelece|dispõe|trata›(?: ‹sobre›)?(?: ‹a|o|as|os|da|do›)? [a-zà-ÿ]{4,}(?: ‹no|na› @matter)?)",
     "legislacao_generica": r"\b@law_noun(?: @law_quality){0,2} @law_complement\b",
