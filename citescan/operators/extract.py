@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from citescan.operators import grammar as G
 from citescan.operators.starts import starts
+from citescan.operators.sweep import standing
 
 THREE_BREAKS = r"\r?\n[ \t]*\r?\n[ \t]*\r?\n"
 TWO_BREAKS = r"\r?\n[ \t]*\r?\n"
@@ -94,16 +95,11 @@ def candidates(docs: DataFrame, generic: bool = False) -> DataFrame:
 def without_overlaps(spans: Column) -> Column:
     """Of spans (inicio, size negative, ordem, ...): from the earliest start, the longest there, then the first pattern; each stands unless it overlaps one that does."""
 
-    def step(acc: Column, s: Column) -> Column:
-        stands = s["inicio"] >= acc["last"]
-        kept = F.struct(s["inicio"].alias("inicio"), (s["inicio"] - s["size"]).alias("fim"), s["trecho"].alias("trecho"), s["tipo"].alias("tipo"), s["padrao"].alias("padrao"))
-        return F.struct(
-            F.when(stands, s["inicio"] - s["size"]).otherwise(acc["last"]).alias("last"),
-            F.when(stands, F.concat(acc["kept"], F.array(kept))).otherwise(acc["kept"]).alias("kept"),
-        )
-
-    none = F.struct(F.lit(0).alias("last"), F.expr(f"cast(array() as array<{SPAN}>)").alias("kept"))
-    return F.aggregate(F.array_sort(spans), none, step)["kept"]
+    def stood(ordered: Column) -> Column:
+        kept = lambda s: F.struct(s["inicio"].alias("inicio"), (s["inicio"] - s["size"]).alias("fim"), s["trecho"].alias("trecho"), s["tipo"].alias("tipo"), s["padrao"].alias("padrao"))
+        return F.transform(standing(ordered), lambda i: kept(F.get(ordered, i)))
+
+    return stood(F.array_sort(spans)).cast(f"array<{SPAN}>")
 
 
 def detect(docs: DataFrame, generic: bool = False) -> DataFrame:

@@ -82,7 +82,7 @@ def number_marker(text: Column, key: Column) -> Column:
 
 
 def number_format(text: Column, key: Column) -> Column:
-    """1.741.784 as 1741784, 1 741 784 or 1.741. 784."""
+    """2.305.118 as 2305118, 2 305 118 or 2.305. 118."""
 
     def new(old: Column) -> Column:
         groups = F.split(old, r"\.")
