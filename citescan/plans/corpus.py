@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from citescan.functions import lexicon as L
+
 TABLES = ("orders", "customer", "nation", "lineitem", "documents")
 
 COURT = "CASE {c} % 5 WHEN 0 THEN 'STF' WHEN 1 THEN 'STJ' WHEN 2 THEN 'TST' WHEN 3 THEN 'TSE' ELSE 'STM' END"
@@ -52,6 +54,25 @@ def cited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(CITED)
 
 
+def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precedents made from the parts and articles made from the suppliers, a quarter or a third of them told by their text alone."""
+    for name in ("part", "supplier"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+    text = lambda known, key, every: f"element_at(array({', '.join(repr(k[-1]) for k in known)}), cast(({key} div {every}) % {len(known)} + 1 as int))"
+    return spark.sql(f"""
+      SELECT id, concat('cat_', id) AS documento_id, CAST(NULL AS STRING) AS tribunal, CAST(NULL AS INT) AS ano, CAST(NULL AS STRING) AS relator, natureza, natureza AS tipo, concat(titulo, chr(10), resto) AS texto
+      FROM (
+        SELECT p_partkey AS id, 'sumula' AS natureza, p_name AS nome,
+               CASE p_partkey % 4 WHEN 0 THEN concat('Súmula nº ', 1000 + p_partkey % 500, ' do STJ') WHEN 1 THEN concat('SUMULA vinculante n. ', 1000 + p_partkey % 500, ' do STF')
+                 WHEN 2 THEN concat('súmula n', 1000 + p_partkey % 500, ' da TST') ELSE 'sem título' END AS titulo,
+               CASE WHEN p_partkey % 4 = 3 THEN concat(p_name, '. ', {text(L.KNOWN_SUMULAS, 'p_partkey', 4)}, ' e mais') ELSE p_name END AS resto FROM part
+        UNION ALL
+        SELECT -s_suppkey, 'dispositivo', s_name,
+               CASE s_suppkey % 3 WHEN 0 THEN concat('Artigo ', 1000 + s_suppkey % 50, ' do Código de Processo Civil') WHEN 1 THEN concat('ARTIGO ', 1000 + s_suppkey % 50, 'º da Constituição Federal')
+                 ELSE 'sem título' END,
+               CASE WHEN s_suppkey % 3 = 2 THEN upper({text(L.KNOWN_ARTICLES, 's_suppkey', 3)}) ELSE s_name END FROM supplier)""")
+
+
 def dealt(rows: DataFrame, key: str) -> DataFrame:
     """Rows dealt out by a key over all shuffle partitions: texts made by a join of small tables would go to one task, where a pass over them takes longer than making them."""
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)

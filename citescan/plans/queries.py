@@ -248,14 +248,28 @@ def feito_index(spark, sf_dir):
     return rows.select("tribunal", "numero", F.array_join("ufs", ",").alias("ufs"), F.array_join(F.get("registros", 0)["marcas"], ",").alias("marcas"), "menor_id")
 
 
-@query("SELECT * FROM (VALUES ('STJ', 83, false, CAST(-1 AS BIGINT)), ('STF', 10, true, -2), ('TST', 331, false, -3), ('STJ', 211, false, -7)) t(tribunal, numero, vinculante, id_canonico)")
+def _known(rows, columns: str) -> str:
+    """The library's own entries, numbered from 0, as a table of SQL."""
+    values = ", ".join(f"({i}, {', '.join(repr(x) if isinstance(x, str) else str(x).lower() for x in r[:-1])})" for i, r in enumerate(rows))
+    return f"(VALUES {values}) known(i, {columns})"
+
+
+@query(
+    f"""SELECT CASE p_partkey % 4 WHEN 0 THEN 'STJ' WHEN 1 THEN 'STF' ELSE 'TST' END AS tribunal, CAST(1000 + p_partkey % 500 AS INT) AS numero, p_partkey % 4 = 1 AS vinculante, max(p_partkey) AS id_canonico
+    FROM part WHERE p_partkey % 4 <> 3 GROUP BY ALL
+    UNION ALL SELECT tribunal, numero, vinculante, min(p_partkey) FROM part JOIN {_known(L.KNOWN_SUMULAS, 'tribunal, numero, vinculante')} ON i = (p_partkey // 4) % {len(L.KNOWN_SUMULAS)}
+    WHERE p_partkey % 4 = 3 GROUP BY ALL"""
+)
 def catalog_sumula(spark, sf_dir):
-    return canonical.sumulas(C.records(spark, sf_dir))
+    return canonical.sumulas(C.catalogue(spark, sf_dir))
 
 
-@query("SELECT * FROM (VALUES ('CPC', 373, CAST(-4 AS BIGINT)), ('CF', 5, -5), ('CC', 186, -6)) t(lei, artigo, id_canonico)")
+@query(
+    f"""SELECT CASE s_suppkey % 3 WHEN 0 THEN 'CPC' ELSE 'CF' END AS lei, CAST(1000 + s_suppkey % 50 AS INT) AS artigo, max(-s_suppkey) AS id_canonico FROM supplier WHERE s_suppkey % 3 <> 2 GROUP BY ALL
+    UNION ALL SELECT lei, artigo, min(-s_suppkey) FROM supplier JOIN {_known(L.KNOWN_ARTICLES, 'lei, artigo')} ON i = (s_suppkey // 3) % {len(L.KNOWN_ARTICLES)} WHERE s_suppkey % 3 = 2 GROUP BY ALL"""
+)
 def catalog_article(spark, sf_dir):
-    return canonical.articles(C.records(spark, sf_dir))
+    return canonical.articles(C.catalogue(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- decisions
