@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from citescan.functions import lexicon as L
 from citescan.functions import norm as N
-from citescan.operators import canonical, evaluate, extract, perturb, resolve, synth
+from citescan.operators import canonical, evaluate, extract, perturb, resolve, synth, table_function
 from citescan.operators import grammar as G
 from citescan.plans import corpus as C
 from citescan.plans import pipeline
@@ -109,6 +109,16 @@ def pattern_process(spark, sf_dir):
     return extract.exploded(extract.detect(C.documents(spark, sf_dir))).select("documento_id", "inicio", "fim", "trecho", "padrao")
 
 
+def pattern_sql(spark, sf_dir):
+    """The same by the table function of SQL."""
+    table_function.register(spark)
+    C.documents(spark, sf_dir).createOrReplaceTempView("texts")
+    return spark.sql("SELECT documento_id, inicio, fim, trecho, padrao FROM texts, LATERAL citations(texto)")
+
+
+QUERIES["pattern_sql"], ORACLE_SQL["pattern_sql"] = pattern_sql, ORACLE_SQL["pattern_process"]
+
+
 def _forms(forms: list[tuple[str, str, str]]) -> tuple[str, str]:
     """CASE expressions of snippet and pattern over k, for (snippet expression, pattern, kind)."""
     n = len(forms)

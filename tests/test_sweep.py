@@ -95,3 +95,17 @@ def test_starts_find_what_a_search_finds(rules, monkeypatch):
     assert [[(i, m.span()) for i, m in found] for found in starts(*rules).matches(texts)] == plain
     monkeypatch.setattr("citescan.operators.starts.CHUNK", 11)
     assert [[(i, m.span()) for i, m in found] for found in Starts(rules).matches(texts)] == plain
+
+
+def test_table_function_finds_what_detect_finds(spark):
+    from citescan.operators import table_function
+
+    rng = random.Random(6)
+    texts = [None, "", "CAB\n\n\nREsp 1.234.567/SP", *("".join(rng.choice(PIECES) + rng.choice([" ", "\n", ", "]) for _ in range(25)) for _ in range(60))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "documento_id int, texto string").repartition(3)
+    docs.createOrReplaceTempView("some_texts")
+    table_function.register(spark)
+    for generic in (False, True):
+        found = spark.sql(f"SELECT documento_id, c.* FROM some_texts, LATERAL citations(texto, {str(generic).lower()}) c")
+        expected = extract.exploded(extract.detect(docs, generic)).drop("n")
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.collect())) != []
