@@ -354,6 +354,34 @@ def resolve_description(spark, sf_dir):
     return _by(spark, sf_dir, DESCRIBED, resolve.by_description, keep(canonical.cases(C.records(spark, sf_dir)), "cases"))
 
 
+# k, court, number, name, y: cases of several orders, with rapporteurs that share first names and surnames
+SHARED = f"SELECT k, court, CAST(floor(k / 128) AS BIGINT) AS number, CASE (k % 13) % 6 WHEN 0 THEN 'ana barroso' WHEN 1 THEN 'bento barroso' WHEN 2 THEN 'clara dantas' WHEN 3 THEN 'bento dantas' WHEN 4 THEN 'davi barroso esteves' ELSE 'elisa furtado' END AS name, y FROM cases"
+#: court, year and name that an order's description tells; a name that starts with a capital
+ASKED = """SELECT k, CASE WHEN k % 3 > 0 THEN court END AS qc, CASE WHEN k % 4 > 0 THEN y END AS qy,
+  CASE k % 5 WHEN 0 THEN 'Barroso' WHEN 1 THEN 'Bento' WHEN 2 THEN 'Dantas' WHEN 3 THEN 'Davi Esteves' END AS qn FROM s"""
+TELLING = "concat('julgado', coalesce(concat(' do ', qc), ''), coalesce(concat(' de ', CAST(qy AS STRING)), ''), coalesce(concat(', da relatoria de ', qn), ''))"
+
+
+@query(
+    f"""{WITH}, s AS ({SHARED}), q AS ({ASKED}), a AS (SELECT DISTINCT qc, qy, qn FROM q), ids AS (SELECT court, number, min(k) AS id FROM s GROUP BY ALL),
+    y AS (SELECT DISTINCT court, number, y FROM s), n AS (SELECT DISTINCT court, number, name FROM s),
+    f AS (SELECT DISTINCT a.qc, a.qy, a.qn, y.court, y.number FROM a JOIN y ON (qc IS NULL OR qc = y.court) AND (qy IS NULL OR qy = y.y) JOIN n ON n.court = y.court AND n.number = y.number
+      AND (qn IS NULL OR name LIKE concat('%', replace(lower(qn), ' ', '% '), '%'))),
+    c AS (SELECT qc, qy, qn, count(*) AS n, min(id) AS id FROM f JOIN ids USING (court, number) GROUP BY ALL),
+    r AS (SELECT k, coalesce(n, 0) AS n, id FROM q LEFT JOIN c ON q.qc IS NOT DISTINCT FROM c.qc AND q.qy IS NOT DISTINCT FROM c.qy AND q.qn IS NOT DISTINCT FROM c.qn)
+    SELECT k, CASE WHEN n = 1 THEN 'real' ELSE 'incompleta' END AS classificacao, CASE WHEN n = 1 THEN id END AS id_canonico,
+      CASE n WHEN 1 THEN 'descrição única na base' WHEN 0 THEN 'sem correspondência' ELSE concat(n, ' feitos possíveis') END AS motivo FROM r"""
+)
+def resolve_description_names(spark, sf_dir):
+    """Descriptions whose name means several rapporteurs of cases that have several, all told or left open in turn."""
+    C.cases(spark, sf_dir).createOrReplaceTempView("cases")
+    spark.sql(SHARED).createOrReplaceTempView("s")
+    record = F.struct(F.col("k").alias("id"), F.array().cast("array<string>").alias("marcas"), F.col("y").alias("ano"), F.col("name").alias("relator"))
+    base = spark.table("s").groupBy(F.col("court").alias("tribunal"), F.col("number").cast("string").alias("numero")).agg(F.sort_array(F.collect_set(record)).alias("registros"), F.min("k").alias("menor_id"))
+    rows = spark.sql(f"SELECT k, {TELLING} AS trecho FROM ({ASKED})")
+    return rows.join(resolve.by_description(rows.select("trecho").distinct(), base), "trecho").select("k", "classificacao", "id_canonico", "motivo")
+
+
 @query(f"{WITH} SELECT k, CASE WHEN k % 2 = 0 THEN 'inventada' ELSE 'incompleta' END AS classificacao, CASE WHEN k % 2 = 0 THEN 'tema_oj: tipo de precedente fora da base' ELSE 'generica: sem identificador' END AS motivo FROM cases")
 def resolve_fixed(spark, sf_dir):
     C.cases(spark, sf_dir).createOrReplaceTempView("cases")
