@@ -16,6 +16,7 @@ from citescan.operators import grammar as G
 from citescan.plans import corpus as C
 from citescan.plans import pipeline
 from citescan.session import keep, shared_dir
+from citescan.sources import case_index as case_index_table
 from citescan.sources import documents, results
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -258,6 +259,21 @@ def feito_index(spark, sf_dir):
     return rows.select("tribunal", "numero", F.array_join("ufs", ",").alias("ufs"), F.array_join(F.get("registros", 0)["marcas"], ",").alias("marcas"), "menor_id")
 
 
+@query(
+    f"""{WITH} SELECT court AS tribunal, number AS numero, uf AS ufs, lower(name) AS relator, CAST(y AS INT) AS ano, k AS menor_id, CAST(1 AS BIGINT) AS n FROM cases"""
+)
+def case_index(spark, sf_dir):
+    """A stored index of the decided orders, the partly decided ones with a stale number and rapporteur; all others and these again are merged into it."""
+    folder = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/cases-{uuid.uuid4().hex[:12]}"
+    records = keep(C.records(spark, sf_dir).join(spark.table("orders").select(F.col("o_orderkey").alias("id"), "o_orderstatus"), "id", "left"), "records")
+    stale = F.col("o_orderstatus") == "P"
+    first = records.filter("o_orderstatus <> 'O'").withColumn("relator", F.when(stale, F.lit("Min. Outra Pessoa")).otherwise(F.col("relator"))).withColumn("texto", F.when(stale, F.replace("texto", F.lit("REsp 1"), F.lit("REsp 2"))).otherwise(F.col("texto")))
+    index = case_index_table.create(first, f"case_index_{uuid.uuid4().hex[:12]}", folder)
+    index.merge(records.filter("o_orderstatus <> 'F'"))
+    one = F.get("registros", 0)
+    return index.cases().select("tribunal", "numero", F.array_join("ufs", ",").alias("ufs"), one["relator"].alias("relator"), one["ano"].alias("ano"), "menor_id", F.size("registros").cast("long").alias("n"))
+
+
 def _known(rows, columns: str) -> str:
     """The library's own entries, numbered from 0, as a table of SQL."""
     values = ", ".join(f"({i}, {', '.join(repr(x) if isinstance(x, str) else str(x).lower() for x in r[:-1])})" for i, r in enumerate(rows))
