@@ -298,6 +298,22 @@ def catalog_article(spark, sf_dir):
     return canonical.articles(C.catalogue(spark, sf_dir))
 
 
+@query(
+    """WITH t AS (SELECT l_orderkey AS k, l_orderkey * 10 + l_linenumber AS id, l_linenumber = 1 AND l_orderkey % 5 = 0 AS titled FROM lineitem)
+    SELECT 'STJ' AS tribunal, CAST(k AS INT) AS numero, false AS vinculante, coalesce(max(id) FILTER (titled), min(id)) AS id_canonico FROM t
+    WHERE titled OR k IN (SELECT o_orderkey FROM orders) GROUP BY k"""
+)
+def catalog_large(spark, sf_dir):
+    """A catalogue of an entry for each order, looked up in a record for each line of an order; every fifth order has a record with a title too."""
+    phrase = lambda k: f"concat('Do pedido ', {k}, ' não se conhece quando a decisão é ', IF({k} % 2 = 0, 'certa', 'nula'))"
+    known = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("'STJ' AS tribunal", "CAST(o_orderkey AS INT) AS numero", "false AS vinculante", f"{phrase('o_orderkey')} AS inicio")
+    records = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(
+        "l_orderkey * 10 + l_linenumber AS id", "'sumula' AS natureza",
+        f"concat(IF(l_linenumber = 1 AND l_orderkey % 5 = 0, concat('Súmula nº ', l_orderkey, ' do STJ'), 'sem título'), '\\nTexto. ', upper({phrase('l_orderkey')}), '  e mais.') AS texto",
+    )
+    return canonical.sumulas(C.dealt(records, "id"), known)
+
+
 # ---------------------------------------------------------------- decisions
 
 
