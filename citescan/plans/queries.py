@@ -571,9 +571,10 @@ def eval_ties(spark, sf_dir):
     """WITH n AS (SELECT n_nationkey AS k, CAST('n' || n_nationkey AS VARCHAR) AS id, n_name, n_regionkey AS r FROM nation)
     SELECT 'texts' AS source, id, concat(E'CAB\n\n\n', n_name) AS a, CAST(6 + length(n_name) AS BIGINT) AS b FROM n
     UNION ALL SELECT 'annotations', id, concat(n_name, E'\nx'), CAST(r AS BIGINT) FROM n
+    UNION ALL SELECT 'gold', id, concat(n_name, E'\nx'), CAST(6 + length(n_name) AS BIGINT) FROM n
     UNION ALL SELECT 'base', id, n_name, CAST(1990 + r AS BIGINT) FROM n
     UNION ALL SELECT 'json', id, n_name, CASE WHEN r > 0 THEN CAST(k AS BIGINT) END FROM n
-    UNION ALL SELECT 'csv', id, concat('6,', 6 + length(n_name), ',', CASE WHEN r > 0 THEN concat('real,', CASE WHEN k = 0 THEN '-' ELSE CAST(k AS VARCHAR) END) ELSE 'incompleta,-' END, ',0.5000'), CAST(NULL AS BIGINT) FROM n"""
+    UNION ALL SELECT unnest(['csv', 'converted']), id, concat('6,', 6 + length(n_name), ',', CASE WHEN r > 0 THEN concat('real,', CASE WHEN k = 0 THEN '-' ELSE CAST(k AS VARCHAR) END) ELSE 'incompleta,-' END, ',0.5000'), CAST(NULL AS BIGINT) FROM n"""
 )
 def sources_and_sinks(spark, sf_dir):
     """A folder of texts, a file of annotations, a SQLite base and both kinds of results, written from ``nation`` and read again."""
@@ -584,7 +585,8 @@ def sources_and_sinks(spark, sf_dir):
     marked = nations.selectExpr(
         "1 AS nivel", "documento_id", "'g1' AS citacao_id", "6 AS inicio", "6 + length(n_name) AS fim", r"concat(n_name, '\\n', 'x') AS trecho", "'lei' AS tipo", "'real' AS classificacao", "concat(k, '  ', r) AS id_canonico"
     )
-    marked.coalesce(1).write.csv(f"{folder}/gold", header=True, escape='"')
+    # every annotation twice, on two levels
+    marked.union(marked.withColumn("nivel", F.lit(2))).coalesce(1).write.csv(f"{folder}/gold", header=True, escape='"')
     base = nations.selectExpr("CAST(k AS LONG) AS id", "documento_id", "n_name AS tribunal", "1990 + r AS ano", "CAST(NULL AS STRING) AS relator", "'acordao' AS natureza", "'acordao' AS tipo", "n_name AS texto")
     documents.write_base(base, f"{folder}/base.db")
     decided = nations.selectExpr(
@@ -593,12 +595,15 @@ def sources_and_sinks(spark, sf_dir):
     done = results.contract(texts, decided)
     results.write_files(done, f"{folder}/json")
     results.write_submission(done, f"{folder}/csv")
+    marks = documents.read_annotations(spark, f"{folder}/gold")
     read = [
         documents.read_texts(spark, f"{folder}/txt").select(F.lit("texts").alias("source"), F.col("documento_id").alias("id"), F.col("texto").alias("a"), F.length("texto").cast("long").alias("b")),
-        documents.read_annotations(spark, f"{folder}/gold").select(F.lit("annotations"), "documento_id", "trecho", F.get("ids_aceitos", 1)),
+        marks.filter("nivel = 1").select(F.lit("annotations"), "documento_id", "trecho", F.get("ids_aceitos", 1)),
+        documents.gold_spans(marks).select(F.lit("gold"), "documento_id", "trecho", F.col("fim").cast("long")),
         documents.read_base(spark, f"{folder}/base.db").select(F.lit("base"), "documento_id", "texto", F.col("ano").cast("long")),
         documents.read_results(spark, f"{folder}/json").select(F.lit("json"), "documento_id", F.get("citacoes", 0)["trecho"], F.get("citacoes", 0)["resolucao"]["id_canonico"]),
         spark.read.csv(f"{folder}/csv", header=True).select(F.lit("csv"), "documento_id", "citacoes", F.lit(None).cast("long")),
+        results.submission_of_files(spark, f"{folder}/json").select(F.lit("converted"), "documento_id", "citacoes", F.lit(None).cast("long")),
     ]
     return functools.reduce(DataFrame.union, read)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from citescan.operators.canonical import RECORD
+from citescan.sources import publish
 
 
 def read_texts(spark: SparkSession, folder: str) -> DataFrame:
@@ -28,16 +29,9 @@ def named_texts(files: DataFrame) -> DataFrame:
     return files.select(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("documento_id"), text.alias("texto"))
 
 
-def write_texts(docs: DataFrame, folder: str) -> None:
-    """A file for each row of documento_id, texto, on a file system that all executors share."""
-
-    def write(rows) -> None:
-        for row in rows:
-            with open(os.path.join(folder, f"{row['documento_id']}.txt"), "w", encoding="utf-8", newline="") as f:
-                f.write(row["texto"])
-
-    os.makedirs(folder, exist_ok=True)
-    docs.select("documento_id", "texto").foreachPartition(write)
+def write_texts(docs: DataFrame, folder: str, overwrite: bool = False) -> None:
+    """A file for each row of documento_id, texto, published when all are written (``publish.publish``)."""
+    publish.publish(docs.select(F.concat("documento_id", F.lit(".txt")).alias("nome"), F.col("texto").alias("conteudo")), folder, overwrite)
 
 
 GOLD = "nivel int, documento_id string, citacao_id string, inicio int, fim int, trecho string, tipo string, classificacao string, id_canonico string"

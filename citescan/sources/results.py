@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
-import os
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citescan.sources import documents, publish
+
 
 def contract(documents: DataFrame, decisions: DataFrame) -> DataFrame:
     """documento_id, citacoes: every document, its citations numbered c1, c2, ... in text order.
@@ -51,15 +54,27 @@ def write_submission(results: DataFrame, folder: str) -> None:
     submission(results).write.csv(folder, header=True)
 
 
-def write_files(results: DataFrame, folder: str) -> None:
-    """One indented JSON file for each document, named by its id, on a file system that all executors share."""
+def indented(object_: str) -> str:
+    """A JSON object over several lines, letters as they are."""
+    return json.dumps(json.loads(object_), ensure_ascii=False, indent=2)
+
+
+def write_files(results: DataFrame, folder: str, overwrite: bool = False) -> None:
+    """One indented JSON file for each document, named by its id, published when all are written (``publish.publish``)."""
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([indented(t) for t in batch.column(1).to_pylist()], pa.string())], names=["nome", "conteudo"])
+
+    named = results.select(F.concat("documento_id", F.lit(".json")).alias("nome"), as_json(F.col("citacoes")).alias("conteudo"))
+    publish.publish(named.mapInArrow(lines, publish.FILE), folder, overwrite)
+
+
+def submission_of_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of a submission from a folder of result files."""
+    return submission(documents.read_results(spark, folder))
 
-    def write(rows) -> None:
-        for row in rows:
-            done = os.path.join(folder, f"{row['documento_id']}.json")
-            with open(part := f"{done}.{os.getpid()}.part", "w", encoding="utf-8") as f:
-                json.dump(row.asDict(recursive=True), f, ensure_ascii=False, indent=2)
-            os.replace(part, done)
 
-    os.makedirs(folder, exist_ok=True)
-    results.foreachPartition(write)
+def totals(results: DataFrame) -> DataFrame:
+    """documentos, citacoes: one row."""
+    return results.agg(F.count("*").alias("documentos"), F.coalesce(F.sum(F.size("citacoes")), F.lit(0)).alias("citacoes"))
