@@ -327,6 +327,16 @@ def resolve_process(spark, sf_dir):
     return rows.join(resolve.by_number(rows.select("trecho").distinct(), base), "trecho").select("k", "classificacao", "id_canonico", "regra")
 
 
+@query(
+    f"""{WITH} SELECT k, CASE WHEN form <> 3 AND court = 'STJ' THEN 'real' ELSE 'inventada' END AS classificacao, CASE WHEN form <> 3 AND court = 'STJ' THEN k END AS id_canonico FROM cited"""
+)
+def resolve_process_court(spark, sf_dir):
+    """Numbers looked up among the cases of one court."""
+    rows = C.cited(spark, sf_dir).select("k", F.col("snippet").alias("trecho"))
+    base = keep(canonical.cases(C.records(spark, sf_dir)), "cases")
+    return rows.join(resolve.by_number(rows.select("trecho").distinct(), base, "STJ"), "trecho").select("k", "classificacao", "id_canonico")
+
+
 TWO_COURTS = """
   SELECT k, 'STF' AS tribunal, number AS numero, array('SP') AS ufs, array(named_struct('id', k, 'marcas', array('agravo'), 'ano', y, 'relator', name), named_struct('id', -k, 'marcas', CAST(array() AS array<string>), 'ano', y, 'relator', name)) AS registros, -k AS menor_id FROM cases
   UNION ALL SELECT k, CASE WHEN k % 2 = 0 THEN 'STJ' ELSE 'STF ' END, number, array('RJ'), array(named_struct('id', 1000000000 + k, 'marcas', CAST(array() AS array<string>), 'ano', y, 'relator', name)), 1000000000 + k FROM cases"""
