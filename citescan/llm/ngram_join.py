@@ -345,6 +345,64 @@ def _puts(there: DataFrame, of_group: DataFrame, least: int) -> DataFrame:
     return met.groupBy("node", "other").agg(F.count("*").alias("c")).filter(F.col("c") >= least).select("node", "other")
 
 
+def _counts(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct groups of lists of groups with times, and the sums of their times."""
+    groups, times = (np.concatenate(p) for p in zip(*parts, strict=True))
+    order = np.argsort(groups, kind="stable")
+    groups, times = groups[order], times[order]
+    first = np.flatnonzero(np.append(True, groups[1:] != groups[:-1]))
+    return groups[first], np.add.reduceat(times, first)
+
+
+def _often_met(least: int):
+    """node, g, others, sorted by node → node, other: groups other than g that stand in ``least`` of a node's lists."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[int, int] | None = None
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
+
+        def closed() -> tuple[np.ndarray, np.ndarray]:
+            groups, times = _counts(parts)
+            groups = groups[(times >= least) & (groups != last[1])]
+            return np.full(len(groups), last[0], np.int64), groups
+
+        def told(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            columns = [np.concatenate([np.zeros(0, np.int64), *(f[i] for f in found)]) for i in range(2)]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["node", "other"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            found = []
+            node, own = (batch.column(i).to_numpy() for i in range(2))
+            values = batch.column(2).flatten().to_numpy()
+            ends = np.append(0, np.cumsum(batch.column(2).value_lengths().to_numpy()))
+            starts = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+            for a, b in zip(starts, np.append(starts[1:], len(node)), strict=True):
+                if last and last[0] != node[a]:
+                    found.append(closed())
+                    parts, held = [], 0
+                last = (node[a], own[a])
+                met = values[ends[a] : ends[b]]
+                parts.append((met, np.ones(len(met), np.int64)))
+                held += len(met)
+                if held > BLOCK:  # no more than the distinct groups stay
+                    parts, held = [_counts(parts)], 0
+            yield told(found)
+        if last:
+            yield told([closed()])
+
+    return run
+
+
+def _listed_puts(there: DataFrame, of_group: DataFrame, least: int) -> DataFrame:
+    """As ``_puts`` for values of sig that ``COMMON`` groups have at most: a value's groups travel as one list, so the join has one row for each row of nodes."""
+    lists = of_group.groupBy("sig").agg(F.collect_set("g").alias("others"))
+    met = there.join(lists, "sig").select("node", "g", "others")
+    return met.repartition("node").sortWithinPartitions("node").mapInArrow(_often_met(least), "node long, other long")
+
+
 def _twice_shared(places: DataFrame) -> DataFrame:
     """Rows (sig, node) of nodes with two of them or more, whose sig another such node has."""
     nodes = places.groupBy("node").agg(F.count("*").alias("c")).filter("c > 1").select("node")
@@ -410,8 +468,8 @@ class Join:
         there = keep(self.places.join(own, "node").select("node", "sig", "g"), "node-signatures")
         of_group = keep(there.select("sig", "g").distinct(), "group-signatures")
         often = keep(of_group.groupBy("sig").agg(F.count("*").alias("c")).filter("c > 1"), "shared-signatures")
-        some = there.join(often.filter(F.col("c") <= COMMON).select("sig"), "sig", "left_semi")
-        asks = keep(_puts(some, of_group, 2), "asks")
+        few = often.filter(F.col("c") <= COMMON).select("sig")
+        asks = keep(_listed_puts(there.join(few, "sig", "left_semi"), of_group.join(few, "sig", "left_semi"), 2), "asks")
         common = often.filter(F.col("c") > COMMON).select("sig")
         if not common.isEmpty():
             pairs = keep(self.refined(common).join(own, "node"), "signature-pairs")

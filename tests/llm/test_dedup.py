@@ -256,3 +256,13 @@ def test_bands_of_large_sets():
         both = [[set(band.tolist()) for band in ngram_join.signatures(x, 80)] for x in (tokens, near)]
         assert all(len(band) <= ngram_join.BAND for band in both[0])
         assert any(len(x & y) >= 2 for x in both[0] for y in both[1])
+
+
+def test_groups_sent_as_lists_are_those_of_the_plain_join(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 50)  # lists of one node are added up several times
+    rows = spark.range(4000).selectExpr("pmod(xxhash64(id), 90) AS node", "pmod(xxhash64(id, 1), 60) AS sig").distinct().withColumn("g", F.col("node") % 12)
+    groups = rows.select("sig", "g").distinct()
+    for least in (1, 2, 20, 1000):
+        listed = [tuple(r) for r in ngram_join._listed_puts(rows, groups, least).collect()]
+        assert sorted(listed) == sorted(tuple(r) for r in ngram_join._puts(rows, groups, least).collect())
+    assert ngram_join._listed_puts(rows.limit(0), groups, 2).count() == 0
