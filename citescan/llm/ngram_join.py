@@ -46,6 +46,8 @@ MANY = 64
 BAND = 16
 #: groups from which on a signature counts only together with another one
 COMMON = 256
+#: passes in which signatures meet, so that the disk holds a pass's part of them beside the sets
+SLICES = 4
 #: ratio of the largest to the smallest set of a class
 STEP = 1.25
 #: tokens of a group, in the mean
@@ -426,10 +428,13 @@ class Join:
         # copies of one set send their signatures once
         each = sieved(self.signed.filter("n > 0").select("rid", "sigs"), F.col("rid"), self.classes.select("node"))
         each = each.select(F.explode(F.flatten("sigs")).alias("sig"), F.col("rid").alias("node"))
-        shared = each.repartition("sig").sortWithinPartitions("sig").mapInArrow(_shared, "sig long, node long")
-        places = keep(shared.join(self.classes.select("node"), "node", "left_semi"), "signatures")
+        parts = []
+        for i in range(SLICES):
+            shared = each.filter(F.pmod("sig", F.lit(SLICES)) == i).repartition("sig").sortWithinPartitions("sig").mapInArrow(_shared, "sig long, node long")
+            parts.append(keep(shared.join(self.classes.select("node"), "node", "left_semi"), "signatures"))
+        places = docs.sparkSession.read.schema(parts[0].schema).parquet(*(p.kept_at for p in parts))
         self.places = keep(_twice_shared(_twice_shared(places)), "places")
-        drop(places)
+        drop(*parts)
         self.groups = self.grouped()
         self.met = self.meet(docs, k)
         self.comp = keep(components(self.met.select("a", "b")), "components")

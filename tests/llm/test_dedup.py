@@ -266,3 +266,19 @@ def test_groups_sent_as_lists_are_those_of_the_plain_join(spark, monkeypatch):
         listed = [tuple(r) for r in ngram_join._listed_puts(rows, groups, least).collect()]
         assert sorted(listed) == sorted(tuple(r) for r in ngram_join._puts(rows, groups, least).collect())
     assert ngram_join._listed_puts(rows.limit(0), groups, 2).count() == 0
+
+
+def test_signatures_meet_in_passes(spark, monkeypatch):
+    """No exchange holds the signatures of all sets at once, and no signature is in two of them."""
+    kept, keep = [], ngram_join.keep
+
+    def seen(df, name, *rest):
+        out = keep(df, name, *rest)
+        if name == "signatures":
+            kept.append({r[0] for r in out.select("sig").distinct().collect()})
+        return out
+
+    monkeypatch.setattr(ngram_join, "keep", seen)
+    ngram_join.Join(documents(spark), 3, 90)
+    every = set().union(*kept)
+    assert every and sum(map(len, kept)) == len(every) and max(map(len, kept)) < len(every) / 2
