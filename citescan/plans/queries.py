@@ -643,7 +643,7 @@ def _noise(name: str, back, truth: str, sure: bool = True):
 
 _noise("upper_case", F.upper, "form <> 3")
 _noise("line_break", lambda c: F.replace(c, F.lit("\n"), F.lit(" ")), "true")
-_noise("ocr", lambda c: F.translate(F.replace(c, F.lit("rn"), F.lit("m")), "OlS", "015"), "true")
+_noise("ocr", lambda c: F.translate(F.replace(c, F.lit("rn"), F.lit("m")), "OlSsZGTBg", "015526789"), "true")
 _noise("abbreviation", lambda c: F.regexp_extract(c, "[0-9].*$", 0), "true")
 _noise("number_format", lambda c: F.regexp_replace(c, r"(?<=[0-9])[. ]+(?=[0-9])", ""), "form IN (1, 4)")
 _noise("number_marker", lambda c: F.regexp_replace(c, r" (?:n[º°.]|N[oº]|número) ", " # "), "form IN (0, 2, 4)", sure=False)

@@ -213,6 +213,14 @@ def extract_once(text):
     return len(list(G.compiled("processo").finditer(text))) >= 1
 
 
+@pytest.mark.parametrize("text", ["REsp 2.222.222", "HC 93434343", "Rcl n. 3333333 - SP", "AgInt no REsp nº 3.443.344 (RJ)", "Recurso Especial nº 2776689/MG"])
+def test_ocr_misreads_texts_without_its_common_characters(spark, text):
+    rows = spark.range(20).select(F.lit(text).alias("x"), F.col("id").cast("string").alias("k"))
+    got = {r[0] for r in rows.select(perturb.ocr(F.col("x"), F.col("k"))).collect()}
+    read = str.maketrans("OlSsZGTBg", "015526789")
+    assert text not in got and {g.translate(read) for g in got} == {text.translate(read)}
+
+
 def test_robustness_and_synthesis(spark, base):
     text = BODY + "Conforme o REsp 1.741.784/SP, sim"
     docs = spark.createDataFrame([("d", text)], "documento_id string, texto string")
