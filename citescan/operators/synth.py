@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citescan.functions import lexicon as L
+from citescan.functions import norm as N
 from citescan.operators import perturb as P
 from citescan.operators.extract import detect, exploded
 
@@ -85,10 +86,22 @@ def mutated(numero: Column, key: Column) -> Column:
 
 
 def invented_cases(cases: DataFrame, base: DataFrame, seed: int = 42) -> DataFrame:
-    """Citations of numbers that no case of ``base`` has, one digit from a number that one has."""
+    """Citations of numbers that no case of ``base`` has, one digit from a number that one has.
+
+    Where that digit makes a number that ``base`` has, or one that begins with 0, the
+    number is instead made longer than any that ``base`` has; unified numbers, whose length is
+    fixed, and those that would be taken for one are left out there.
+    """
     key = F.concat_ws("|", F.lit(seed), "tribunal", "numero")
-    rows = cases.withColumn("key", key).withColumn("numero", mutated(F.col("numero"), F.col("key")))
-    rows = rows.filter(~F.startswith("numero", F.lit("0"))).join(base.select("numero").distinct(), "numero", "left_anti")
+    rows = cases.withColumn("key", key).withColumn("made", mutated(F.col("numero"), F.col("key")))
+    taken = base.select(F.col("numero").alias("made"), F.lit(True).alias("taken")).distinct()
+    longest = base.agg(F.max(F.when(~F.contains("numero", F.lit("-")), F.length("numero"))).alias("longest"))
+    # one row
+    rows = rows.join(taken, "made", "left").crossJoin(F.broadcast(longest))
+    size = F.greatest(F.coalesce("longest", F.lit(0)), F.length("numero")) + 1
+    longer = F.rpad("numero", size, P.pick(F.col("key"), "longer", 10).cast("string"))
+    longer = F.when(~F.contains("numero", F.lit("-")) & (size < N.CNJ_TAIL + 1), longer)
+    rows = rows.withColumn("numero", F.when(F.col("taken") | F.startswith("made", F.lit("0")), longer).otherwise(F.col("made"))).filter("numero is not null")
     cit = case_citation(F.col("tribunal"), F.col("numero"), F.get("ufs", 0), F.col("key"))
     return rows.select(F.lit("processo inventado").alias("grupo"), F.concat_ws("|", F.lit("inventado"), "key").alias("documento_id"), sentence(cit).alias("texto"), F.lit("inventada").alias("classe"), F.lit(None).cast("array<bigint>").alias("ids"))
 

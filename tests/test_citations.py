@@ -1,5 +1,6 @@
 """The citation operators on small texts and tables of their own."""
 
+import re
 import sqlite3
 
 import pytest
@@ -26,6 +27,7 @@ def spans(spark, text, generic=False):
 
 
 BODY = "CAB\n\n\n"
+N_DIGITS = re.compile("[^0-9]")
 
 
 @pytest.mark.parametrize(
@@ -234,6 +236,15 @@ def test_robustness_and_synthesis(spark, base):
     assert all(r["hits"] == r["total"] for r in synth.judged(made, decide).collect())
 
 
+def test_invented_numbers_beside_a_base_that_has_all_of_its_length(spark):
+    numbers = [str(n) for n in range(1000, 10000)]
+    cases = spark.createDataFrame([("STJ", n, ["SP"]) for n in numbers] + [("STJ", "17-12201950200310", [])], "tribunal string, numero string, ufs array<string>")
+    made = [r[0] for r in synth.invented_cases(cases.filter("numero like '12%' or numero like '%-%'"), cases).select("texto").collect()]
+    cited = [N_DIGITS.sub("", t.split("acolhida")[0].split("/")[0].split(" - ")[0].split(" (")[0]) for t in made if "2019" not in t]
+    assert len(cited) == 100 and all(len(n) == 5 for n in cited)
+    assert len(made) == 101 and not any("17-12" in t or "0000017-12" in t for t in made)
+
+
 def test_streams_find_what_batches_find(spark, tmp_path):
     from citescan.streaming import detection
 
