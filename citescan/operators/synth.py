@@ -9,6 +9,7 @@ from citescan.functions import lexicon as L
 from citescan.functions import norm as N
 from citescan.operators import perturb as P
 from citescan.operators.extract import detect, exploded
+from citescan.session import keep
 
 # Forms of citations by court and law.
 CLASSES = {
@@ -145,7 +146,9 @@ def judged(tests: DataFrame, decide) -> DataFrame:
     A real case has to be found with one of its records; an invented one must not be
     taken for real anywhere in its text.
     """
-    found = decide(exploded(detect(tests.select("documento_id", "texto"))))
+    # texts are made once and dealt out: those made by a join of small tables would be searched in a few tasks, and again for each kind of citation
+    tests = keep(tests.repartition(int(tests.sparkSession.conf.get("spark.sql.shuffle.partitions")), "documento_id"), "tests")
+    found = decide(exploded(keep(detect(tests.select("documento_id", "texto")), "detected")))
     both = tests.select("grupo", "documento_id", "classe", "ids").join(found.select("documento_id", "classificacao", "id_canonico"), "documento_id", "left")
     right = (F.col("classificacao") == F.col("classe")) & (F.col("ids").isNull() | F.array_contains("ids", F.col("id_canonico")))
     taken = F.bool_or((F.col("classe") == "inventada") & (F.col("grupo") == "processo inventado") & (F.col("classificacao") == "real"))

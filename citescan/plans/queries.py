@@ -667,32 +667,35 @@ def noise_recall_mixed(spark, sf_dir):
 
 
 def _decide(spark, sf_dir):
+    """The cases of the base, parsed once, and the decisions on citations by them."""
     base = C.records(spark, sf_dir)
-    return lambda citations: pipeline.decide(citations, base)
+    cases = keep(canonical.cases(base), "cases")
+    return cases, lambda citations: resolve.resolve(citations, cases, canonical.sumulas(base), canonical.articles(base))
 
 
 @query("SELECT 'processo real' AS grupo, count(*) AS hits, count(*) AS total FROM orders")
 def synthetic_real(spark, sf_dir):
-    return synth.judged(synth.real_cases(keep(canonical.cases(C.records(spark, sf_dir)), "cases")), _decide(spark, sf_dir))
+    cases, decide = _decide(spark, sf_dir)
+    return synth.judged(synth.real_cases(cases), decide)
 
 
 @query("SELECT 'processo inventado' AS grupo, 0 AS missed, count(*) > 0 AS any FROM orders")
 def synthetic_mutated(spark, sf_dir):
-    cases = keep(canonical.cases(C.records(spark, sf_dir)), "cases")
-    found = synth.judged(synth.invented_cases(cases, cases), _decide(spark, sf_dir))
+    cases, decide = _decide(spark, sf_dir)
+    found = synth.judged(synth.invented_cases(cases, cases), decide)
     return found.select("grupo", (F.col("total") - F.col("hits")).cast("int").alias("missed"), (F.col("total") > 0).alias("any"))
 
 
 @query("SELECT 'processo real com ruído' AS grupo, true AS found, count(*) AS total FROM orders")
 def synthetic_noisy(spark, sf_dir):
-    cases = keep(canonical.cases(C.records(spark, sf_dir)), "cases")
-    found = synth.judged(synth.real_cases(cases, noisy=True), _decide(spark, sf_dir))
+    cases, decide = _decide(spark, sf_dir)
+    found = synth.judged(synth.real_cases(cases, noisy=True), decide)
     return found.select("grupo", (F.col("hits") >= 0.99 * F.col("total")).alias("found"), "total")
 
 
 @query("SELECT * FROM (VALUES ('artigo real', 16, 60), ('artigo em lei errada', 12, 12), ('súmula real', 11, 14), ('súmula inexistente', 5, 5)) t(grupo, hits, total)")
 def synthetic_catalogue(spark, sf_dir):
-    return synth.judged(synth.catalogue(spark), _decide(spark, sf_dir))
+    return synth.judged(synth.catalogue(spark), _decide(spark, sf_dir)[1])
 
 
 @query(

@@ -245,6 +245,17 @@ def test_invented_numbers_beside_a_base_that_has_all_of_its_length(spark):
     assert len(made) == 101 and not any("17-12" in t or "0000017-12" in t for t in made)
 
 
+def test_judged_searches_its_texts_once(spark, base):
+    made, plans = synth.real_cases(canonical.cases(base)), []
+
+    def decide(citations):
+        plans.append(citations._jdf.queryExecution().toString())
+        return pipeline.decide(citations, base)
+
+    assert synth.judged(made, decide).count() == 1
+    assert plans and not any("MapInArrow" in p for p in plans)  # what decisions read several times is a table
+
+
 def test_streams_find_what_batches_find(spark, tmp_path):
     from citescan.streaming import detection
 
