@@ -4,6 +4,7 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +66,19 @@ def test_rows_of_arrays(spark):
         assert [tuple(x) for x in r.m] == plain_pairs(r.pred or [], r.gold or [], 0.3, True)
 
 
+def test_a_batch_of_documents_is_one_sweep(monkeypatch):
+    rng, calls, overlapping = random.Random(5), [], sweep.overlapping
+    monkeypatch.setattr(sweep, "overlapping", lambda *a: calls.append(1) or overlapping(*a))
+    for shift in (0, -50, 2**31 - 200):
+        docs = [([(a + shift, b + shift) for a, b in some_spans(rng, 6)], [(a + shift, b + shift) for a, b in some_spans(rng, 6)]) for _ in range(300)]
+        ends = [pa.array([[x[i] for x in d[side]] for d in docs], pa.list_(pa.int32())) for side in (0, 1) for i in (0, 1)]
+        laid = sweep._Laid(*ends)
+        p, g, iou = laid.pairs(0.5, True)
+        got = laid.lists(laid.of[0][p], iou=pa.array(iou), p=pa.array(laid.place(0, p)), g=pa.array(laid.place(1, g))).to_pylist()
+        assert [[tuple(x.values()) for x in d] for d in got] == [plain_pairs(a, b, 0.5, True) for a, b in docs]
+    assert len(calls) == 3
+
+
 def test_a_document_with_many_spans(spark):
     n = 20_000
     def rows(d, late):
