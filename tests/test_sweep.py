@@ -123,3 +123,14 @@ def test_table_function_finds_what_detect_finds(spark):
         found = spark.sql(f"SELECT documento_id, c.* FROM some_texts, LATERAL citations(texto, {str(generic).lower()}) c")
         expected = extract.exploded(extract.detect(docs, generic)).drop("n")
         assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.collect())) != []
+
+
+def test_table_function_searches_texts_together(monkeypatch):
+    from citescan.operators import table_function
+
+    calls, matches = [], Starts.matches
+    monkeypatch.setattr(Starts, "matches", lambda self, texts: calls.append(len(texts)) or matches(self, texts))
+    texts = pa.array(["CAB\n\n\nREsp 1.234.567/SP", None, "", "pacífica jurisprudência do STF e o HC 1234"] * 100)
+    got = table_function._citations(texts, pa.array([False, False, None, True] * 100)).to_pylist()
+    assert [len(x) for x in got] == [1, 0, 0, 2] * 100 and got[0][0]["trecho"] == "REsp 1.234.567/SP" and got[0][0]["inicio"] == 6
+    assert sorted(calls) == [100, 300]
